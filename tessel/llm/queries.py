@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessel.llm import bpe, mixture
+from tessel.llm import bpe, mixture, spans
 from tessel.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,3 +42,23 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
 @register("p7_report")
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mix_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+_PASSAGES = """w AS (SELECT doc_id, i, substr(text, i, 200) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+g AS (SELECT s FROM w GROUP BY s HAVING count(DISTINCT doc_id) > 1),
+h AS (SELECT w.doc_id, w.i, w.s FROM w SEMI JOIN g USING (s))"""
+
+
+@register("p8_found", f"WITH {_PASSAGES} SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM h a JOIN h b ON a.s = b.s AND a.doc_id < b.doc_id")
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.SharedSpans(table(spark, d, "documents")).pairs()
+
+
+@register(
+    "p8_shared",
+    f"""WITH {_PASSAGES}, c AS (SELECT doc_id, i, lead(i, 1, i + 200) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM h)
+SELECT d.doc_id, coalesce(length(d.text), 0) AS n_chars, coalesce(n, 0)::BIGINT AS shared_chars
+FROM documents d LEFT JOIN (SELECT doc_id, sum(least(j - i, 200)) AS n FROM c GROUP BY doc_id) USING (doc_id)""",
+)
+def p8_shared(spark: SparkSession, d: str) -> DataFrame:
+    return spans.SharedSpans(table(spark, d, "documents")).coverage().withColumnRenamed("doc", "doc_id")
