@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessel.llm import bpe, mixture, spans
+from tessel.llm import bpe, mixture, pii, spans
 from tessel.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,3 +62,17 @@ FROM documents d LEFT JOIN (SELECT doc_id, sum(least(j - i, 200)) AS n FROM c GR
 )
 def p8_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.SharedSpans(table(spark, d, "documents")).coverage().withColumnRenamed("doc", "doc_id")
+
+
+def _personal(spark: SparkSession, d: str) -> pii.PersonalInformation:
+    return pii.PersonalInformation(table(spark, d, "messages"), table(spark, d, "contacts"))
+
+
+@register("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _personal(spark, d).found().withColumnRenamed("key", "id")
+
+
+@register("p3_redacted")
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return _personal(spark, d).redacted().toDF("id", "content")
