@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessel.llm import bpe, mixture, pii, spans
+from tessel.llm import bpe, mixture, pieces, pii, spans, threads
 from tessel.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,3 +77,54 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 @register("p3_redacted")
 def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     return _personal(spark, d).redacted().toDF("id", "content")
+
+
+# cutting after CJK stops and dropping the white space of the boundaries up to each level, the longest stretch left
+_STRETCH = r"""l AS (SELECT id, content AS t FROM doc_chunks WHERE length(content) > 1200),
+m AS (SELECT id,
+  list_max([length(x) FOR x IN regexp_split_to_array(t, '\r?\n(?:[ \t]*\r?\n)+')]) AS m1,
+  list_max([length(x) FOR x IN regexp_split_to_array(t, '\r?\n(?:[ \t]*\r?\n)+|\r?\n')]) AS m2,
+  list_max([length(x) FOR x IN regexp_split_to_array(regexp_replace(regexp_replace(t, '([.!?])[ \t]+', E'\\1\x01', 'g'), '([。！？])', E'\\1\x01', 'g'), E'\x01|\\r?\\n')]) AS m3,
+  list_max([length(x) FOR x IN regexp_split_to_array(regexp_replace(t, '([。！？])', '\1 ', 'g'), '[ \t]+|\r?\n')]) AS m4 FROM l)"""
+
+
+@register(
+    "p2_found",
+    f"""WITH {_STRETCH} SELECT id, CASE WHEN m1 <= 1200 THEN 'paragraph' WHEN m2 <= 1200 THEN 'line' WHEN m3 <= 1200 THEN 'sentence' WHEN m4 <= 1200 THEN 'word' ELSE 'hard' END AS boundary FROM m""",
+)
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    # every oversized chunk has one first piece
+    return p2_pieces(spark, d).filter("boundary is not null and piece_no = 0").select("id", "boundary")
+
+
+@register("p2_pieces")
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.split_column(table(spark, d, "doc_chunks"), "id", "content")
+
+
+_TURNS = r"""m AS (SELECT session_id, id, content, CASE WHEN r IN ('user', 'human') THEN 'user' WHEN r IN ('assistant', 'ai', 'bot', 'model') THEN 'assistant'
+  WHEN r = 'system' THEN 'system' WHEN r IN ('tool', 'function') THEN 'tool' END AS speaker,
+  CASE WHEN regexp_full_match(ts, '\d{9,15}') THEN ts::BIGINT * 1000
+    WHEN regexp_full_match(ts, '\d{4}-\d\d-\d\d[T ]\d\d:\d\d.*') THEN epoch_us(try_cast(CASE WHEN regexp_matches(ts, '(Z|[+-]\d\d(:?\d\d)?)$') AND regexp_matches(ts[11:], '(Z|[+-]\d\d(:?\d\d)?)$') THEN ts ELSE ts || 'Z' END AS TIMESTAMPTZ)) END AS moment
+  FROM (SELECT * REPLACE (regexp_replace(ts, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS ts), lower(regexp_replace(role, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')) AS r FROM messages
+    WHERE session_id IS NOT NULL AND content IS NOT NULL AND NOT regexp_full_match(content, '[ \t\r\n]*'))),
+o AS (SELECT session_id, moment, speaker, content, min(id) AS id, bool_or(speaker IS NULL OR moment IS NULL) AS bad FROM m GROUP BY ALL),
+s AS (SELECT *, row_number() OVER w - 1 AS turn_no, lag(speaker) OVER w AS prev,
+  last_value(CASE WHEN speaker IN ('user', 'assistant') THEN speaker END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY moment, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ua,
+  last_value(CASE WHEN speaker IN ('user', 'assistant') THEN speaker END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY moment, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS final
+  FROM o WINDOW w AS (PARTITION BY session_id ORDER BY moment, id)),
+k AS (SELECT session_id FROM s GROUP BY session_id HAVING NOT bool_or(bad) AND bool_or(speaker = 'user')
+  AND NOT bool_or(speaker = 'assistant' AND ua IS NULL) AND NOT bool_or(speaker = 'user' AND ua = 'user' AND prev <> 'user') AND bool_and(final = 'assistant'))"""
+
+
+@register("p5_found", f"WITH {_TURNS} SELECT session_id, turn_no, id FROM s SEMI JOIN k USING (session_id)")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return threads.conversations(table(spark, d, "messages"))
+
+
+@register("p5_conversations", f"WITH {_TURNS} SELECT session_id, turn_no, speaker AS role, content FROM s SEMI JOIN k USING (session_id)")
+def p5_conversations(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "messages")
+    names = F.create_map(*[F.lit(x) for i, r in enumerate(threads.ROLES, 1) for x in (i, r)])
+    named = m.select("id", names[threads.speaker(F.col("role"))].alias("role"), "content")
+    return threads.conversations(m).join(named, "id").select("session_id", "turn_no", "role", "content")
