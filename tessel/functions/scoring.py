@@ -12,7 +12,7 @@ def recency(ts: Column, now: Column) -> Column:
     """``1 / (1 + days / 30)`` in whole days; times ahead count as now, null and unusable ones 0."""
     moment = ts.try_cast("timestamp")
     days = F.greatest(F.floor((F.unix_micros(now) - F.unix_micros(moment)) / 86_400_000_000), F.lit(0))
-    return F.coalesce(1 / (1 + days / 30), F.lit(0.0))
+    return F.when(moment.isNull(), 0.0).otherwise(1 / (1 + days / 30))
 
 
 def blended(score: Column, fresh: Column, weight: float) -> Column:

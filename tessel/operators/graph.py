@@ -284,9 +284,10 @@ def _trace(d: DataFrame, end: str) -> list:
 MOST_SMALL_EDGES = 2_000_000
 
 
-def betweenness(edges: DataFrame, normalized: bool = True, most_edges: int = MOST_SMALL_EDGES) -> DataFrame:
+def betweenness(edges: DataFrame, nodes: DataFrame | None = None, normalized: bool = True, most_edges: int = MOST_SMALL_EDGES) -> DataFrame:
     """``id, betweenness`` on the undirected graph, weight as distance. Sources are spread over the tasks, each with the
-    whole edge list, so graphs of more than ``most_edges`` are refused."""
+    whole edge list, so graphs of more than ``most_edges`` are refused. ``nodes`` adds those without edges, which count
+    in the normalisation."""
     e = collapsed(edges, undirected=True).filter("src <> dst")
     if (n := e.count()) > most_edges:
         raise ValueError(f"{n} edges; betweenness takes at most {most_edges}")
@@ -309,9 +310,15 @@ def betweenness(edges: DataFrame, normalized: bool = True, most_edges: int = MOS
     if not size:
         return spark.createDataFrame([], "id string, betweenness double")
     sums = spark.range(size).select(F.col("id").alias("s")).repartition(max(1, min(size, spark.sparkContext.defaultParallelism))).mapInPandas(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x"))
-    scale = (1.0 / ((size - 1) * (size - 2)) if size > 2 else 1.0) if normalized else 0.5
     names = spark.createDataFrame([(i, v) for v, i in index.items()], "i long, id string")
-    return sums.join(names, "i").select("id", (F.col("x") * scale).alias("betweenness"))
+    found = sums.join(names, "i").select("id", "x")
+    n = size
+    if nodes is not None:
+        alone = nodes.select("id").distinct().join(found, "id", "left_anti").withColumn("x", F.lit(0.0))
+        n += alone.count()
+        found = found.unionByName(alone)
+    scale = (1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0) if normalized else 0.5
+    return found.select("id", (F.col("x") * scale).alias("betweenness"))
 
 
 def _dependencies(near: list[list[tuple[int, float]]], s: int) -> np.ndarray:

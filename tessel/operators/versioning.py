@@ -52,9 +52,13 @@ def diff(log: DataFrame, from_seq: int, to_seq: int | None = None) -> DataFrame:
 def rollback_plan(log: DataFrame, seq: int, current: DataFrame | None = None) -> DataFrame:
     """``pk, action, row_json``: what turns the current rows (``pk, row_json``; by default the log's last state) back into
     those after ``seq``; ``row_json`` is the image to write, of a delete the one that goes. Equal rows aren't listed."""
-    now = as_of(log) if current is None else current.select("pk", "row_json")
-    c = now.select(F.col("pk").alias("pc"), F.col("row_json").alias("jc"))
-    t = as_of(log, seq).select(F.col("pk").alias("pt"), F.col("row_json").alias("jt"))
+    return rollback_between(as_of(log) if current is None else current, as_of(log, seq))
+
+
+def rollback_between(current: DataFrame, target: DataFrame) -> DataFrame:
+    """``rollback_plan`` of two given states (``pk, row_json``)."""
+    c = current.select(F.col("pk").alias("pc"), F.col("row_json").alias("jc"))
+    t = target.select(F.col("pk").alias("pt"), F.col("row_json").alias("jt"))
     action = F.when(F.col("pt").isNull(), "delete").when(F.col("pc").isNull(), "insert").when(~F.col("jc").eqNullSafe(F.col("jt")), "update")
     j = c.join(t, F.col("pc") == F.col("pt"), "full_outer").select(F.coalesce("pc", "pt").alias("pk"), action.alias("action"), F.coalesce("jt", "jc").alias("row_json"))
     return j.filter("action is not null")
@@ -121,7 +125,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verify_chain(log: DataFrame, anchors: dict[int, str] | None = None) -> dict:
-    """``{"valid", "events", "first_broken"}``. Hashes are recomputed row by row; links are checked inside range
+    """``{"valid", "first_broken"}``. Hashes are recomputed row by row; links are checked inside range
     partitions, and between them on one row a partition. ``anchors``: hash at a sequence number up to which the log was
     pruned, which the first event left may follow."""
     ok = F.col("event_hash").eqNullSafe(event_hash(F.col("prev_hash"), F.col("_op"), F.col("pk"), F.col("row_json")))
