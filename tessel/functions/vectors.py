@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIM = 384
@@ -26,12 +26,14 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
 
 
-def hash_embedding_sparse(text: Column, dim: int = DIM) -> Column:
-    """Components that aren't zero, as ``array<struct<slot, value>>`` in order of slot."""
-    slots = F.array_sort(F.transform(words(text), lambda w: hash_slot(w, dim)))
-    counts = F.transform(F.array_distinct(slots), lambda i: F.struct(i.alias("slot"), F.size(F.filter(slots, lambda s: s == i)).cast("double").alias("value")))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x["value"] * x["value"]))
-    return F.transform(counts, lambda x: F.struct(x["slot"], (x["value"] / norm).alias("value")))
+def hash_embedding_rows(df: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
+    """The hash embedding as rows ``key, slot, value`` of the components that aren't zero, inside the JVM.
+
+    Words are counted by slot before the shuffle. Texts without words have no rows."""
+    w = df.select(key, F.explode(words(F.col(text))).alias("_w")).select(key, hash_slot(F.col("_w"), dim).alias("slot"))
+    c = w.groupBy(key, "slot").agg(F.count("*").cast("double").alias("_c"))
+    norm = F.sqrt(F.sum(F.col("_c") * F.col("_c")).over(Window.partitionBy(key)))  # at most dim rows a key
+    return c.select(key, "slot", (F.col("_c") / norm).alias("value"))
 
 
 def embed_hash(text: str | None, dim: int = DIM, _slot: dict[tuple[str, int], int] = {}) -> list[float]:  # noqa: B006
