@@ -1 +1,118 @@
-"""."""
+"""Tables under manifests: writes, definition changes, copies."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessel.db import Database
+from tessel.plans.shared import shared_root
+from tessel.query_sets.registry import register
+from tessel.sources import formats
+from tessel.sources.tables import table
+
+_PARTS = {"p_partkey": "INTEGER PRIMARY KEY", "p_name": "TEXT", "p_size": "INTEGER", "p_retailprice": "REAL"}
+
+
+def _with_parts(name: str, sql: str, versioned: bool = False) -> Callable:
+    """A query over what a function does to a database with the table ``part``."""
+
+    def wrap(f: Callable[[Database, DataFrame], DataFrame]) -> None:
+        @register(name, sql)
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            db = Database(spark, f"{shared_root(spark)}/db-{uuid.uuid4().hex}")
+            parts = table(spark, d, "part").select(F.col("p_partkey"), "p_name", F.col("p_size").cast("long").alias("p_size"), "p_retailprice")
+            db.create_table("part", _PARTS, versioned=versioned)
+            db.append("part", parts)
+            return f(db, parts)
+
+    return wrap
+
+
+@_with_parts("table_append", "SELECT p_partkey, p_name, p_size::BIGINT AS p_size, p_retailprice FROM part")
+def table_append(db: Database, _: DataFrame) -> DataFrame:
+    return db.store.scan("part")
+
+
+@_with_parts("table_update", "SELECT p_partkey, CASE WHEN p_partkey = 5 THEN 'renamed' ELSE p_name END AS p_name, p_size::BIGINT AS p_size FROM part")
+def table_update(db: Database, _: DataFrame) -> DataFrame:
+    db.update("part", 5, {"p_name": "renamed"})
+    return db.store.scan("part").select("p_partkey", "p_name", "p_size")
+
+
+@_with_parts("table_delete", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (3, 4)")
+def table_delete(db: Database, _: DataFrame) -> DataFrame:
+    db.delete("part", 3)
+    db.delete("part", 4)
+    return db.store.scan("part").select("p_partkey")
+
+
+@_with_parts("table_upsert", "SELECT p_partkey, p_name, CASE WHEN p_partkey = 1 THEN 77 ELSE p_size END::BIGINT AS p_size FROM part UNION ALL SELECT -1, 'new', -1")
+def table_upsert(db: Database, _: DataFrame) -> DataFrame:
+    db.upsert("part", {"p_partkey": 1, "p_size": 77})
+    db.upsert("part", {"p_partkey": -1, "p_name": "new"})
+    return db.store.scan("part").select("p_partkey", "p_name", F.coalesce("p_size", F.lit(-1)).alias("p_size"))
+
+
+@_with_parts("table_bulk_change", "SELECT p_partkey, CASE WHEN p_size > 30 THEN 'big' ELSE p_name END AS p_name FROM part WHERE p_size <> 10")
+def table_bulk_change(db: Database, parts: DataFrame) -> DataFrame:
+    m = db.store.manifest("part")
+    fresh = parts.filter("p_size > 30").withColumn("p_name", F.lit("big"))
+    db.store.change(m, parts.filter("p_size > 30 or p_size = 10").select("p_partkey"), fresh)
+    return db.store.scan("part").select("p_partkey", "p_name")
+
+
+@_with_parts("table_columns_changed", "SELECT p_partkey AS id, p_name AS name, 'none' AS note FROM part")
+def table_columns_changed(db: Database, _: DataFrame) -> DataFrame:
+    db.drop_column("part", "p_size")
+    db.rename_column("part", "p_name", "name")
+    db.add_column("part", "note", "TEXT")
+    return db.store.scan("part").select(F.col("p_partkey").alias("id"), "name", F.coalesce("note", F.lit("none")).alias("note"))
+
+
+@_with_parts("table_rolled_back", "SELECT p_partkey, p_name FROM part", versioned=True)
+def table_rolled_back(db: Database, _: DataFrame) -> DataFrame:
+    db.checkpoint("part", "start")
+    db.update("part", 2, {"p_name": "x"})
+    db.delete("part", 3)
+    db.rollback("part", "start")
+    return db.store.scan("part").select("p_partkey", "p_name")
+
+
+@_with_parts("table_sql", "SELECT p_size::BIGINT AS p_size, count(*) AS n FROM part GROUP BY 1")
+def table_sql(db: Database, _: DataFrame) -> DataFrame:
+    rows = db.olap.query("SELECT p_size, count(*) AS n FROM part GROUP BY p_size")
+    return db.spark.createDataFrame([(r["p_size"], r["n"]) for r in rows], "p_size long, n long")
+
+
+@_with_parts("table_export_import", "SELECT p_partkey, p_name, p_retailprice FROM part")
+def table_export_import(db: Database, _: DataFrame) -> DataFrame:
+    db.export(f"{db.store.root}-out")
+    db.delete("part", 1)
+    db.import_(f"{db.store.root}-out")
+    return db.store.scan("part").select("p_partkey", "p_name", "p_retailprice")
+
+
+@_with_parts("table_backup_restore", "SELECT p_partkey, p_name FROM part")
+def table_backup_restore(db: Database, _: DataFrame) -> DataFrame:
+    db.backup(f"{db.store.root}-copy")
+    db.delete("part", 1)
+    db.restore(f"{db.store.root}-copy")
+    return db.store.scan("part").select("p_partkey", "p_name")
+
+
+@register("sink_jsonl", "SELECT id, doc_id, content FROM doc_chunks")
+def sink_jsonl(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_root(spark)}/sink-{uuid.uuid4().hex}"
+    formats.write_jsonl(table(spark, d, "doc_chunks").select("id", "doc_id", "content"), path)
+    return spark.read.schema("id long, doc_id string, content string").json(path)
+
+
+@register("sink_parquet", "SELECT id, doc_id, content FROM doc_chunks")
+def sink_parquet(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_root(spark)}/sink-{uuid.uuid4().hex}"
+    formats.write_parquet(table(spark, d, "doc_chunks").select("id", "doc_id", "content"), path)
+    return spark.read.parquet(path)
