@@ -36,13 +36,16 @@ def plain_query(query: Column) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\n\s*\n"), F.trim), lambda p: p != "")
+    return _stripped(F.split(text, r"\n\s*\n"))
 
 
 def sentences(text: Column) -> Column:
     """Sentences by final punctuation before white space, and lines."""
-    strip = lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), strip), lambda s: s != "")
+    return _stripped(F.split(text, r"(?<=[.!?])\s+|\n+"))
+
+
+def _stripped(parts: Column) -> Column:
+    return F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
 
 
 def fixed_pieces(text: Column, size: int) -> Column:
