@@ -25,7 +25,7 @@ def folded(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Runs of letters and digits of the folded text, in order; null and empty texts have none."""
-    parts = F.split(F.regexp_replace(folded(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), " ")
+    parts = F.split(folded(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
     return F.filter(parts, lambda t: t != "")
 
 

@@ -36,19 +36,47 @@ def hash_embedding_rows(df: DataFrame, key: str, text: str, dim: int = DIM) -> D
     return c.select(key, "slot", (F.col("_c") / norm).alias("value"))
 
 
-def embed_hash(text: str | None, dim: int = DIM, _slot: dict[tuple[str, int], int] = {}) -> list[float]:  # noqa: B006
+_slots: dict[tuple[str, int], int] = {}
+
+
+def _slot(word: str, dim: int) -> int:
+    if (at := _slots.get((word, dim))) is None:
+        if len(_slots) > 200_000:
+            _slots.clear()
+        at = _slots[word, dim] = int(hashlib.md5(word.encode("utf-8", "replace")).hexdigest(), 16) % dim
+    return at
+
+
+def embed_hash(text: str | None, dim: int = DIM) -> list[float]:
     """Counts of words by ``md5(word) mod dim``, scaled to length 1; zeros for null, empty and blank texts."""
     v = [0.0] * dim
-    if len(_slot) > 200_000:
-        _slot.clear()
     for w in (text or "").lower().split():
-        if (at := _slot.get((w, dim))) is None:
-            at = _slot[w, dim] = int(hashlib.md5(w.encode("utf-8", "replace")).hexdigest(), 16) % dim
-        v[at] += 1.0
+        v[_slot(w, dim)] += 1.0
     norm = sum(x * x for x in v) ** 0.5
     return [x / norm for x in v] if norm else v
 
 
+def hash_distance(text: Column, query: str, dim: int = DIM) -> Column:
+    """Squared distance between the hash embeddings of a column and of one text, without building the vectors: 2 - 2 cos,
+    1 if one of the two has no words."""
+    wanted = {i: x for i, x in enumerate(embed_hash(query, dim)) if x}
+
+    def one(t: str | None) -> float:
+        counts: dict[int, int] = {}
+        for w in (t if isinstance(t, str) else "").lower().split():
+            s = _slot(w, dim)
+            counts[s] = counts.get(s, 0) + 1
+        norm = sum(n * n for n in counts.values()) ** 0.5
+        dot = sum(x * counts.get(s, 0) for s, x in wanted.items()) / norm if norm else 0.0
+        return bool(wanted) + bool(counts) - 2 * dot
+
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one).astype(float)
+
+    return run(text)
+
+
 def hash_embedding(text: Column, dim: int = DIM) -> Column:
     """``embed_hash`` of a column, in Arrow batches: filling 384 places by lambdas costs the words times 384."""
 

@@ -134,7 +134,7 @@ def traverse(edges: DataFrame, start: str | DataFrame, max_depth: int = 3, direc
     """
     if not 1 <= max_depth <= 10:
         raise ValueError("max_depth must be between 1 and 10")
-    step = _directed(edges, direction, kind).groupBy("src", "dst").agg(F.min(1 - F.coalesce("w", F.lit(1.0))).alias("c"))
+    step = materialize(_directed(edges, direction, kind).groupBy("src", "dst").agg(F.min(1 - F.coalesce("w", F.lit(1.0))).alias("c")), "steps")
     spark = edges.sparkSession
     front = start.select(F.col("id").cast("string").alias("start")).distinct() if isinstance(start, DataFrame) else spark.createDataFrame([(start,)], "start string")
     front = front.select("start", F.col("start").alias("node"), F.lit(0.0).alias("cost"))
@@ -157,7 +157,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, personalization:
     ``tolerance`` the iteration ends when ranks move less than that times the number of nodes. The edges are
     normalised once and kept partitioned by source; each round joins the ranks to them and sums by target.
     """
-    e = collapsed(edges, undirected)
+    e = materialize(collapsed(edges, undirected), "collapsed")
     if undirected:
         e = e.union(e.filter("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     out = e.groupBy("src").agg(F.sum("w").alias("t"))

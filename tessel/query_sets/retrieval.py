@@ -42,19 +42,19 @@ def embedded_sql(name: str, source: str, pk: str, column: str) -> str:
 _ONE = f"SELECT 0 AS query, '{QUERY}' AS text"
 
 
-@register("search_keyword_bm25", f"WITH {bm25_sql('b', 'documents', 'doc_id', 'text', _ONE)} SELECT pk AS doc_id, round(score, 6) AS score FROM b")
+@register("search_keyword_bm25", f"WITH {bm25_sql('b', 'documents', 'doc_id', 'text', _ONE)} SELECT pk AS doc_id, round(score, 6) + 0.0 AS score FROM b")
 def search_keyword(spark: SparkSession, d: str) -> DataFrame:
-    return search.bm25(table(spark, d, "documents"), "doc_id", "text", QUERY).select(F.col("pk").alias("doc_id"), F.round("score", 6).alias("score"))
+    return search.bm25(table(spark, d, "documents"), "doc_id", "text", QUERY).select(F.col("pk").alias("doc_id"), (F.round("score", 6) + 0.0).alias("score"))
 
 
 @register(
     "search_keyword_batch",
-    f"WITH {bm25_sql('b', 'doc_chunks', 'id', 'content', 'SELECT DISTINCT id AS query, title AS text FROM docs WHERE title IS NOT NULL')} SELECT query, pk, round(score, 6) AS score FROM b QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 9), pk) <= 5",
+    f"WITH {bm25_sql('b', 'doc_chunks', 'id', 'content', 'SELECT DISTINCT id AS query, title AS text FROM docs WHERE title IS NOT NULL')} SELECT query, pk, round(score, 6) + 0.0 AS score FROM b QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 9), pk) <= 5",
 )
 def search_keyword_batch(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "docs").filter("title is not null").select(F.col("id").alias("query"), F.col("title").alias("text")).distinct()
     hits = search.batch_bm25(table(spark, d, "doc_chunks"), "id", "content", q).withColumn("_s", F.round("score", 9))
-    return search.top_per_group(hits, "query", ["_s", "pk"], 5).select("query", "pk", F.round("score", 6).alias("score"))
+    return search.top_per_group(hits, "query", ["_s", "pk"], 5).select("query", "pk", (F.round("score", 6) + 0.0).alias("score"))
 
 
 _D2 = "list_sum([(x[1]::DOUBLE - x[2]::DOUBLE) ** 2 FOR x IN list_zip(e.embedding, q.embedding)])"
@@ -175,14 +175,14 @@ def search_recency(spark: SparkSession, d: str) -> DataFrame:
     "search_best_chunk_per_document",
     f"""WITH {bm25_sql('b', 'doc_chunks', 'id', 'content', _ONE)}, x AS (SELECT doc_id, min(round(score, 9)) AS s FROM b JOIN doc_chunks ON id = pk GROUP BY doc_id),
 y AS (SELECT x.doc_id, s, max(c.id) AS chunk_id FROM x JOIN doc_chunks c ON c.doc_id = x.doc_id JOIN b ON b.pk = c.id AND round(b.score, 9) = s GROUP BY ALL)
-SELECT DISTINCT y.doc_id, chunk_id, round(s, 6) AS score FROM y JOIN docs ON docs.id = y.doc_id""",
+SELECT DISTINCT y.doc_id, chunk_id, round(s, 6) + 0.0 AS score FROM y JOIN docs ON docs.id = y.doc_id""",
 )
 def search_best_chunk(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "doc_chunks")
     hits = search.bm25(c, "id", "content", QUERY).join(c, F.col("pk") == F.col("id")).select("doc_id", "id", F.round(-F.col("score"), 9).alias("_score"))
     best = hits.groupBy("doc_id").agg(F.max(F.struct("_score", "id")).alias("b"))
     parents = table(spark, d, "docs").select(F.col("id").alias("doc_id")).distinct()
-    return parents.join(best, "doc_id").select("doc_id", F.col("b.id").alias("chunk_id"), F.round(-F.col("b._score"), 6).alias("score"))
+    return parents.join(best, "doc_id").select("doc_id", F.col("b.id").alias("chunk_id"), (F.round(-F.col("b._score"), 6) + 0.0).alias("score"))
 
 
 @register("chunk_rows")
