@@ -150,12 +150,17 @@ def traverse(edges: DataFrame, start: str | DataFrame, max_depth: int = 3, direc
 # ranks ---------------------------------------------------------------------------------------------------------------
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame | None = None, personalization: DataFrame | None = None, alpha: float = 0.85, iterations: int = 20, *, tolerance: float | None = None, undirected: bool = False) -> DataFrame:
+#: Most edges for which ranks are iterated in one task; larger graphs take a join a round.
+ONE_TASK_EDGES = 1_000_000
+
+
+def pagerank(edges: DataFrame, nodes: DataFrame | None = None, personalization: DataFrame | None = None, alpha: float = 0.85, iterations: int = 20, *, tolerance: float | None = None, undirected: bool = False, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
     """``id, rank`` summing to 1. ``personalization``: ``id, weight``; a seed that is no node raises.
 
     Parallel edges count by the heaviest. Mass of nodes without outgoing edges goes where the restart goes. With
     ``tolerance`` the iteration ends when ranks move less than that times the number of nodes. The edges are
-    normalised once and kept partitioned by source; each round joins the ranks to them and sums by target.
+    normalised once; each round joins the ranks to them and sums by target. A graph of at most ``one_task_edges`` edges
+    and as many nodes, counted first, is iterated by one task in memory instead.
     """
     e = materialize(collapsed(edges, undirected), "collapsed")
     if undirected:
@@ -179,6 +184,8 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, personalization:
     leaves = base.join(e.select(F.col("src").alias("id")).distinct().withColumn("_o", F.lit(True)), "id", "left")
     base = materialize(leaves.select("id", "base", F.col("_o").isNull().alias("leaf")), "base")
     n = base.count()
+    if max(n, e.count()) <= one_task_edges:
+        return _ranked_in_memory(e, base, alpha, iterations, tolerance)
     rank = base.select("id", (F.lit(1.0 / n) if n else F.lit(0.0)).alias("rank"), "base", "leaf")
     written: DataFrame | None = None
     for _ in range(iterations):
@@ -199,6 +206,24 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, personalization:
     return rank.select("id", "rank")
 
 
+def _ranked_in_memory(e: DataFrame, base: DataFrame, alpha: float, iterations: int, tolerance: float | None) -> DataFrame:
+    def run(links: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        at = pd.Index(start["id"])
+        src, dst, p = at.get_indexer(links["src"]), at.get_indexer(links["dst"]), links["p"].to_numpy(float)
+        b, leaf, n = start["base"].to_numpy(float), start["leaf"].to_numpy(bool), len(start)
+        r = np.full(n, 1.0 / max(n, 1))
+        for _ in range(iterations):
+            new = alpha * (np.bincount(dst, r[src] * p, n) + r[leaf].sum() * b) + (1 - alpha) * b
+            moved, r = np.abs(new - r).sum(), new
+            if tolerance is not None and moved < tolerance * n:
+                break
+        return pd.DataFrame({"id": start["id"], "rank": r})
+
+    one = F.lit(0).alias("k")
+    links, start = e.select(one, "src", "dst", "p").groupBy("k"), base.select(one, "id", "base", "leaf").groupBy("k")
+    return links.cogroup(start).applyInPandas(run, f"id {base.schema['id'].dataType.simpleString()}, rank double")
+
+
 def _uniform(ids: DataFrame) -> DataFrame:
     one = ids.agg(F.count("*").alias("_n"))  # one row
     return ids.crossJoin(one).select("id", (1.0 / F.col("_n")).alias("base"))

@@ -185,11 +185,13 @@ def test_ranks_and_communities(spark):
     seeded = {r.id: r.rank for r in g.pagerank(e, personalization=spark.createDataFrame([("02", 1.0)], "id string, weight double"), alpha=0.15, iterations=8).collect()}
     assert sum(plain.values()) == pytest.approx(1) == sum(seeded.values()) and seeded["02"] > plain["02"]
     assert seeded["02"] == pytest.approx(0.853, abs=1e-3) and plain["02"] == pytest.approx(0.282, abs=1e-3)
+    rounds = {r.id: r.rank for r in g.pagerank(e, iterations=3, one_task_edges=0).collect()}
+    assert rounds == pytest.approx({r.id: r.rank for r in g.pagerank(e, iterations=3).collect()})
     two = as_edges(spark, {(a, b): 1.0 for a, b in itertools.combinations(range(5), 2)} | {(a + 10, b + 10): 1.0 for a, b in itertools.combinations(range(5), 2)} | {(0, 10): 0.1})
     c = g.communities(two)
     assert {r.id[0]: r.community for r in c.collect()} == {"0": "00", "1": "10"} and g.modularity(two, c) > 0.4
     empty = e.limit(0)
-    assert g.pagerank(empty, iterations=2).count() == g.connected_components(empty).count() == g.communities(empty).count() == g.betweenness(empty).count() == 0
+    assert g.pagerank(empty, iterations=2, one_task_edges=0).count() == g.pagerank(empty).count() == g.connected_components(empty).count() == g.communities(empty).count() == g.betweenness(empty).count() == 0
     assert g.traverse(empty, "x", 2).count() == 0
     with pytest.raises(ValueError):
         g.traverse(e, "00", 11)
