@@ -57,11 +57,23 @@ ID = _p(
 _NO = r"\d{1,5}"
 _ENGLISH = r"street|road|avenue|lane|drive|court|boulevard|way|terrace|close|crescent|square|place|row|walk|gardens|hill|grove|mews|(?:st|rd|ave|ln|dr|ct|blvd|pl|sq|ter|cres)\b\.?"
 _GERMAN = r"(?:stra(?:ß|ss)e|str\.|weg|gasse|platz|allee|ring|damm|ufer|steig|pfad)"
-ADDRESS = _p(
-    rf"(?<![\w.#/-])(?:(?P<fr>{_NO}(?:{_SP}?(?:bis|ter)\b|[a-f]\b)?,?{_SP}+(?:rue|avenue|boulevard|impasse|quai|chemin|all[ée]e|place|cours|passage|square|route)\b{_SP}+(?:de{_SP}la{_SP}+|de{_SP}l['’]|du{_SP}+|des{_SP}+|de{_SP}+|d['’])?{_WORD}(?:{_SP}{_WORD})?)"
-    rf"|(?P<en>{_NO}(?:{_SP}?[a-f]\b)?{_SP}+(?!bis\b|ter\b)(?:(?:north|south|east|west|old|new)\s)?(?:[^\W\d_][\w'’-]{{2,}}{_SP}+){{1,2}}(?:{_ENGLISH})(?![\w-]))"
-    rf"|(?P<de>(?:[^\W\d_]+{_SP})?[^\W\d_][\w-]*{_GERMAN}{_SP}+{_NO}(?:{_SP}?[a-f]\b)?(?!\w))"
-    rf"|(?P<es>(?:calle|c/|avenida|avda\.?|av\.|plaza|pza\.?|paseo|camino|ronda){_SP}*(?:de{_SP}(?:la|los|las|el){_SP}+|del{_SP}+|de{_SP}+)?{_WORD}(?:{_SP}{_WORD}){{0,2}},?{_SP}+{_NO}(?:{_SP}?[a-f]\b)?(?!\w)))"
+# by where they begin: at a house number, or at a street's name, which is looked for only where its word stands
+_DIGIT = re.compile(r"\d")
+_NUMBER = re.compile(r"(?<![\w.#/-])\d")
+ADDRESSES = (
+    (
+        (),
+        _p(
+            rf"(?<![\w.#/-])(?:(?P<fr>{_NO}(?:{_SP}?(?:bis|ter)\b|[a-f]\b)?,?{_SP}+(?:rue|avenue|boulevard|impasse|quai|chemin|all[ée]e|place|cours|passage|square|route)\b{_SP}+(?:de{_SP}la{_SP}+|de{_SP}l['’]|du{_SP}+|des{_SP}+|de{_SP}+|d['’])?{_WORD}(?:{_SP}{_WORD})?)"
+            rf"|(?P<en>{_NO}(?:{_SP}?[a-f]\b)?{_SP}+(?!bis\b|ter\b)(?:(?:north|south|east|west|old|new)\s)?(?:[^\W\d_][\w'’-]{{2,}}{_SP}+){{1,2}}(?:{_ENGLISH})(?![\w-])))"
+        ),
+    ),
+    (
+        ("stra", "str.", "weg", "gasse", "platz", "allee", "ring", "damm", "ufer", "steig", "pfad"),
+        _p(rf"(?<![\w.#/-])(?P<de>(?:[^\W\d_]+{_SP})?[^\W\d_][\w-]*{_GERMAN}{_SP}+{_NO}(?:{_SP}?[a-f]\b)?(?!\w))")),
+    (
+        ("calle", "c/", "aven", "avda", "av.", "plaza", "pza", "paseo", "camino", "ronda"),
+        _p(rf"(?<![\w.#/-])(?P<es>(?:calle|c/|avenida|avda\.?|av\.|plaza|pza\.?|paseo|camino|ronda){_SP}*(?:de{_SP}(?:la|los|las|el){_SP}+|del{_SP}+|de{_SP}+)?{_WORD}(?:{_SP}{_WORD}){{0,2}},?{_SP}+{_NO}(?:{_SP}?[a-f]\b)?(?!\w))")),
 )
 _PARTICLES = "van|von|de|der|den|di|da|del|della|la|le|du|dos|bin|ben|al|el|af|zu|ter|ten"
 _TOKEN = _p(rf"{_WORD}(?:[-'’]{_WORD})*")
@@ -133,14 +145,15 @@ class Proposer:
         if not text:
             return []
         out: list[Candidate] = []
-        if "@" in text or "%40" in text or "at" in text or "＠" in text:
+        low = text.lower()
+        if any(a in low for a in ("@", "＠", "%40", "[at]", "(at)")) or "dot" in low and "at" in low:
             self._emails(text, out)
-        if any(c.isdigit() for c in text):
+        if _DIGIT.search(text):
             for m in PHONE.finditer(text):
                 self._phone(text, m, out)
             for m in ID.finditer(text):
                 self._id(text, m, out)
-            for m in ADDRESS.finditer(text):
+            for m in self._addresses(text):
                 self._address(text, m, out)
         self._names(text, out)
         return out
@@ -191,6 +204,18 @@ class Proposer:
             form = -1
         self._add(out, text, "id_number", *m.span(), [form, 1 if len(digits) >= 9 and form >= 0 else 0], [f"f{shape}", f"i{s[:1].upper()}"])
 
+    def _addresses(self, text: str) -> Iterator[re.Match]:
+        (_, numbered), *named = ADDRESSES
+        done = 0
+        for n in _NUMBER.finditer(text):
+            if n.start() >= done and (m := numbered.match(text, n.start())):
+                done = m.end()
+                yield m
+        low = text.lower()
+        for words, pattern in named:
+            if any(w in low for w in words):
+                yield from pattern.finditer(text)
+
     def _address(self, text: str, m: re.Match, out: list[Candidate]) -> None:
         a, b, form = m.start(), m.end(), m.lastgroup
         if form == "fr":
