@@ -28,6 +28,8 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 DIMS = 1 << 15
 #: Most candidates the classifier is fitted on (the ones with the least hashes); everything else covers all rows.
 FIT_ROWS = 40_000
+#: Most street names that are learned from the texts, the most frequent first, and how often one must be seen.
+MOST_STREETS, LEAST_SEEN = 10_000, 2
 #: Most people a gazetteer may hold, since each task gets the whole of it.
 MOST_PEOPLE = 200_000
 
@@ -75,6 +77,7 @@ ADDRESSES = (
         ("calle", "c/", "aven", "avda", "av.", "plaza", "pza", "paseo", "camino", "ronda"),
         _p(rf"(?<![\w.#/-])(?P<es>(?:calle|c/|avenida|avda\.?|av\.|plaza|pza\.?|paseo|camino|ronda){_SP}*(?:de{_SP}(?:la|los|las|el){_SP}+|del{_SP}+|de{_SP}+)?{_WORD}(?:{_SP}{_WORD}){{0,2}},?{_SP}+{_NO}(?:{_SP}?[a-f]\b)?(?!\w))")),
 )
+_FRENCH_STREET = r"\d{1,5}(?: ?(?:bis|ter)\b|[a-f]\b)?,? +(?:rue|avenue|boulevard|impasse|quai|chemin|all[ée]e|place|cours|passage|square|route) +((?:de la |de l['’]|du |des |de |d['’])?\p{L}+(?: \p{L}+)?)(?=,|;|\"| \(|  |\s*\n|\s*$)"
 _PARTICLES = "van|von|de|der|den|di|da|del|della|la|le|du|dos|bin|ben|al|el|af|zu|ter|ten"
 _TOKEN = _p(rf"{_WORD}(?:[-'’]{_WORD})*")
 
@@ -366,10 +369,18 @@ class PersonalInformation:
         if len(known) > MOST_PEOPLE:
             raise ValueError(f"a gazetteer of more than {MOST_PEOPLE} people")
         self.gazetteer = Gazetteer(*([r[i] for r in known] for i in range(3)))
-        self.streets: frozenset[str] = frozenset()
+        self.streets = self._streets()
         self.candidates = materialize(self.rows.mapInArrow(self._propose(), f"key {self.kind}, found array<{_ONE}>"), "candidates")
         self.weights = self._train(fit_rows)
 
+    def _streets(self) -> frozenset[str]:
+        """Street names whose end the punctuation shows, where such a name may have one word or two."""
+        names = F.regexp_extract_all(F.lower("text"), F.lit("(?i)" + _FRENCH_STREET), F.lit(1))
+        seen = self.rows.select(F.explode(names).alias("n")).groupBy("n").count().filter(F.col("count") >= LEAST_SEEN)
+        found = {_fold(r.n): r["count"] for r in seen.orderBy(F.desc("count"), "n").limit(MOST_STREETS).collect()}
+        # a word that now and then follows a frequent name isn't part of it
+        return frozenset(n for n, k in found.items() if found.get(n.rpartition(" ")[0], 0) < k)
+
     def _propose(self):
         gazetteer, streets = self.gazetteer, self.streets
 
