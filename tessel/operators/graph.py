@@ -190,9 +190,9 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, personalization:
     written: DataFrame | None = None
     for _ in range(iterations):
         inflow = rank.join(e, rank["id"] == e["src"]).groupBy(F.col("dst").alias("_d")).agg(F.sum(F.col("rank") * F.col("p")).alias("m"))
-        loose = rank.agg(F.coalesce(F.sum(F.when(F.col("leaf"), F.col("rank"))), F.lit(0.0)).alias("loose"))  # one row
-        mass = F.coalesce("m", F.lit(0.0)) + F.col("loose") * F.col("base")
-        new = base.join(inflow, base["id"] == inflow["_d"], "left").crossJoin(loose)
+        loose = rank.agg(F.coalesce(F.sum(F.when(F.col("leaf"), F.col("rank"))), F.lit(0.0)).alias("loose")).scalar()
+        mass = F.coalesce("m", F.lit(0.0)) + loose * F.col("base")
+        new = base.join(inflow, base["id"] == inflow["_d"], "left")
         # written each round: the ranks are read twice in the next one
         new = materialize(new.select("id", (alpha * mass + (1 - alpha) * F.col("base")).alias("rank"), "base", "leaf"), "rank")
         moved = None
@@ -225,8 +225,7 @@ def _ranked_in_memory(e: DataFrame, base: DataFrame, alpha: float, iterations: i
 
 
 def _uniform(ids: DataFrame) -> DataFrame:
-    one = ids.agg(F.count("*").alias("_n"))  # one row
-    return ids.crossJoin(one).select("id", (1.0 / F.col("_n")).alias("base"))
+    return ids.select("id", (1.0 / ids.agg(F.count("*").alias("_n")).scalar()).alias("base"))
 
 
 # components, paths, communities --------------------------------------------------------------------------------------
