@@ -31,7 +31,7 @@ WIDTHS = (1, 2, 3, 4, 6)  # of the rounds; each counts for the naming of runs an
 CONTEXT = 40
 #: Occurrences of a symbol up to which its passages are compared pair by pair; beyond, they are grouped by windows.
 FEW = 16
-_CHARS = 1 << 20  # of texts handled at once
+_CHARS = 1 << 15  # of texts handled at once, so that the arrays stay in the cache
 _LAP = 256  # shared by neighbouring parts of a longer text; more than any choice looks at
 
 _M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
@@ -82,7 +82,7 @@ def boundaries(names: np.ndarray, last: np.ndarray, widths: tuple[int, ...] = WI
     if len(long):
         end = np.append(start[1:], start[-1])[long]
         inner = [np.arange(a + margin, b - margin + 1) for a, b in zip(start[long], end)]
-        start = np.unique(np.concatenate([start, *inner]))
+        start = np.concatenate([start, *inner])  # not in order; no position twice
     return start
 
 
