@@ -167,7 +167,7 @@ def join_full_outer(spark: SparkSession, d: str) -> DataFrame:
 
 # aggregates
 
-sql_query("olap_full_scan", "SELECT count(*) AS n, round(avg(l_quantity), 6) AS avg_qty, round(sum(cast(l_extendedprice AS decimal(18,2))), 2) AS total FROM {lineitem}", "SELECT count(*) AS n, round(avg(l_quantity), 6) AS avg_qty, sum(l_extendedprice::DECIMAL(18,2)) AS total FROM lineitem", "lineitem")
+sql_query("olap_full_scan", "SELECT count(*) AS n, round(avg(l_quantity), 6) AS avg_qty, round(cast(sum(cast(l_extendedprice AS decimal(18,2))) AS double), 2) AS total FROM {lineitem}", "SELECT count(*) AS n, round(avg(l_quantity), 6) AS avg_qty, round(sum(l_extendedprice::DECIMAL(18,2))::DOUBLE, 2) AS total FROM lineitem", "lineitem")
 sql_query(
     "olap_group_by",
     "SELECT l_returnflag, l_linestatus, count(*) AS cnt, round(cast(sum(cast(l_quantity AS decimal(18,2))) AS double), 2) AS sum_qty, round(avg(l_extendedprice), 4) AS avg_price FROM {lineitem} WHERE l_shipdate <= timestamp '2001-06-01' GROUP BY l_returnflag, l_linestatus ORDER BY cnt DESC",
