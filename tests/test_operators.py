@@ -1,5 +1,6 @@
 import itertools
 import json
+import os
 import random
 
 import pytest
@@ -112,6 +113,16 @@ def test_cells_find_the_nearest(spark):
     assert none == [] and empty.count() == 0
 
 
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01", "sf0.1"])
+def test_cells_lose_no_neighbour_of_the_test_tables(spark, folder):
+    from tessel.queries import QUERIES
+
+    if not os.path.exists(at := f"/root/testdata/{folder}"):
+        pytest.skip("no test tables")
+    got, want = ({tuple(r) for r in QUERIES[n](spark, at).select("query", "pk", "rank").collect()} for n in ("search_vector_cells", "search_vector_batch"))
+    assert got == want
+
+
 # graphs
 
 
