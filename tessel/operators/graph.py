@@ -376,26 +376,127 @@ def _dependencies(near: list[list[tuple[int, float]]], s: int) -> np.ndarray:
     return share
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """``id, community`` by label propagation on the undirected weighted graph, deterministic: in each round a node takes
-    the label of the greatest weight among its neighbours and its own (of equals the least); communities are named by
-    their least member. Votes are summed per node and label before the shuffle."""
+def communities(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
+    """``id, community`` on the undirected weighted graph by the Louvain method, deterministic: nodes move to the
+    neighbouring community that raises modularity most until no move raises it, then communities become the nodes, until
+    none of them moves either. Communities are named by their least member. Levels of up to ``one_task_edges`` are done
+    in one task; above, a round moves nodes at once and is taken back for fewer of them where it doesn't raise modularity."""
     e = collapsed(edges, undirected=True).filter("src <> dst")
     both = materialize(e.union(e.select("dst", "src", "w")).toDF("src", "dst", "w"), "both")
-    label = both.select(F.col("src").alias("id"), F.col("src").alias("label")).distinct()
-    for i in range(rounds):
-        votes = both.join(label, both["src"] == label["id"]).select(F.col("dst").alias("id"), "label", "w")
-        own = label.select("id", "label", F.lit(1e-9).alias("w")) if i else label.select("id", "label", F.lit(0.0).alias("w"))
-        tally = votes.union(own).groupBy("id", "label").agg(F.sum("w").alias("w"))
-        new = materialize(tally.groupBy("id").agg(F.min_by("label", F.struct(-F.round("w", 9), F.col("label"))).alias("label")), "labels")
-        same = not new.join(label.withColumnRenamed("label", "_l"), "id").filter("label <> _l").take(1)
-        label = new
-        if same:
+    degree = materialize(both.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")), "degree")
+    total = degree.agg(F.sum("k")).first()[0]
+    label = degree.select("id", F.col("id").alias("label"))
+    while total and total > 0:
+        if both.count() <= 2 * one_task_edges:
+            moved, last = _louvain_in_memory(both, degree), True
+        else:
+            moved, last = _moved(both, degree, total)
+        label = materialize(label.join(moved.toDF("_i", "_l"), F.col("label") == F.col("_i")).select("id", F.col("_l").alias("label")), "labels")
+        if last:
             break
+        to = lambda c: moved.toDF(c, f"_{c}")  # noqa: E731, B023
+        degree = materialize(degree.join(moved, "id").groupBy(F.col("label").alias("id")).agg(F.sum("k").alias("k")), "degree")
+        both = materialize(both.join(to("src"), "src").join(to("dst"), "dst").filter("_src <> _dst").groupBy(F.col("_src").alias("src"), F.col("_dst").alias("dst")).agg(F.sum("w").alias("w")), "both")
     names = label.groupBy("label").agg(F.min("id").alias("community"))
     return label.join(names, "label").select("id", "community")
 
 
+#: Least gain of a move, as a share of the node's weight: below, rounding could move nodes for ever.
+_LEAST_GAIN = 1e-9
+
+
+def _moved(both: DataFrame, degree: DataFrame, total: float) -> tuple[DataFrame, bool]:
+    """``id, label`` when no move of a single node raises modularity any more, and whether nothing moved at all."""
+
+    def quality(label: DataFrame) -> float:
+        named = label.select("id", "label")
+        inside = both.join(named.toDF("src", "_s"), "src").join(named.toDF("dst", "_d"), "dst").filter("_s = _d").agg(F.sum("w")).first()[0] or 0.0
+        return inside / total - label.groupBy("label").agg(F.sum("k").alias("t")).agg(F.sum(F.pow(F.col("t") / total, 2))).first()[0]
+
+    label, still, share, i = degree.select("id", F.col("id").alias("label"), "k"), True, 0.5, 0
+    best = quality(label)
+    while True:
+        votes = both.join(label.select(F.col("id").alias("dst"), "label"), "dst").select(F.col("src").alias("id"), "label", "w")
+        tally = votes.union(label.select("id", "label", F.lit(0.0))).groupBy("id", "label").agg(F.sum("w").alias("w"))
+        weights = label.groupBy("label").agg(F.sum("k").alias("t"))
+        own = label.select("id", F.col("label").alias("_own"), "k")
+        scored = tally.join(own, "id").join(weights, "label").withColumn("s", F.col("w") - F.col("k") * (F.col("t") - F.when(F.col("label") == F.col("_own"), F.col("k")).otherwise(0.0)) / total)
+        to = scored.groupBy("id").agg(F.min_by("label", F.struct(-F.col("s"), F.col("label"))).alias("_to"), (F.max("s") - F.max(F.when(F.col("label") == F.col("_own"), F.col("s")))).alias("gain"), F.first("k").alias("k"))
+        moves = materialize(to.filter(F.col("gain") > _LEAST_GAIN * F.col("k")).select("id", "_to", "gain"), "moves")
+        first = moves.orderBy(F.desc("gain"), "id").limit(1).collect()
+        if not first:
+            return label.select("id", "label"), still
+        while True:
+            i += 1
+            some = moves.filter((F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1 << 20)) < share * (1 << 20)) | (F.col("id") == first[0].id))
+            alone = some.limit(2).count() == 1
+            new = materialize(label.join(some.select("id", "_to"), "id", "left").select("id", F.coalesce("_to", "label").alias("label"), "k"), "labels")
+            now = quality(new)
+            # a single move raises it by its gain, be that below what the sums can show
+            if now > best or alone:
+                break
+            share /= 2
+        discard(moves)
+        label, best, still, share = new, now, False, min(0.5, 1.5 * share)
+
+
+def _louvain_in_memory(both: DataFrame, degree: DataFrame) -> DataFrame:
+    def run(links: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        ids = pd.Index(np.sort(nodes["id"].to_numpy()))
+        k = nodes.set_index("id")["k"].reindex(ids).to_numpy(float)
+        found = _louvain(ids.get_indexer(links["src"]), ids.get_indexer(links["dst"]), links["w"].to_numpy(float), k)
+        return pd.DataFrame({"id": ids, "label": ids.to_numpy()[found]})
+
+    one, kind = F.lit(0).alias("_g"), degree.schema["id"].dataType.simpleString()
+    links, nodes = both.filter("src < dst").select(one, "src", "dst", "w").groupBy("_g"), degree.select(one, "id", "k").groupBy("_g")
+    return materialize(links.cogroup(nodes).applyInPandas(run, f"id {kind}, label {kind}"), "moved")
+
+
+def _louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """A number of its community for each node; ``a, b, w`` has each undirected edge once, ``k`` a node's whole weight."""
+    from collections import deque
+
+    total, where = k.sum(), np.arange(len(k))
+    names = where
+    while True:
+        n = len(k)
+        src, dst = np.r_[a, b], np.r_[b, a]
+        order = np.lexsort((dst, src))
+        at = np.r_[0, np.cumsum(np.bincount(src, minlength=n))].tolist()
+        near, weight = dst[order].tolist(), np.r_[w, w][order].tolist()
+        label, of, ks = list(range(n)), k.tolist(), k.tolist()
+        wait, waiting, moved = deque(range(n)), [True] * n, False
+        while wait:
+            v = wait.popleft()
+            waiting[v], own, kv = False, label[v], ks[v]
+            sums = {own: 0.0}
+            for j in range(at[v], at[v + 1]):
+                c = label[near[j]]
+                sums[c] = sums.get(c, 0.0) + weight[j]
+            of[own] -= kv
+            best, most = own, sums[own] - kv * of[own] / total + _LEAST_GAIN * kv
+            for c, x in sums.items():
+                s = x - kv * of[c] / total
+                if s > most or s == most and c < best != own:
+                    best, most = c, s
+            of[best] += kv
+            if best != own:
+                label[v], moved = best, True
+                for u in near[at[v] : at[v + 1]]:
+                    if not waiting[u] and label[u] != best:
+                        waiting[u] = True
+                        wait.append(u)
+        if not moved:
+            return names[where]
+        kept, new = np.unique(label, return_inverse=True)
+        where, names = new[where], names[kept]
+        k = np.bincount(new, k, len(kept))
+        a, b = np.minimum(new[a], new[b]), np.maximum(new[a], new[b])
+        apart = a != b
+        key, back = np.unique(a[apart] * len(kept) + b[apart], return_inverse=True)
+        a, b, w = key // len(kept), key % len(kept), np.bincount(back, w[apart], len(key))
+
+
 def modularity(edges: DataFrame, community: DataFrame) -> float:
     """Share of weight inside communities less that expected by chance."""
     e = collapsed(edges, undirected=True).filter("src <> dst")

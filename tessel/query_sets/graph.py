@@ -163,7 +163,7 @@ def graph_betweenness(spark: SparkSession, d: str) -> DataFrame:
 
 @register("graph_communities")
 def graph_communities(spark: SparkSession, d: str) -> DataFrame:
-    return g.communities(edges(spark, d), rounds=5)
+    return g.communities(edges(spark, d))
 
 
 @register("graph_search_ppr")

@@ -190,6 +190,38 @@ def test_graph_algorithms(spark, seed):
         g.betweenness(df, most_edges=3)
 
 
+@pytest.mark.parametrize("one_task_edges", [g.ONE_TASK_EDGES, 0])
+def test_communities_of_bipartite_graphs_settle(spark, one_task_edges):
+    # three blocks of 3 x 3 with a light edge between neighbouring ones: labels that swap sides never settle
+    e = {(10 * b + i, 10 * b + 5 + j): 1.0 for b in range(3) for i in range(3) for j in range(3)} | {(0, 15): 0.2, (10, 25): 0.2}
+    c = {r.id: r.community for r in g.communities(as_edges(spark, e), one_task_edges=one_task_edges).collect()}
+    assert c == {f"{v:02}": f"{v // 10 * 10:02}" for pair in e for v in pair}
+
+
+def test_no_single_move_raises_modularity_of_the_registered_communities(spark):
+    from tessel.queries import QUERIES
+    from tessel.query_sets.graph import edges
+
+    if not os.path.exists(at := "/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    c = QUERIES["graph_communities"](spark, at)
+    of = {r.id: r.community for r in c.collect()}
+    near: dict = {v: {} for v in of}
+    for r in g.collapsed(edges(spark, at), undirected=True).collect():
+        near[r.src][r.dst] = near[r.dst][r.src] = r.w
+    k = {v: sum(near[v].values()) for v in near}
+    total, whole = sum(k.values()), dict.fromkeys(of.values(), 0.0)
+    for v in of:
+        whole[of[v]] += k[v]
+    assert g.modularity(edges(spark, at), c) > 0.15
+    for v in of:
+        s = {of[v]: 0.0}
+        for u, w in near[v].items():
+            s[of[u]] = s.get(of[u], 0.0) + w
+        s = {x: w - k[v] * (whole[x] - k[v] * (x == of[v])) / total for x, w in s.items()}
+        assert max(s.values()) <= s[of[v]] + 1e-6
+
+
 def test_ranks_and_communities(spark):
     e = as_edges(spark, {(0, 1): 1.0, (1, 2): 1.0, (2, 0): 1.0, (0, 3): 0.5})
     plain = {r.id: r.rank for r in g.pagerank(e, tolerance=1e-5, iterations=60).collect()}
