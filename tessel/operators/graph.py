@@ -7,11 +7,14 @@ executor costs a re-read.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessel.functions import rows
@@ -305,37 +308,30 @@ def _trace(d: DataFrame, end: str) -> list:
 
 
 #: Most edges that are given to every task by ``betweenness``.
-MOST_SMALL_EDGES = 2_000_000
+MOST_SMALL_EDGES = 10_000_000
+
+#: Most different weights for which ``betweenness`` settles all nodes of a distance at once.
+_MOST_WEIGHTS = 32
 
 
 def betweenness(edges: DataFrame, nodes: DataFrame | None = None, normalized: bool = True, most_edges: int = MOST_SMALL_EDGES) -> DataFrame:
-    """``id, betweenness`` on the undirected graph, weight as distance. Sources are spread over the tasks, each with the
-    whole edge list, so graphs of more than ``most_edges`` are refused. ``nodes`` adds those without edges, which count
-    in the normalisation."""
+    """``id, betweenness`` on the undirected graph, weight as distance, exact. What hangs on the graph by one edge is
+    folded into the node that carries it, its pairs are counted without a search. The other nodes are sources spread over
+    the tasks, each with the whole edge list, so graphs of more than ``most_edges`` are refused. ``nodes`` adds those
+    without edges, which count in the normalisation."""
     e = collapsed(edges, undirected=True).filter("src <> dst")
     if (n := e.count()) > most_edges:
         raise ValueError(f"{n} edges; betweenness takes at most {most_edges}")
-    rows_ = e.collect()
-    index = {v: i for i, v in enumerate(sorted({r.src for r in rows_} | {r.dst for r in rows_}))}
-    near: list[list[tuple[int, float]]] = [[] for _ in index]
-    for r in rows_:
-        near[index[r.src]].append((index[r.dst], r.w))
-        near[index[r.dst]].append((index[r.src], r.w))
-    size = len(index)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(size)
-        for b in batches:
-            for s in b["s"]:
-                total += _dependencies(near, int(s))
-        yield pd.DataFrame({"i": np.arange(size), "x": total})
-
     spark = edges.sparkSession
-    if not size:
-        return spark.createDataFrame([], "id string, betweenness double")
-    sums = spark.range(size).select(F.col("id").alias("s")).repartition(max(1, min(size, spark.sparkContext.defaultParallelism))).mapInPandas(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x"))
-    names = spark.createDataFrame([(i, v) for v, i in index.items()], "i long, id string")
-    found = sums.join(names, "i").select("id", "x")
+    if not n:
+        found, size = spark.createDataFrame([], "id string, x double"), 0
+    else:
+        t = e.toArrow()
+        ids = pc.unique(pa.chunked_array(t["src"].chunks + t["dst"].chunks))
+        ids = ids.take(pc.sort_indices(ids))
+        a, b = (pc.index_in(t[c], ids).to_numpy().astype(np.int64) for c in ("src", "dst"))
+        w, size = t["w"].to_numpy().astype(float), len(ids)
+        found = _between(spark, ids.to_pylist(), a, b, w)
     n = size
     if nodes is not None:
         alone = nodes.select("id").distinct().join(found, "id", "left_anti").withColumn("x", F.lit(0.0))
@@ -345,8 +341,126 @@ def betweenness(edges: DataFrame, nodes: DataFrame | None = None, normalized: bo
     return found.select("id", (F.col("x") * scale).alias("betweenness"))
 
 
-def _dependencies(near: list[list[tuple[int, float]]], s: int) -> np.ndarray:
-    """How much each node lies on the shortest paths from ``s`` (accumulation from the farthest inwards)."""
+def _between(spark: SparkSession, ids: list, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> DataFrame:
+    """``id, x``: over all ordered pairs, the share of shortest paths that a node lies on."""
+    size = len(ids)
+    gone, many, hanging, squares, whole = _folded(a, b, size)
+    apart = whole - 1 - hanging
+    known = (whole - 1.0) ** 2 - squares - apart**2
+    inner = ~(gone[a] | gone[b])
+    kept = np.flatnonzero(~gone)
+    number = np.cumsum(~gone) - 1
+    a, b, w, many = number[a[inner]], number[b[inner]], w[inner], many[kept]
+    order = np.argsort(src := np.r_[a, b], kind="stable")
+    src, dst, w = src[order], np.r_[b, a][order].astype(np.int32), np.r_[w, w][order]
+    ticks = np.rint(w * 1e6)
+    even = not len(w) or bool((np.abs(w * 1e6 - ticks) < 1e-6).all() and ticks.min() > 0 and len(np.unique(ticks)) <= _MOST_WEIGHTS)
+    if even:
+        # neighbours by weight, as places of each node in one list
+        graph = [(int(k), np.searchsorted(src[ticks == k], np.arange(len(kept) + 1)), dst[ticks == k]) for k in np.unique(ticks)]
+    else:
+        at = np.searchsorted(src, np.arange(len(kept) + 1))
+        graph = [list(zip(dst[i:j].tolist(), w[i:j].tolist())) for i, j in itertools.pairwise(at.tolist())]
+    sent = spark.sparkContext.broadcast((graph, many))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph, many = sent.value
+        total, search = np.zeros(len(many)), _dependencies_by_level if even else _dependencies
+        for x in batches:
+            for s in x["s"]:
+                total += many[s] * search(graph, int(s), many)
+        yield pd.DataFrame({"i": np.arange(len(many)), "x": total})
+
+    tasks = max(1, min(len(kept), spark.sparkContext.defaultParallelism))
+    sums = spark.range(len(kept)).select(F.col("id").alias("s")).repartition(tasks).mapInPandas(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x"))
+    names = spark.createDataFrame(pd.DataFrame({"id": ids, "i": np.where(gone, -1, number), "y": known}), "id string, i long, y double")
+    return names.join(sums, "i", "left").select("id", (F.col("y") + F.coalesce("x", F.lit(0.0))).alias("x"))
+
+
+def _folded(a: np.ndarray, b: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Takes away nodes with one edge until none is left. Which are gone; of each node how many it stands for, how many
+    hang on it, the squares of what hangs on each of its edges, and the size of its component."""
+    degree = np.bincount(np.r_[a, b], minlength=size).tolist()
+    others = np.zeros(size, np.int64)
+    np.bitwise_xor.at(others, a, b)
+    np.bitwise_xor.at(others, b, a)
+    other = others.tolist()
+    many, squares, gone = [1] * size, [0.0] * size, [False] * size
+    wait = [v for v in range(size) if degree[v] == 1]
+    while wait:
+        v = wait.pop()
+        if degree[v] != 1:
+            continue
+        p, gone[v] = other[v], True
+        other[p] ^= v
+        degree[v], degree[p] = 0, degree[p] - 1
+        many[p] += many[v]
+        squares[p] += float(many[v]) ** 2
+        if degree[p] == 1:
+            wait.append(p)
+    up = list(range(size))
+
+    def top(v: int) -> int:
+        while up[v] != v:
+            up[v] = v = up[up[v]]
+        return v
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        x, y = top(x), top(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    tops = np.array([top(v) for v in range(size)])
+    stands = np.array(many, float)
+    return np.array(gone), stands, stands - 1, np.array(squares), np.bincount(tops, minlength=size)[tops].astype(float)
+
+
+def _dependencies_by_level(graph: list[tuple[int, np.ndarray, np.ndarray]], s: int, many: np.ndarray) -> np.ndarray:
+    """``_dependencies`` where weights are few whole numbers: all nodes of one distance are settled together."""
+    size = len(many)
+    far = np.iinfo(np.int64).max
+    dist, ways = np.full(size, far), np.zeros(size)
+    dist[s], ways[s] = 0, 1.0
+
+    def around(v: np.ndarray, at: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Neighbours of the nodes, and how many each has."""
+        n = at[v + 1] - at[v]
+        return dst[np.repeat(at[v] - np.cumsum(n) + n, n) + np.arange(n.sum())], n
+
+    levels, open_ = [], {0: [np.array([s])]}
+    while open_:
+        d = min(open_)
+        v = np.unique(np.concatenate(open_.pop(d)))
+        v = v[dist[v] == d]
+        if not len(v):
+            continue
+        levels.append((d, v))
+        for k, at, dst in graph:
+            u, n = around(v, at, dst)
+            near = dist[u] >= d + k
+            if not near.any():
+                continue
+            u, x = u[near], np.repeat(ways[v], n)[near]
+            closer = u[dist[u] > d + k]
+            if len(closer):
+                dist[closer], ways[closer] = d + k, 0.0
+                open_.setdefault(d + k, []).append(closer)
+            ways += np.bincount(u, x, size)
+    share = np.zeros(size)
+    for d, v in reversed(levels[1:]):
+        x = (many[v] + share[v]) / ways[v]
+        for k, at, dst in graph:
+            u, n = around(v, at, dst)
+            before = dist[u] == d - k
+            if before.any():
+                u = u[before]
+                share += np.bincount(u, np.repeat(x, n)[before], size) * ways
+    share[s] = 0.0
+    return share
+
+
+def _dependencies(near: list[list[tuple[int, float]]], s: int, many: np.ndarray) -> np.ndarray:
+    """How much each node lies on the shortest paths from ``s`` to as many nodes as each one stands for
+    (accumulation from the farthest inwards)."""
     from heapq import heappop, heappush
 
     size = len(near)
@@ -371,7 +485,7 @@ def _dependencies(near: list[list[tuple[int, float]]], s: int) -> np.ndarray:
     share = np.zeros(size)
     for v in reversed(order):
         for u in before[v]:
-            share[u] += ways[u] / ways[v] * (1 + share[v])
+            share[u] += ways[u] / ways[v] * (many[v] + share[v])
     share[s] = 0.0
     return share
 

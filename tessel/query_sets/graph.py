@@ -157,8 +157,7 @@ def graph_delete_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 @register("graph_betweenness")
 def graph_betweenness(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d).filter("type in ('in', 'sits')")
-    return g.betweenness(e)
+    return g.betweenness(edges(spark, d))
 
 
 @register("graph_communities")

@@ -222,6 +222,26 @@ def test_no_single_move_raises_modularity_of_the_registered_communities(spark):
         assert max(s.values()) <= s[of[v]] + 1e-6
 
 
+@pytest.mark.parametrize("more", [0.0, 1e-8])
+def test_betweenness_of_the_whole_registered_graph(spark, more):
+    """Against the search from every node without folding; with odd weights it is the one in order of distance."""
+    from tessel.query_sets.graph import edges, graph_betweenness
+
+    if not os.path.exists(at := "/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    e = edges(spark, at).withColumn("weight", F.col("weight") + more)
+    rows_ = g.collapsed(e, undirected=True).collect()
+    ids = sorted({r.src for r in rows_} | {r.dst for r in rows_})
+    near = [[] for _ in ids]
+    for r in rows_:
+        a, b = ids.index(r.src), ids.index(r.dst)
+        near[a].append((b, r.w))
+        near[b].append((a, r.w))
+    want = sum(g._dependencies(near, s, [1] * len(ids)) for s in range(len(ids))) / ((len(ids) - 1) * (len(ids) - 2))
+    got = {r.id: r.betweenness for r in (g.betweenness(e) if more else graph_betweenness(spark, at)).collect()}
+    assert got == pytest.approx(dict(zip(ids, want)), abs=1e-9) and any(v.startswith("c:") for v in got)
+
+
 def test_ranks_and_communities(spark):
     e = as_edges(spark, {(0, 1): 1.0, (1, 2): 1.0, (2, 0): 1.0, (0, 3): 0.5})
     plain = {r.id: r.rank for r in g.pagerank(e, tolerance=1e-5, iterations=60).collect()}
