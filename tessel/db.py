@@ -26,6 +26,9 @@ EDGE = "id string, source_id string, target_id string, type string, weight doubl
 _ASYNC = ("create_table", "add_column", "drop_column", "rename_column", "insert", "insert_batch", "upsert", "update", "delete", "get", "query", "raw_query", "read_query", "count", "search", "search_all", "health", "reconcile", "process_journal", "close")
 
 
+_BASELINE = "pk string, row_json string"
+
+
 def _dicts(df: DataFrame) -> list[dict]:
     return [r.asDict() for r in df.collect()]
 
@@ -270,10 +273,14 @@ class Database:
         return m, df
 
     def _state(self, table: str, seq: int | None) -> DataFrame:
+        """``pk, row_json`` after event ``seq``. A state before a prune is gone and raises."""
         m, log = self._log_of(table)
+        cut = max(map(int, m.anchors), default=0)
+        if seq is not None and seq < cut:
+            raise ValueError(f"the history of {table} up to {cut} was pruned; there is no state at {seq}")
         if not m.baseline:
             return versioning.as_of(log, seq)
-        return versioning.as_of_with_baseline(log, self.spark.read.schema("pk string, row_json string").parquet(*m.baseline), seq)
+        return versioning.as_of_with_baseline(log, self.spark.read.schema(_BASELINE).parquet(*m.baseline), seq)
 
     def is_versioned(self, table: str) -> bool:
         return table in self.store.tables() and self.store.manifest(table).versioned
@@ -287,11 +294,16 @@ class Database:
     def as_of(self, table: str, seq: int) -> list[dict]:
         return [json.loads(r.row_json) for r in self._state(table, seq).orderBy("pk").collect()]
 
-    def diff(self, table: str, from_seq: int, to_seq: int | None = None) -> dict[str, list[str]]:
-        _, log = self._log_of(table)
-        out: dict[str, list[str]] = {"added": [], "removed": [], "changed": []}
-        for r in versioning.diff(log, from_seq, to_seq).orderBy("pk").collect():
-            out[r.change].append(r.pk)
+    def changes(self, table: str, from_seq: int, to_seq: int | None = None) -> DataFrame:
+        """``pk, change, before, after`` between two states, for differences of any size."""
+        return versioning.diff_between(self._state(table, from_seq), self._state(table, to_seq))
+
+    def diff(self, table: str, from_seq: int, to_seq: int | None = None) -> dict[str, list]:
+        """Rows added and removed, and pairs ``before, after`` of those changed."""
+        out: dict[str, list] = {"added": [], "removed": [], "changed": []}
+        for r in self.changes(table, from_seq, to_seq).orderBy("pk").collect():
+            before, after = (None if x is None else json.loads(x) for x in (r.before, r.after))
+            out[r.change].append({"before": before, "after": after} if r.change == "changed" else before or after)
         return out
 
     def checkpoint(self, table: str, label: str) -> int:
@@ -429,17 +441,20 @@ class Database:
             formats.write_jsonl(self.store.scan(t), f"{path}/{t}.jsonl")
             if m.log_files:
                 formats.write_jsonl(self._log_of(t)[1], f"{path}/{t}__history.jsonl")
+            if m.baseline:
+                formats.write_jsonl(self.spark.read.schema(_BASELINE).parquet(*m.baseline), f"{path}/{t}__baseline.jsonl")
             self.store.files.write(f"{path}/{t}.manifest.json", self.store.files.read(self.store._path(t)))
         return path
 
     def import_(self, path: str) -> list[str]:
         """Replaces tables by those of an export."""
         out = []
-        for n in self.store.files.names(path):
+        for n in self.store.files.kept(path):
             if n.endswith(".manifest.json"):
                 m = Manifest(**json.loads(self.store.files.read(f"{path}/{n}")))
                 m.files = self.store.write(m.name, "data", self.spark.read.schema(m.schema()).json(f"{path}/{m.name}.jsonl"))
-                m.baseline = []
+                if m.baseline:
+                    m.baseline = self.store.write(m.name, "baseline", self.spark.read.schema(_BASELINE).json(f"{path}/{m.name}__baseline.jsonl"))
                 if m.log_files:
                     m.log_files = self.store.write(m.name, "log", self.spark.read.schema(versioning.LOG).json(f"{path}/{m.name}__history.jsonl"))
                 self.store.save(m)
@@ -601,7 +616,7 @@ class Graph:
 
     def _load(self) -> dict:
         f = self._db.store.files
-        return json.loads(f.read(self._rules)) if f.exists(self._rules) else {"nodes": {}, "edges": []}
+        return json.loads(f.read(self._rules)) if f.has(self._rules) else {"nodes": {}, "edges": []}
 
     def register_entity_node(self, table: str, node_type: str, label_template: str, id_column: str | None = None) -> None:
         m = self._db.store.manifest(table)

@@ -41,9 +41,14 @@ def head(log: DataFrame) -> Column:
 
 
 def diff(log: DataFrame, from_seq: int, to_seq: int | None = None) -> DataFrame:
-    """``pk, change`` (added, removed, changed)``, before, after`` between two states."""
-    a = as_of(log, from_seq).select(F.col("pk").alias("pa"), F.col("row_json").alias("before"))
-    b = as_of(log, to_seq).select(F.col("pk").alias("pb"), F.col("row_json").alias("after"))
+    """``diff_between`` of the states after two events."""
+    return diff_between(as_of(log, from_seq), as_of(log, to_seq))
+
+
+def diff_between(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``pk, change`` (added, removed, changed)``, before, after`` between two states (``pk, row_json``)."""
+    a = old.select(F.col("pk").alias("pa"), F.col("row_json").alias("before"))
+    b = new.select(F.col("pk").alias("pb"), F.col("row_json").alias("after"))
     change = F.when(F.col("pa").isNull(), "added").when(F.col("pb").isNull(), "removed").when(~F.col("before").eqNullSafe(F.col("after")), "changed")
     j = a.join(b, F.col("pa") == F.col("pb"), "full_outer")
     return j.select(F.coalesce("pa", "pb").alias("pk"), change.alias("change"), "before", "after").filter("change is not null")

@@ -82,6 +82,29 @@ def table_rolled_back(db: Database, _: DataFrame) -> DataFrame:
     return db.store.scan("part").select("p_partkey", "p_name")
 
 
+@_with_parts("table_pruned_diff", "SELECT p_partkey::VARCHAR AS pk, CASE WHEN p_partkey = 7 THEN 'removed' ELSE 'changed' END AS change, p_name AS before, CASE p_partkey WHEN 5 THEN 'renamed' WHEN 6 THEN 'again' END AS after FROM part WHERE p_partkey IN (5, 6, 7)", versioned=True)
+def table_pruned_diff(db: Database, _: DataFrame) -> DataFrame:
+    start = db.checkpoint("part", "start")
+    db.update("part", 5, {"p_name": "renamed"})
+    db.prune("part", checkpoint="start")
+    db.update("part", 6, {"p_name": "again"})
+    db.delete("part", 7)
+    name = lambda c: F.get_json_object(c, "$.p_name").alias(c)
+    return db.changes("part", start).select("pk", "change", name("before"), name("after"))
+
+
+@_with_parts("table_pruned_import_rollback", "SELECT p_partkey, p_name FROM part", versioned=True)
+def table_pruned_import_rollback(db: Database, _: DataFrame) -> DataFrame:
+    start = db.checkpoint("part", "start")
+    db.prune("part", checkpoint="start")
+    db.update("part", 2, {"p_name": "x"})
+    db.export(f"{db.store.root}-out")
+    db.delete("part", 3)
+    db.import_(f"{db.store.root}-out")
+    db.rollback("part", at_seq=start)
+    return db.store.scan("part").select("p_partkey", "p_name")
+
+
 @_with_parts("table_sql", "SELECT p_size::BIGINT AS p_size, count(*) AS n FROM part GROUP BY 1")
 def table_sql(db: Database, _: DataFrame) -> DataFrame:
     rows = db.olap.query("SELECT p_size, count(*) AS n FROM part GROUP BY p_size")

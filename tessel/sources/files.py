@@ -1,4 +1,4 @@
-"""Files of any Hadoop file system, for manifests and copies."""
+"""Files of any Hadoop file system: texts kept in versions (manifests), and copies."""
 
 from __future__ import annotations
 
@@ -16,12 +16,22 @@ class Files:
         p = self._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self._conf), p
 
-    def exists(self, path: str) -> bool:
-        fs, p = self._at(path)
-        return fs.exists(p)
+    # kept texts: each write adds a numbered version and the newest counts, so there is never a moment without one
+
+    def _versions(self, path: str) -> list[str]:
+        folder, _, name = path.rpartition("/")
+        return [n for n in self.names(folder) if n.startswith(f"{name}.") and n[len(name) + 1 :].isdigit()]
+
+    def kept(self, folder: str) -> list[str]:
+        """Names of the texts in a folder, without their versions."""
+        return sorted({n.rpartition(".")[0] for n in self.names(folder) if n.rpartition(".")[2].isdigit()})
+
+    def has(self, path: str) -> bool:
+        return bool(self._versions(path))
 
     def read(self, path: str) -> str:
-        fs, p = self._at(path)
+        folder = path.rpartition("/")[0]
+        fs, p = self._at(f"{folder}/{self._versions(path)[-1]}")
         s = fs.open(p)
         try:
             return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(s)).decode()
@@ -29,18 +39,29 @@ class Files:
             s.close()
 
     def write(self, path: str, text: str) -> None:
-        """The file appears whole under its name: written aside, then renamed over."""
-        aside = f"{path}.{uuid.uuid4().hex}"
+        """The next version, written aside and renamed to its number; the one before stays for readers that hold it."""
+        folder, _, name = path.rpartition("/")
+        old = self._versions(path)
+        n = int(old[-1].rpartition(".")[2]) + 1 if old else 1
+        aside = f"{folder}/_{name}-{uuid.uuid4().hex}"
         fs, p = self._at(aside)
         out = fs.create(p, True)
         try:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        _, to = self._at(path)
-        if fs.exists(to):
-            fs.delete(to, False)
-        fs.rename(p, to)
+        to = self._at(f"{path}.{n:012d}")[1]
+        if fs.exists(to) or not fs.rename(p, to):
+            fs.delete(p, False)
+            raise RuntimeError(f"another writer was faster: {path}")
+        for v in old[:-1]:
+            self.delete(f"{folder}/{v}")
+
+    # files
+
+    def exists(self, path: str) -> bool:
+        fs, p = self._at(path)
+        return fs.exists(p)
 
     def names(self, path: str) -> list[str]:
         fs, p = self._at(path)

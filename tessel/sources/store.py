@@ -55,10 +55,10 @@ class Store:
         return f"{self.root}/catalog/{name}.json"
 
     def tables(self) -> list[str]:
-        return [n[:-5] for n in self.files.names(f"{self.root}/catalog") if n.endswith(".json")]
+        return [n[:-5] for n in self.files.kept(f"{self.root}/catalog") if n.endswith(".json")]
 
     def manifest(self, name: str) -> Manifest:
-        if not self.files.exists(self._path(name)):
+        if not self.files.has(self._path(name)):
             raise KeyError(f"no such table: {name}")
         return Manifest(**json.loads(self.files.read(self._path(name))))
 
