@@ -102,12 +102,14 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_column(table(spark, d, "doc_chunks"), "id", "content")
 
 
-_TURNS = r"""m AS (SELECT session_id, id, content, CASE WHEN r IN ('user', 'human') THEN 'user' WHEN r IN ('assistant', 'ai', 'bot', 'model') THEN 'assistant'
+_NOT_BLANK = r"content IS NOT NULL AND NOT regexp_full_match(content, '[ \t\r\n]*')"
+_MESSAGES = rf"""m AS (SELECT session_id, id, content, CASE WHEN r IN ('user', 'human') THEN 'user' WHEN r IN ('assistant', 'ai', 'bot', 'model') THEN 'assistant'
   WHEN r = 'system' THEN 'system' WHEN r IN ('tool', 'function') THEN 'tool' END AS speaker,
-  CASE WHEN regexp_full_match(ts, '\d{9,15}') THEN ts::BIGINT * 1000
-    WHEN regexp_full_match(ts, '\d{4}-\d\d-\d\d[T ]\d\d:\d\d.*') THEN epoch_us(try_cast(CASE WHEN regexp_matches(ts, '(Z|[+-]\d\d(:?\d\d)?)$') AND regexp_matches(ts[11:], '(Z|[+-]\d\d(:?\d\d)?)$') THEN ts ELSE ts || 'Z' END AS TIMESTAMPTZ)) END AS moment
+  CASE WHEN regexp_full_match(ts, '\d{{9,15}}') THEN ts::BIGINT * 1000
+    WHEN regexp_full_match(ts, '\d{{4}}-\d\d-\d\d[T ]\d\d:\d\d.*') THEN epoch_us(try_cast(CASE WHEN regexp_matches(ts, '(Z|[+-]\d\d(:?\d\d)?)$') AND regexp_matches(ts[11:], '(Z|[+-]\d\d(:?\d\d)?)$') THEN ts ELSE ts || 'Z' END AS TIMESTAMPTZ)) END AS moment
   FROM (SELECT * REPLACE (regexp_replace(ts, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS ts), lower(regexp_replace(role, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')) AS r FROM messages
-    WHERE session_id IS NOT NULL AND content IS NOT NULL AND NOT regexp_full_match(content, '[ \t\r\n]*'))),
+    WHERE session_id IS NOT NULL AND {_NOT_BLANK}))"""
+_TURNS = f"""{_MESSAGES},
 o AS (SELECT session_id, moment, speaker, content, min(id) AS id, bool_or(speaker IS NULL OR moment IS NULL) AS bad FROM m GROUP BY ALL),
 s AS (SELECT *, row_number() OVER w - 1 AS turn_no, lag(speaker) OVER w AS prev,
   last_value(CASE WHEN speaker IN ('user', 'assistant') THEN speaker END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY moment, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ua,
@@ -122,6 +124,34 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return threads.conversations(table(spark, d, "messages"))
 
 
+@register(
+    "p5_threads",
+    f"""WITH {_MESSAGES}, u AS (SELECT session_id, coalesce(moment, 0) AS moment, CASE WHEN moment IS NOT NULL THEN speaker END AS speaker, content, min(id) AS id FROM m GROUP BY ALL)
+SELECT id, first_value(id) OVER w AS root, row_number() OVER w - 1 AS depth, 'ok' AS state FROM u WINDOW w AS (PARTITION BY session_id ORDER BY moment, id)""",
+)
+def p5_threads(spark: SparkSession, d: str) -> DataFrame:
+    """Every message with the first one of its session and its place after it."""
+    t = threads.threads(table(spark, d, "messages"))
+    first = t.filter("depth = 0").select("root", F.col("id").alias("_first"))
+    return t.join(first, "root").select("id", F.col("_first").alias("root"), "depth", "state")
+
+
+@register(
+    "p5_orphans",
+    f"""WITH {_MESSAGES.replace(_NOT_BLANK, "true")},
+n AS (SELECT session_id, id, coalesce(moment, 0) AS moment, content IS NULL OR regexp_full_match(content, '[ \\t\\r\\n]*') AS blank FROM m),
+r AS (SELECT *, count(*) FILTER (blank) OVER w AS gap, row_number() OVER w AS pos FROM n WINDOW w AS (PARTITION BY session_id ORDER BY moment, id))
+SELECT id, first_value(id) OVER g AS root, row_number() OVER g - 1 AS depth, CASE WHEN gap > 0 THEN 'orphan' ELSE 'ok' END AS state FROM r WHERE NOT blank WINDOW g AS (PARTITION BY session_id, gap ORDER BY pos)""",
+)
+def p5_orphans(spark: SparkSession, d: str) -> DataFrame:
+    """Each row points to the one before it in its session, blank ones included; without these, what follows one is orphaned."""
+    rows = threads.message_rows(table(spark, d, "messages"))
+    nodes = threads.linked(rows.withColumn("role", F.col("blank").cast("int")), "at", "id").filter("role = 0")
+    t = threads.resolve_threads(nodes, "k", "parent", keep=["id"], unique=True)
+    first = t.filter("depth = 0").select("root", F.col("id").alias("_first"))
+    return t.join(first, "root").select("id", F.col("_first").alias("root"), "depth", "state")
+
+
 @register("p5_conversations", f"WITH {_TURNS} SELECT session_id, turn_no, speaker AS role, content FROM s SEMI JOIN k USING (session_id)")
 def p5_conversations(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "messages")

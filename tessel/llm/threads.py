@@ -1,69 +1,74 @@
-"""Rebuilding conversations from message rows (problem 5).
+"""Rebuilding conversations from message rows (problem 5), by pointer jumping.
 
-``resolve_threads`` follows parent pointers by pointer jumping: each round joins every row's pointer to the row it
-points to and takes over that row's pointer, so a chain of n links is resolved in about log2(n) joins, however long
-one chain is. ``conversations`` gives each message the one before it in its session as parent. Links between rows
-that lie next to each other in a sorted partition are followed in the scan; what is left are links across the edges of
-partitions, at most one a partition, and these are resolved by jumping.
+Every message points to the one before it in its session. ``resolve_threads`` follows these pointers for all rows at
+once: each round joins the rows that still point somewhere to the rows they point to and takes over their pointers, so a
+chain of n links is resolved in about log2(n) joins, however long one chain is and however much of the table it holds.
+Rows that have arrived at a root take no more part but as targets. With the pointer goes what is known of the path
+behind it; at the end each row knows the whole path from its root, a leaf that of the whole conversation.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.plans.shared import discard, materialize
+from tessel.plans.shared import materialize
 
 #: Fixed by the statement of the problem: spellings of the roles.
 ROLES = {"user": ("user", "human"), "assistant": ("assistant", "ai", "bot", "model"), "system": ("system",), "tool": ("tool", "function")}
 _BLANK = r"^[ \t\r\n]*$"
 
 
-def resolve_threads(nodes: DataFrame, key: str = "id", parent: str = "parent") -> DataFrame:
+def resolve_threads(
+    nodes: DataFrame, key: str = "id", parent: str = "parent", *, value: Column | None = None, join: Callable[[Column, Column], Column] | None = None, keep: Sequence[str] = (), unique: bool = False
+) -> DataFrame:
     """``key, root, depth, state`` of each row: ``ok``, ``orphan`` (the chain ends at a parent that isn't there) or
     ``cycle`` (it never ends; ``root`` and ``depth`` are null).
 
-    Defined cases: a null parent is a root; an orphan chain's root is its first row; rows with a null key are left out
-    and of rows repeated under one key the one with the least parent counts; an empty table gives an empty one.
+    With ``value`` and ``join`` (associative: rows followed by later rows) there is ``path``, the values from the root to
+    the row joined in order. Columns in ``keep`` come along. Defined cases: a null parent is a root; an orphan chain's
+    root is its first row; rows with a null key are left out and of rows repeated under one key the one with the least
+    parent counts, unless ``unique`` says there are none; an empty table gives an empty one.
     """
-    n = nodes.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min(parent).alias("_p"))
-    have = n.select(F.col("_k").alias("_h"))
-    start = n.join(have, F.col("_p") == F.col("_h"), "left").select(
-        "_k",
-        F.col("_h").alias("_ptr"),  # null at the end of a chain
-        F.when(F.col("_h").isNotNull(), 1).otherwise(0).cast("long").alias("_d"),
-        F.col("_k").alias("_root"),
-        (F.col("_p").isNotNull() & F.col("_h").isNull()).alias("_orphan"),
-    )
-    state, total, done, rounds = materialize(start, "threads"), None, False, 0
-    while not done:
-        left = state.filter(F.col("_ptr").isNotNull()).count()
-        total = state.count() if total is None else total
-        done = not left or rounds > total.bit_length()  # longer than any chain without a cycle
-        if done:
-            break
-        to = state.select(F.col("_k").alias("_tk"), F.col("_ptr").alias("_tptr"), F.col("_d").alias("_td"), F.col("_root").alias("_troot"), F.col("_orphan").alias("_torphan"))
-        moved = state.join(to, F.col("_ptr") == F.col("_tk"), "left").select(
+    fold = join if value is not None and join is not None else None
+    n = nodes.filter(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(parent).alias("_ptr"), *([value.alias("_v")] if fold else []), *keep)
+    rest = [c for c in n.columns if c not in ("_k", "_ptr")]
+    if not unique:
+        n = n.groupBy("_k").agg(F.min(F.struct(F.col("_ptr").isNull().alias("_n"), "_ptr", *rest)).alias("_r")).select("_k", "_r._ptr", *[f"_r.{c}" for c in rest])
+    start = n.withColumns({"_d": F.when(F.col("_ptr").isNotNull(), 1).otherwise(0).cast("long"), "_root": F.col("_k"), "_orphan": F.lit(False)})
+    state, arrived = materialize(start, "threads"), []
+    total, rounds = state.count(), 0
+    going = F.col("_ptr").isNotNull()
+    # as long as no chain without a cycle can be, some pointers of a cycle still go round
+    while rounds <= total.bit_length() and state.filter(going).take(1):
+        every = reduce(DataFrame.unionByName, arrived, state)
+        to = every.select(F.col("_k").alias("_tk"), F.col("_ptr").alias("_tptr"), F.col("_d").alias("_td"), F.col("_root").alias("_troot"), F.col("_orphan").alias("_torphan"), *([F.col("_v").alias("_tv")] if fold else []))
+        lost = F.col("_tk").isNull()  # the last row passed is the first of an orphaned chain
+        moved = state.filter(going).join(to, F.col("_ptr") == F.col("_tk"), "left").select(
             "_k",
             F.col("_tptr").alias("_ptr"),
-            (F.col("_d") + F.coalesce("_td", F.lit(0))).alias("_d"),
+            *([F.when(lost, F.col("_v")).otherwise(fold(F.col("_tv"), F.col("_v"))).alias("_v")] if fold else []),
+            *keep,
+            F.when(lost, F.col("_d") - 1).otherwise(F.col("_d") + F.col("_td")).alias("_d"),
             F.coalesce("_troot", "_root").alias("_root"),
-            F.coalesce("_torphan", "_orphan").alias("_orphan"),
+            F.coalesce("_torphan", F.lit(True)).alias("_orphan"),
         )
-        following = materialize(moved, "threads")
-        discard(state)
-        state, rounds = following, rounds + 1
-    cyclic = F.col("_ptr").isNotNull()
-    return state.select(
+        arrived.append(state.filter(~going))
+        state, rounds = materialize(moved, "threads"), rounds + 1
+    return reduce(DataFrame.unionByName, arrived, state).select(
         F.col("_k").alias(key),
-        F.when(~cyclic, F.col("_root")).alias("root"),
-        F.when(~cyclic, F.col("_d")).alias("depth"),
-        F.when(cyclic, "cycle").when(F.col("_orphan"), "orphan").otherwise("ok").alias("state"),
+        F.when(~going, F.col("_root")).alias("root"),
+        F.when(~going, F.col("_d")).alias("depth"),
+        F.when(going, "cycle").when(F.col("_orphan"), "orphan").otherwise("ok").alias("state"),
+        *([F.when(~going, F.col("_v")).alias("path")] if fold else []),
+        *keep,
     )
 
 
@@ -84,114 +89,99 @@ def speaker(role: Column) -> Column:
     return code
 
 
-_SUMMARY = "n long, first_role int, last_role int, first_ua int, last_ua int, broken boolean"
-_ROW = f"session string, seg long, part int, idx long, id long, complete boolean, summary struct<{', '.join(x.replace(' ', ':') for x in _SUMMARY.split(', '))}>"
-
-
-def _summary(roles: np.ndarray) -> dict:
-    """Of consecutive rows: their number, the first and last role, first and last of user and assistant, and whether
-    a row has no usable role or time (0) or a user turn starts while the one before is unanswered."""
-    ua = np.flatnonzero((roles == 1) | (roles == 2))
-    r = roles[ua]
-    again = (r[1:] == 1) & (r[:-1] == 1) & (np.diff(ua) > 1)
-    return {
-        "n": len(roles), "first_role": int(roles[0]), "last_role": int(roles[-1]),
-        "first_ua": int(r[0]) if len(r) else None, "last_ua": int(r[-1]) if len(r) else None,
-        "broken": bool((roles == 0).any() or again.any()),
-    }
-
+_LINKED = "session string, id long, role int, k long, parent long, edge int"
 
-def _kept(s: dict) -> bool:
-    return not s["broken"] and s["first_ua"] == 1 and s["last_ua"] == 2
 
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers the rows of a sorted partition and points each to the one before if that is of its session. ``edge`` has
+    bit 1 for the first row, whose predecessor is in another partition, and bit 2 for the last."""
+    at, before = TaskContext.get().partitionId() << 33, None
+    held: tuple | None = None
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Follows the links inside a sorted partition. Sessions wholly inside are decided; the first and last may go on
-    in other partitions and come out with a summary on their last row."""
-    part = TaskContext.get().partitionId()
-    struct = pa.struct([("n", pa.int64()), ("first_role", pa.int32()), ("last_role", pa.int32()), ("first_ua", pa.int32()), ("last_ua", pa.int32()), ("broken", pa.bool_())])
-
-    def out(session, seg, ids, complete, summary):
-        n = len(ids)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([session] * n, pa.string()), pa.array(np.full(n, seg)), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(n)), pa.array(ids), pa.array(np.full(n, complete)), pa.array([None] * (n - 1) + [summary], struct) if summary else pa.nulls(n, struct)],
-            names=["session", "seg", "part", "idx", "id", "complete", "summary"],
-        )
-
-    seg, first, session, ids, roles = part << 33, True, None, [], []
-    ready: list[pa.RecordBatch] = []
-
-    def close(last: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal seg, first
-        if not ids:
-            return
-        i, r = np.concatenate(ids), np.concatenate(roles)
-        s = _summary(r)
-        if first or last:
-            ready.append(out(session, seg, i, False, s))
-        elif _kept(s):
-            ready.append(out(session, seg, i, True, None))
-        seg, first = seg + 1, False
-        if last or len(ready) > 500:
-            for b in pa.Table.from_batches(ready).combine_chunks().to_batches() if ready else ():
-                yield b
-            ready.clear()
+    def out(b: pa.RecordBatch, k: np.ndarray, parent: pa.Array, edge: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(k), parent, pa.array(edge)], names=[x.split()[0] for x in _LINKED.split(", ")])
 
     for b in batches:
-        if not b.num_rows:
+        n = b.num_rows
+        if not n:
             continue
-        names = b.column(0).to_pylist()
-        i, r = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
-        starts = [0] + [k for k in range(1, len(names)) if names[k] != names[k - 1]] + [len(names)]
-        for x, y in zip(starts, starts[1:]):
-            if names[x] != session:
-                yield from close(False)
-                session, ids, roles = names[x], [], []
-            ids.append(i[x:y])
-            roles.append(r[x:y])
-    yield from close(True)
+        session = b.column(0)
+        k = np.arange(at, at + n)
+        same = np.concatenate(([before is not None and session[0].as_py() == before], pc.equal(session[1:], session[:-1]).to_numpy(zero_copy_only=False)))
+        edge = np.zeros(n, np.int32)
+        edge[0] = before is None
+        if held:
+            yield out(*held)
+        held = (b, k, pa.array(k - 1, mask=~same), edge)
+        at, before = at + n, session[n - 1].as_py()
+    if held:
+        held[3][-1] |= 2
+        yield out(*held)
+
+
+def linked(rows: DataFrame, *order: str) -> DataFrame:
+    """``session, id, role, k, parent`` of rows with these columns: ``k`` numbers all rows in order of session and
+    ``order``, ``parent`` is the row before in the session. Rows are range-partitioned by the whole order, so a session of
+    any share of the table is spread over as many partitions as it needs; pointers over the edge of a partition come
+    from the first and last row of each."""
+    ordered = rows.repartitionByRange("session", *order).sortWithinPartitions("session", *order)
+    done = materialize(ordered.select("session", "id", "role").mapInArrow(_links, _LINKED), "linked")
+    prev = Window.orderBy("k")  # over two rows a partition
+    ends = done.filter("edge > 0").withColumns({"_s": F.lag("session").over(prev), "_k": F.lag("k").over(prev)}).filter("edge % 2 = 1")
+    first = ends.withColumn("parent", F.when(F.col("_s") == F.col("session"), F.col("_k")))
+    columns = ["session", "id", "role", "k", "parent"]
+    return done.filter("edge % 2 = 0").select(*columns).unionByName(first.select(*columns))
+
+
+def _alone(role: Column) -> Column:
+    """What a path of one row is: its first and last role, first and last of user and assistant, and whether it is
+    broken (a row without usable role or time, or a user turn that starts while the one before is unanswered)."""
+    own = F.when(role.isin(1, 2), role).cast("byte")
+    return F.struct(role.cast("byte").alias("first"), role.cast("byte").alias("last"), own.alias("first_ua"), own.alias("last_ua"), (role == 0).alias("broken"))
 
 
 def _joined(a: Column, b: Column) -> Column:
-    """Summary of rows followed by more rows of the same session."""
-    unanswered = (a["last_ua"] == 1) & (b["first_ua"] == 1) & ~((b["first_role"] == 1) & (a["last_role"] == 1))
+    """Summary of rows followed by more rows of the same session. Adjacent user rows are one turn."""
+    unanswered = (a["last_ua"] == 1) & (b["first_ua"] == 1) & ~((a["last"] == 1) & (b["first"] == 1))
     return F.struct(
-        (a["n"] + b["n"]).alias("n"), a["first_role"].alias("first_role"), b["last_role"].alias("last_role"),
-        F.coalesce(a["first_ua"], b["first_ua"]).alias("first_ua"), F.coalesce(b["last_ua"], a["last_ua"]).alias("last_ua"),
+        a["first"].alias("first"), b["last"].alias("last"), F.coalesce(a["first_ua"], b["first_ua"]).alias("first_ua"), F.coalesce(b["last_ua"], a["last_ua"]).alias("last_ua"),
         (a["broken"] | b["broken"] | F.coalesce(unanswered, F.lit(False))).alias("broken"),
     )
 
 
-def conversations(messages: DataFrame, *, session: str = "session_id", key: str = "id", role: str = "role", content: str = "content", ts: str = "ts") -> DataFrame:
-    """``session_id, turn_no, id`` of the rows of each kept conversation, ``turn_no`` from 0 in order of time and id.
+def message_rows(messages: DataFrame, *, session: str = "session_id", key: str = "id", role: str = "role", content: str = "content", ts: str = "ts") -> DataFrame:
+    """``session, at, role, hash, id, blank`` of messages with session and id; ``role`` is 0 without usable role or time."""
+    when = instant(F.col(ts))
+    return messages.select(
+        F.col(session).cast("string").alias("session"), F.coalesce(when, F.lit(0)).alias("at"),
+        F.when(when.isNull(), 0).otherwise(F.coalesce(speaker(F.col(role)), F.lit(0))).alias("role"),
+        F.unhex(F.md5(content)).alias("hash"), F.col(key).cast("long").alias("id"),
+        (F.col(content).isNull() | F.col(content).rlike(_BLANK)).alias("blank"),
+    ).filter(F.col("session").isNotNull() & F.col("id").isNotNull())
+
+
+def threads(messages: DataFrame, **columns: str) -> DataFrame:
+    """``k, session, id, root, depth, state, path`` of every message that isn't blank: each points to the one before in
+    its session, of rows with equal instant, speaker and content the lowest id counts. ``root`` is the ``k`` of a row,
+    ``session`` is given for roots only."""
+    rows = message_rows(messages, **columns).filter(~F.col("blank"))
+    once = rows.groupBy("session", "at", "role", "hash").agg(F.min("id").alias("id"))
+    nodes = linked(once, "at", "id").withColumn("session", F.when(F.col("parent").isNull(), F.col("session")))
+    return resolve_threads(nodes, "k", "parent", value=_alone(F.col("role")), join=_joined, keep=["session", "id"], unique=True)
+
+
+def conversations(messages: DataFrame, **columns: str) -> DataFrame:
+    """``session_id, turn_no, id`` of the rows of each kept conversation, ``turn_no`` from 0 in order of time and id: the
+    paths from a root to its leaf.
 
     A session is dropped if a row that isn't blank has an unknown role or no usable time, if it has no user turn, an
     assistant row before the first one, or a user turn without an assistant row before the next one or the end.
 
-    Rows are range-partitioned by session, time and id, so a session of any share of the table is spread over as many
-    partitions as it needs. Defined cases: blank rows and rows without session or id are left out first; of rows with
-    equal instant, speaker and content the lowest id stays; an empty table gives none; other columns are ignored.
+    Defined cases: blank rows and rows without session or id are left out first; of rows with equal instant, speaker and
+    content the lowest id stays; an empty table gives none; other columns are ignored.
     """
-    rows = messages.select(
-        F.col(session).cast("string").alias("session"), F.col(key).cast("long").alias("id"),
-        F.coalesce(instant(F.col(ts)), F.lit(0)).alias("at"),
-        F.when(instant(F.col(ts)).isNull(), 0).otherwise(F.coalesce(speaker(F.col(role)), F.lit(0))).alias("role"),
-        F.unhex(F.md5(content)).alias("hash"), F.col(content).alias("content"),
-    ).filter(F.col("session").isNotNull() & F.col("id").isNotNull() & F.col("content").isNotNull() & ~F.col("content").rlike(_BLANK))
-    once = rows.groupBy("session", "at", "role", "hash").agg(F.min("id").alias("id"))
-    ordered = once.repartitionByRange("session", "at", "id").sortWithinPartitions("session", "at", "id")
-    scanned = materialize(ordered.select("session", "id", "role").mapInArrow(_scan, _ROW), "scanned")
-    whole = scanned.filter("complete").select("session", "idx", "id")
-
-    # at most two segments a partition
-    ends = scanned.filter(F.col("summary").isNotNull()).select("session", "seg", "part", "summary")
-    ends = materialize(ends.withColumn("parent", F.lag("seg").over(Window.partitionBy("session").orderBy("part"))), "segments")
-    path = resolve_threads(ends, "seg", "parent")
-    chain = ends.join(path, "seg").select("seg", "root", "depth", "summary")
-    # a path has at most one segment a partition
-    fold = F.aggregate(F.array_sort(F.collect_list(F.struct("depth", "summary"))), F.lit(None).cast(scanned.schema["summary"].dataType), lambda acc, x: F.when(acc.isNull(), x["summary"]).otherwise(_joined(acc, x["summary"])))
-    verdict = chain.groupBy("root").agg(fold.alias("all")).filter("not all.broken and all.first_ua = 1 and all.last_ua = 2").select("root")
-    before = F.coalesce(F.sum("summary.n").over(Window.partitionBy("root").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = materialize(chain.withColumn("before", before).join(verdict, "root").select("seg", "before"), "offsets")
-    edges = scanned.filter(~F.col("complete")).join(offsets, "seg").select("session", (F.col("idx") + F.col("before")).alias("idx"), "id")
-    return whole.union(edges).select(F.col("session").alias("session_id"), F.col("idx").alias("turn_no"), "id")
+    t = threads(messages, **columns).filter("state = 'ok'")
+    # the deepest row of a root is its leaf, whose path is the conversation: one pre-aggregated row a session
+    leaves = t.groupBy("root").agg(F.max_by("path", "depth").alias("all"), F.max("session").alias("session_id"))
+    kept = materialize(leaves.filter("not all.broken and all.first_ua = 1 and all.last_ua = 2").select("root", "session_id"), "kept")
+    return t.join(kept, "root").select("session_id", F.col("depth").alias("turn_no"), "id")

@@ -33,6 +33,13 @@ def test_pointer_jumping(spark):
     got = {r.id: (r.root, r.depth, r.state) for r in resolve_threads(df).collect()}
     assert got == walk(parents)
     assert resolve_threads(df.limit(0)).count() == 0
+    # with values, here the keys: the path of each row that arrives, and columns that come along
+    got = {r.id: (r.path, r.note) for r in resolve_threads(df.dropDuplicates(["id"]).filter("id is not null").withColumn("note", F.col("id") * 2), value=F.array("id"), join=F.concat, keep=["note"], unique=True).collect()}
+
+    def path(k):
+        return [] if k is None or k not in parents else [*path(parents[k]), k]
+
+    assert got == {k: (None if v[2] == "cycle" else path(k), 2 * k) for k, v in walk(parents).items()}
 
 
 def test_instants_and_roles(spark):
