@@ -1,10 +1,13 @@
 """Personal information inside free text (problem 3), by weak supervision.
 
 1. Broad patterns propose candidate spans of each kind, decoys included.
-2. Labelers vote on each candidate: its form, a gazetteer of people, and the words around it; any may abstain.
-3. Expectation-maximisation over the counts of vote patterns, taken from all candidates, estimates how reliable each
-   labeler is and gives each pattern the probability of being right.
-4. A span classifier over votes, context words and name parts is trained on these probabilities and decides.
+2. Labelers vote on each candidate: its form, a gazetteer of people, a few words that name the kind, and the words around
+   it; any may abstain. Which words speak for or against a kind isn't given but learned: expectation-maximisation over
+   the votes of the other labelers says how probable each candidate is, and the words next to probable and improbable
+   candidates, counted over all of them, vote from then on.
+3. A second expectation-maximisation over the counts of all vote patterns estimates how reliable each labeler is and gives
+   each pattern the probability of being right.
+4. A span classifier over votes, context words, shapes and name parts is trained on these probabilities and decides.
 """
 
 from __future__ import annotations
@@ -12,9 +15,10 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from hashlib import blake2b
 from zlib import crc32
 
 import numpy as np
@@ -28,8 +32,13 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 DIMS = 1 << 15
 #: Most candidates the classifier is fitted on (the ones with the least hashes); everything else covers all rows.
 FIT_ROWS = 40_000
-#: Most street names that are learned from the texts, the most frequent first, and how often one must be seen.
-MOST_STREETS, LEAST_SEEN = 10_000, 2
+#: How often a street name must be seen to be learned, and the most names there may be: each task gets their 8-byte
+#: hashes. More raise.
+LEAST_SEEN, MOST_STREETS = 2, 4_000_000
+#: Context words are counted in so many places (by hash), whatever the number of words; those seen less often abstain.
+CONTEXT_SLOTS, LEAST_CONTEXT = 1 << 16, 5
+#: A context word votes if it shifts the log-odds of a candidate by so much.
+_LEAN = 0.7
 #: Most people a gazetteer may hold, since each task gets the whole of it.
 MOST_PEOPLE = 200_000
 
@@ -61,10 +70,11 @@ _ENGLISH = r"street|road|avenue|lane|drive|court|boulevard|way|terrace|close|cre
 _GERMAN = r"(?:stra(?:ß|ss)e|str\.|weg|gasse|platz|allee|ring|damm|ufer|steig|pfad)"
 # by where they begin: at a house number, or at a street's name, which is looked for only where its word stands
 _DIGIT = re.compile(r"\d")
+_LONG = re.compile(r"\d(?:\D{0,4}\d){5}")  # no shorter number is looked at
 _NUMBER = re.compile(r"(?<![\w.#/-])\d")
 ADDRESSES = (
     (
-        (),
+        ("st", "road", "rd", "avenue", "ave", "lane", "ln", "dr", "court", "ct", "boul", "bl", "way", "terrace", "close", "cres", "sq", "pl", "ro", "walk", "gardens", "hill", "grove", "mews", "ter", "rue", "impasse", "quai", "chemin", "all", "cours", "passage"),
         _p(
             rf"(?<![\w.#/-])(?:(?P<fr>{_NO}(?:{_SP}?(?:bis|ter)\b|[a-f]\b)?,?{_SP}+(?:rue|avenue|boulevard|impasse|quai|chemin|all[ée]e|place|cours|passage|square|route)\b{_SP}+(?:de{_SP}la{_SP}+|de{_SP}l['’]|du{_SP}+|des{_SP}+|de{_SP}+|d['’])?{_WORD}(?:{_SP}{_WORD})?)"
             rf"|(?P<en>{_NO}(?:{_SP}?[a-f]\b)?{_SP}+(?!bis\b|ter\b)(?:(?:north|south|east|west|old|new)\s)?(?:[^\W\d_][\w'’-]{{2,}}{_SP}+){{1,2}}(?:{_ENGLISH})(?![\w-])))"
@@ -81,14 +91,16 @@ _FRENCH_STREET = r"\d{1,5}(?: ?(?:bis|ter)\b|[a-f]\b)?,? +(?:rue|avenue|boulevar
 _PARTICLES = "van|von|de|der|den|di|da|del|della|la|le|du|dos|bin|ben|al|el|af|zu|ter|ten"
 _TOKEN = _p(rf"{_WORD}(?:[-'’]{_WORD})*")
 
-_CUES = {  # words just before or after a candidate, by kind: for it and against it
-    "email": (r"(?:contact:?\s*<?|mailto:|\bcc:?|write to|reply[_ -]?to\W*|address is|send (?:it|this)\W*|bitte an|escr[ií]beme a|forward [\w ]+ to|e-?mail\W*|detail\W*)\s*$", r"(?:pinned|version|ping|package|image|install)\s*$", r"\s*(?:bounced|any time|before|please|, please|\)|>)", r"\s*in the (?:lock ?file|manifest)"),
-    "phone": (r"(?:phone:?|\btel\b\W*|telefon\W*|call (?:me )?(?:on|at)|number is|whatsapp|m[óo]vil:?|mobile\W*|cell\W*|fax\W*|text|ring|joignable au|unter|dial|sms)\s*$", r"(?:\bid\b\W*|\bref\W*|order|ticket|epoch|version|host|range|progress|\bsha|commit|build|rows?|column|port|of|took|says|=)\s*$", r"\s*(?:,? ?ext|bitte|if the|after|before|needs|;)", r"\s*(?:is when|was |rows|items|entries|ms\b|of \d|timed)"),
-    "id_number": (r"(?:ssn\W*(?:is\W*)?|social\W*|soc\. sec\. no\W*|security number\W*|on file\W*|insurance\W*(?:no\W*|number\W*)?|\bnin?o?\b\W*(?:number\W*|is\W*)?|payroll\W*|s[ée]cu(?:rit[ée] sociale)?\W*|insee\W*|\bdni\W*(?:n[ºo°]\W*)?|\bnie\W*|documento\W*|passport\W*(?:no\W*)?|reisepass\W*(?:nr\W*)?|travel document\W*|tax id\W*|steuer-?id\W*|identification number\W*|\bid\W*card\W*)\s*$", r"(?:commit|build|order ref|\bref\W*|ticket|\bsha|version|host|epoch|progress|\bid =?|range|key=?|room|part)\s*$", r"\s*(?:needs a check|\)|on file)", r"\s*(?:touched|failed|is (?!on file)|was |rows|of \d)"),
-    "address": (r"(?:live at|lives at|moved to|jetzt in der|entrega en|livraison au|delivery for|ship [\w ]+ to|pick up at|address\W*|deliver to|located at|send [\w ]+ to)\s*$", r"(?:use the|there are|not the|version|column|says|took|results?|of)\s*$", r"(?:,? ?(?:apt|2nd floor|\d{5}|pueblo|floor)|\s*\(rear|\s*\n|\s*$)", r"\s*(?:tiles|maps|merge|queue|view|lanes?|trips?)"),
-    "name": (r"(?:\bmr\.?|\bmrs\.?|\bms\.?|\bdr\.?|frau|herr|se[ñn]ora?|mme\.?|regards,|name on file:|booked under|assign (?:it )?to|please ask|meeting with|habl[ée] con|this is|\bcc:|called|signed by)\s*$", r"(?:the family|\bhi|\bthe|for|team|from|ledger|release|about|version)\s*$", r"\s*(?:said|approved|signed|called|hat angerufen|ayer|from the|about the|on the|on \w+day)", r"[ ]*(?:folder|case\b|sent the|ltd|inc|gmbh|& co|team\b)"),
-}
-_CUE = {k: tuple(_p(x) for x in v) for k, v in _CUES.items()}
+#: Words that name a kind, in English, German, French and Spanish; of names the titles. Nothing here is about the texts
+#: at hand: what else speaks for or against a candidate is learned from them.
+LABELS = {
+    "email": "email mail mailto correo courriel",
+    "phone": "phone telephone tel telefon téléphone teléfono fax mobile móvil handy cell whatsapp sms",
+    "id_number": "ssn social insurance passport reisepass passeport pasaporte tax steuer dni nie nino insee identity ausweis",
+    "address": "address adresse anschrift dirección",
+    "name": "mr mrs ms miss dr prof herr frau mme mlle sr sra señor señora",
+}
+_LABELS = {k: frozenset(v.split()) for k, v in LABELS.items()}
 _COMMON = frozenset("the a an and or for of to in on at is was are be this that it you your my me i we with from by as not no please done thanks noted here context remind show what why how can could will would if le la les un une des du de et el los las una y der die das und ist ein eine".split())
 
 
@@ -134,15 +146,47 @@ class Candidate:
     start: int
     end: int
     votes: tuple[int, ...]
+    context: list[int]  # places of the two words on the left (together and the nearer one) and on the right
     features: list[int]
 
 
+class _Known(dict):
+    """Whether a word can be part of a name or is a title, remembered; ``any`` over a text's words is one fast pass."""
+
+    def __init__(self, roles) -> None:
+        self.roles = roles
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 1 << 18:
+            self.clear()
+        low = word.lower()
+        known = self[word] = low in _LABELS["name"] or len(word) > 2 and max(self.roles(word)) > 0
+        return known
+
+
+class Streets:
+    """Names of streets as sorted hashes."""
+
+    def __init__(self, hashes: np.ndarray = np.zeros(0, np.int64)) -> None:
+        self.hashes = hashes
+
+    def __contains__(self, name: str) -> bool:
+        h = street_hash(name)
+        i = int(np.searchsorted(self.hashes, h))
+        return i < len(self.hashes) and int(self.hashes[i]) == h
+
+
+def street_hash(name: str) -> int:
+    return int.from_bytes(blake2b(_fold(name).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 class Proposer:
-    """Candidates of a text with their votes and features."""
+    """Candidates of a text with the votes of form, gazetteer and labels, their context and features."""
 
-    def __init__(self, gazetteer: Gazetteer, streets: frozenset[str] = frozenset()) -> None:
-        self.gazetteer, self.streets = gazetteer, streets
+    def __init__(self, gazetteer: Gazetteer, streets: Streets | None = None) -> None:
+        self.gazetteer, self.streets = gazetteer, streets or Streets()
         self.roles = lru_cache(1 << 17)(lambda w: (gazetteer.grade(w, "g"), gazetteer.grade(w, "f")))
+        self.known = _Known(self.roles)
 
     def __call__(self, text: str | None) -> list[Candidate]:
         if not text:
@@ -152,26 +196,27 @@ class Proposer:
         if any(a in low for a in ("@", "＠", "%40", "[at]", "(at)")) or "dot" in low and "at" in low:
             self._emails(text, out)
         if _DIGIT.search(text):
-            for m in PHONE.finditer(text):
-                self._phone(text, m, out)
-            for m in ID.finditer(text):
-                self._id(text, m, out)
-            for m in self._addresses(text):
+            if _LONG.search(text):
+                for m in PHONE.finditer(text):
+                    self._phone(text, m, out)
+                for m in ID.finditer(text):
+                    self._id(text, m, out)
+            for m in self._addresses(text, low):
                 self._address(text, m, out)
-        self._names(text, out)
+        if any(map(self.known.__getitem__, _TOKEN.findall(text))):
+            self._names(text, out)
         return out
 
     def _add(self, out: list[Candidate], text: str, kind: str, a: int, b: int, votes: list[int], extra: list[str]) -> None:
         before, after = text[max(0, a - 40) : a], text[b : b + 30]
-        yes, no, yes_after, no_after = _CUE[kind]
-        for pattern, where, sign in ((yes.search, before, 1), (no.search, before, -1), (yes_after.match, after, 1), (no_after.match, after, -1)):
-            votes.append(sign if pattern(where) else 0)
-        left, right = _TOKEN.findall(before.lower())[-2:], _TOKEN.findall(after.lower())[:2]
+        left, right = _TOKEN.findall(before.lower())[-3:], _TOKEN.findall(after.lower())[:2]
+        votes.append(1 if not _LABELS[kind].isdisjoint(left) else 0)
         span = text[a:b]
-        names = [f"v{i}{v}" for i, v in enumerate(votes)]
-        names += [f"l{left[-1] if left else ''}", f"ll{' '.join(left)}", f"r{right[0] if right else ''}", f"rr{' '.join(right)}", f"p{before[-1:]}", f"n{after[:1]}"]
+        context = [f"l{left[-1] if left else ''}", f"ll{' '.join(left[-2:])}", f"r{right[0] if right else ''}", f"rr{' '.join(right)}"]
+        names = [f"v{i}{v}" for i, v in enumerate(votes)] + context + [f"p{before[-1:]}", f"n{after[:1]}"]
         names += ["s" + re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"\d", "9", span)))[:24], *extra, "bias"]
-        out.append(Candidate(KINDS.index(kind), a, b, tuple(votes), [crc32(f"{kind} {n}".encode()) % DIMS for n in names]))
+        place = lambda n, size: crc32(f"{kind} {n}".encode("utf-8", "surrogatepass")) % size
+        out.append(Candidate(KINDS.index(kind), a, b, tuple(votes), [place(n, CONTEXT_SLOTS) for n in context], [place(n, DIMS) for n in names]))
 
     def _emails(self, text: str, out: list[Candidate]) -> None:
         for m in EMAIL.finditer(text):
@@ -188,8 +233,11 @@ class Proposer:
         n = sum(c.isdigit() for c in s)
         if not 9 <= n <= 15:
             return
-        plain = s.isdigit()
-        votes = [1 if s[0] in "+(" or s.startswith("0") else 0, 0 if plain else 1, -1 if plain and s[0] == "1" else 0]
+        plain, digits = s.isdigit(), re.sub(r"\D", "", s)
+        # a number of the North American plan begins neither its area nor its exchange with 0 or 1
+        american = len(digits) == 10 and digits[0] in "23456789" and digits[3] in "23456789"
+        moment = plain and n == 10 and s[0] == "1"  # as well a count of seconds since 1970
+        votes = [1 if s[0] in "+(" or s.startswith("0") else 0, 0 if plain else 1, 1 if american else -1 if moment else 0]
         self._add(out, text, "phone", *m.span(), votes, [f"d{n}", f"i{s[:2]}"])
 
     def _id(self, text: str, m: re.Match, out: list[Candidate]) -> None:
@@ -201,20 +249,20 @@ class Proposer:
             form = -1 if digits[:3] == "000" or digits[3:5] == "00" or digits[5:] == "0000" else 1
         elif shape.startswith("AA") or len(digits) >= 13 or shape == "99-999-999-999":
             form = 1
-        elif re.fullmatch(r"9{8}-?A", shape):  # the control letter of a Spanish identity number
-            form = 1 if "TRWAGMYFPDXBNJZSQVHLCKE"[int(digits) % 23] == s[-1].upper() else 0
+        elif re.fullmatch(r"9{8}-?A|[XYZ]9{7}[A-Z]", re.sub("^[xyz]", lambda x: x[0].upper(), shape if shape[0] == "9" else s[0] + shape[1:])) or re.fullmatch("A9{8}", shape):
+            form = 1  # Spanish identity numbers; passports of a letter and eight digits
         elif shape == "999-99-999":
             form = -1
-        self._add(out, text, "id_number", *m.span(), [form, 1 if len(digits) >= 9 and form >= 0 else 0], [f"f{shape}", f"i{s[:1].upper()}"])
+        control = bool(re.fullmatch(r"9{8}-?A", shape)) and "TRWAGMYFPDXBNJZSQVHLCKE"[int(digits) % 23] == s[-1].upper()
+        self._add(out, text, "id_number", *m.span(), [form, 1 if len(digits) >= 9 and form >= 0 or control else 0], [f"f{shape}", f"i{s[:1].upper()}"])
 
-    def _addresses(self, text: str) -> Iterator[re.Match]:
-        (_, numbered), *named = ADDRESSES
+    def _addresses(self, text: str, low: str) -> Iterator[re.Match]:
+        (numbers, numbered), *named = ADDRESSES
         done = 0
-        for n in _NUMBER.finditer(text):
+        for n in _NUMBER.finditer(text) if any(w in low for w in numbers) else ():
             if n.start() >= done and (m := numbered.match(text, n.start())):
                 done = m.end()
                 yield m
-        low = text.lower()
         for words, pattern in named:
             if any(w in low for w in words):
                 yield from pattern.finditer(text)
@@ -241,9 +289,9 @@ class Proposer:
         lone = len(words) == 1 or _fold(words[0]) in ("de", "du", "des", "d'") and len(words) == 2 or [_fold(w) for w in words[:2]] == ["de", "la"] and len(words) == 3
         if lone:
             return s
-        if _fold(street) in self.streets:
+        if street in self.streets:
             return s
-        if _fold(street.rpartition(" ")[0]) in self.streets:
+        if street.rpartition(" ")[0] in self.streets:
             return short
         return s if last[:1].isupper() and (not after.strip() or after[:1] in ",;\n\"(") or after[:2] == " (" and last[:1].isupper() else short
 
@@ -254,8 +302,7 @@ class Proposer:
         i = 0
         while i < len(tokens) - 1:
             used = 1
-            cued = tokens[i][2][0].isupper() and tokens[i + 1][2][0].isupper() and _fold(tokens[i][2]) not in _COMMON
-            if max(graded[i]) or cued:
+            if max(graded[i]) or tokens[i][2][0].isupper() and i and tokens[i - 1][2].lower() in _LABELS["name"]:
                 used = self._name_at(text, tokens, graded, i, out)
             i += used
 
@@ -287,7 +334,7 @@ class Proposer:
         if comma and not (given and family):
             return 1
         if not (given or family):
-            if comma or not _CUE["name"][0].search(text[max(0, a - 40) : a]) or not (first[0].isupper() and last[0].isupper()) or _fold(last) in _COMMON:
+            if comma or not i or tokens[i - 1][2].lower() not in _LABELS["name"] or text[tokens[i - 1][1] : a] not in (" ", ". ") or not (first[0].isupper() and last[0].isupper()) or _fold(last) in _COMMON:
                 return 1
         trade = _fold(last) in self.gazetteer.trades or j + 1 < len(tokens) and text[b : tokens[j + 1][0]] == " " and _fold(tokens[j + 1][2]) in self.gazetteer.trades
         votes = [1 if given == 2 and family == 2 else 0, 1 if given and family else -1, 1 if given == 2 or family == 2 else 0, -1 if trade else 0, -1 if _fold(first) in _COMMON or _fold(last) in _COMMON else 0]
@@ -351,13 +398,32 @@ def chosen(candidates: Iterable[tuple[int, int, int, float]]) -> list[tuple[int,
     return sorted(out, key=lambda c: c[1])
 
 
-_ONE = "struct<kind:int,start:int,end:int,span:string,votes:string,features:array<int>>"
-_ARROW = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("span", pa.string()), ("votes", pa.string()), ("features", pa.list_(pa.int32()))]))
+_ONE = "struct<kind:int,start:int,end:int,span:string,votes:string,context:array<int>,features:array<int>>"
+_ARROW = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("span", pa.string()), ("votes", pa.string()), ("context", pa.list_(pa.int32())), ("features", pa.list_(pa.int32()))]))
+
+
+def context_votes(leans: np.ndarray, context: Sequence[int]) -> tuple[int, int]:
+    """What the words on the left and on the right say, of the nearer word and of both the one that leans more."""
+    a, b, c, d = leans[context].tolist()
+    left, right = a if abs(a) > abs(b) else b, c if abs(c) > abs(d) else d
+    return int(left > _LEAN) - int(left < -_LEAN), int(right > _LEAN) - int(right < -_LEAN)
+
+
+def leaning(count: np.ndarray, mass: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """By how much the log-odds of candidates at each place differ from those of their kind (``prior``)."""
+    logit = lambda p: np.log(p) - np.log1p(-p)
+    prior = np.clip(prior, 1e-3, 1 - 1e-3)
+    here = np.clip((mass + 2 * prior) / (count + 2), 1e-3, 1 - 1e-3)
+    return np.where(count >= LEAST_CONTEXT, logit(here) - logit(prior), 0.0)
 
 
 class PersonalInformation:
     """Finds and replaces personal information in a text column.
 
+    What reaches the driver is bounded whatever the number of rows: vote patterns (3 to the number of labelers a kind), the
+    counts of ``CONTEXT_SLOTS`` places, ``fit_rows`` candidates, hashes of street names (more than ``MOST_STREETS``
+    raise) and the gazetteer (more than ``MOST_PEOPLE`` raise).
+
     Defined cases: null and empty texts hold none and come out unchanged; a text of any length is read whole; repeated
     rows are handled alike; the gazetteer may be empty or hold nulls; other columns are ignored.
     """
@@ -371,15 +437,25 @@ class PersonalInformation:
         self.gazetteer = Gazetteer(*([r[i] for r in known] for i in range(3)))
         self.streets = self._streets()
         self.candidates = materialize(self.rows.mapInArrow(self._propose(), f"key {self.kind}, found array<{_ONE}>"), "candidates")
+        self.leans = self._learn_context()
         self.weights = self._train(fit_rows)
 
-    def _streets(self) -> frozenset[str]:
+    def _streets(self) -> Streets:
         """Street names whose end the punctuation shows, where such a name may have one word or two."""
         names = F.regexp_extract_all(F.lower("text"), F.lit("(?i)" + _FRENCH_STREET), F.lit(1))
         seen = self.rows.select(F.explode(names).alias("n")).groupBy("n").count().filter(F.col("count") >= LEAST_SEEN)
-        found = {_fold(r.n): r["count"] for r in seen.orderBy(F.desc("count"), "n").limit(MOST_STREETS).collect()}
         # a word that now and then follows a frequent name isn't part of it
-        return frozenset(n for n, k in found.items() if found.get(n.rpartition(" ")[0], 0) < k)
+        short = seen.select(F.col("n").alias("_s"), F.col("count").alias("_more"))
+        kept = seen.join(short, F.regexp_replace("n", " [^ ]*$", "") == F.col("_s"), "left").filter((F.col("n") == F.col("_s")) | F.col("_more").isNull() | (F.col("_more") < F.col("count"))).select("n")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([street_hash(n) for n in b.column(0).to_pylist()], pa.int64())], names=["h"])
+
+        found = kept.mapInArrow(run, "h long").limit(MOST_STREETS + 1).toArrow()["h"].to_numpy()
+        if len(found) > MOST_STREETS:
+            raise ValueError(f"more than {MOST_STREETS} street names")
+        return Streets(np.unique(found))
 
     def _propose(self):
         gazetteer, streets = self.gazetteer, self.streets
@@ -391,26 +467,46 @@ class PersonalInformation:
                 for i, t in enumerate(b.column(1).to_pylist()):
                     if c := own(t):
                         at.append(i)
-                        found.append([{"kind": x.kind, "start": x.start, "end": x.end, "span": t[x.start : x.end], "votes": " ".join(map(str, x.votes)), "features": x.features} for x in c])
+                        found.append([{"kind": x.kind, "start": x.start, "end": x.end, "span": t[x.start : x.end], "votes": " ".join(map(str, x.votes)), "context": x.context, "features": x.features} for x in c])
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(found, _ARROW)], names=["key", "found"])
 
         return run
 
+    def _learn_context(self) -> np.ndarray:
+        """How much the words at each place lean, from all candidates and what the other labelers say of them."""
+        c = self.candidates.select(F.explode("found").alias("c"))
+        counts = [(r.kind, r.votes, r["count"]) for r in c.groupBy("c.kind", "c.votes").count().collect()]
+        right = estimated(counts)
+        prior = {k: sum(right[a, v] * n for a, v, n in counts if a == k) / max(1, sum(n for a, _, n in counts if a == k)) for k in range(len(KINDS))}
+        count, mass, base = np.zeros(CONTEXT_SLOTS), np.zeros(CONTEXT_SLOTS), np.full(CONTEXT_SLOTS, 0.5)
+        if right:
+            table = F.create_map(*[x for (k, v), p in right.items() for x in (F.lit(f"{k} {v}"), F.lit(float(p)))])
+            places = c.select("c.kind", F.element_at(table, F.concat_ws(" ", "c.kind", "c.votes")).alias("p"), F.explode("c.context").alias("at"))
+            for r in places.groupBy("at").agg(F.count("*").alias("n"), F.sum("p").alias("m"), F.min("kind").alias("kind")).toArrow().to_pylist():
+                count[r["at"]], mass[r["at"]], base[r["at"]] = r["n"], r["m"], prior[r["kind"]]
+        return leaning(count, mass, base)
+
     def _train(self, fit_rows: int) -> np.ndarray:
-        c = self.candidates.select("key", F.explode("found").alias("c")).select("key", "c.kind", "c.start", "c.votes", "c.features")
-        # at most 3 to the number of labelers patterns a kind, whatever the number of rows
-        counts = c.groupBy("kind", "votes").count().collect()
-        right: dict[tuple[int, str], float] = {}
-        for k in range(len(KINDS)):
-            p = Counter({tuple(map(int, r.votes.split())): r["count"] for r in counts if r.kind == k})
-            right |= {(k, " ".join(map(str, v))): x for v, x in reliabilities(p).items()}
-        self.reliability = right
-        sample = c.orderBy(F.xxhash64("key", "start", "kind"), "key", "start", "kind").limit(fit_rows).select("kind", "votes", "features").collect()
-        return fit([r.features for r in sample], np.array([right[r.kind, r.votes] for r in sample]))
+        c = self.candidates.select("key", F.explode("found").alias("c")).select("key", "c.kind", "c.start", "c.votes", "c.context", "c.features")
+        leans = self.leans
+
+        def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: Counter = Counter()
+            for b in batches:
+                for kind, votes, context in zip(*(x.to_pylist() for x in b.columns)):
+                    x, y = context_votes(leans, context)
+                    total[kind, f"{votes} {x} {y}"] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in total], pa.int32()), pa.array([v for _, v in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["kind", "votes", "n"])
+
+        counts = c.select("kind", "votes", "context").mapInArrow(patterns, "kind int, votes string, n long").groupBy("kind", "votes").agg(F.sum("n")).collect()
+        self.reliability = right = estimated(counts)
+        sample = c.orderBy(F.xxhash64("key", "start", "kind"), "key", "start", "kind").limit(fit_rows).select("kind", "votes", "context", "features").collect()
+        votes = [context_votes(leans, r.context) for r in sample]
+        return fit([[*r.features, *_voted(r.kind, v)] for r, v in zip(sample, votes)], np.array([right[r.kind, f"{r.votes} {x} {y}"] for r, (x, y) in zip(sample, votes)]))
 
     def spans(self) -> DataFrame:
         """``key, kind, start, end, span`` of everything found; ``start`` counts from 0."""
-        w = self.weights
+        w, leans = self.weights, self.leans
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = ["key", "kind", "start", "end", "span"]
@@ -418,7 +514,7 @@ class PersonalInformation:
                 at, kinds, starts, ends, texts = [], [], [], [], []
                 for i, cs in enumerate(b.column(1).to_pylist()):
                     text_of = {(c["kind"], c["start"], c["end"]): c["span"] for c in cs}
-                    for k, s, e in chosen((c["kind"], c["start"], c["end"], _probability(w, c["features"])) for c in cs):
+                    for k, s, e in chosen((c["kind"], c["start"], c["end"], _probability(w, leans, c["kind"], c["context"], c["features"])) for c in cs):
                         for col, x in zip((at, kinds, starts, ends, texts), (i, KINDS[k], s, e, text_of[k, s, e])):
                             col.append(x)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(texts, pa.string())], names=names)
@@ -431,14 +527,14 @@ class PersonalInformation:
 
     def redacted(self) -> DataFrame:
         """``key, text`` with ``[EMAIL]``, ``[PHONE]``, ``[ID_NUMBER]``, ``[ADDRESS]`` and ``[NAME]`` for what was found; one row per input row."""
-        w, gazetteer, streets = self.weights, self.gazetteer, self.streets
+        w, leans, gazetteer, streets = self.weights, self.leans, self.gazetteer, self.streets
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = Proposer(gazetteer, streets)
             for b in batches:
                 out = []
                 for t in b.column(1).to_pylist():
-                    for k, s, e in reversed(chosen((c.kind, c.start, c.end, _probability(w, c.features)) for c in own(t))):
+                    for k, s, e in reversed(chosen((c.kind, c.start, c.end, _probability(w, leans, c.kind, c.context, c.features)) for c in own(t))):
                         t = f"{t[:s]}[{KINDS[k].upper()}]{t[e:]}"
                     out.append(t)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["key", "text"])
@@ -446,6 +542,17 @@ class PersonalInformation:
         return self.rows.mapInArrow(run, f"key {self.kind}, text string")
 
 
-def _probability(w: np.ndarray, features: list[int]) -> float:
-    return 1 / (1 + np.exp(-np.clip(w[features].sum(), -30, 30)))
+def estimated(counts: Iterable[tuple[int, str, int]]) -> dict[tuple[int, str], float]:
+    """``reliabilities`` of each kind, from ``kind, votes, count``."""
+    by: dict[int, Counter] = {}
+    for kind, votes, n in counts:
+        by.setdefault(kind, Counter())[tuple(map(int, votes.split()))] += n
+    return {(k, " ".join(map(str, v))): x for k, p in by.items() for v, x in reliabilities(p).items()}
+
+
+def _voted(kind: int, votes: tuple[int, int]) -> list[int]:
+    return [crc32(f"{KINDS[kind]} c{i}{v}".encode()) % DIMS for i, v in enumerate(votes)]
+
 
+def _probability(w: np.ndarray, leans: np.ndarray, kind: int, context: Sequence[int], features: list[int]) -> float:
+    return 1 / (1 + np.exp(-np.clip(w[[*features, *_voted(kind, context_votes(leans, context))]].sum(), -30, 30)))
