@@ -8,10 +8,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessel.plans.shared import materialize
+
 SET_OPS = ("add", "insert", "update", "upsert")
 CLEAR_OPS = ("delete", "remove")
 ROW_CLEAR_OPS = ("row_delete",)
 
+#: Ids whose number differs only in so many low bits are replayed together; the number of slices grows with the feed.
+SLICE_BITS = 12
+
 _SET, _CLEAR, _ROW_CLEAR = 1, 2, 3
 _PARTIAL = "app_table string, row_id long, column_name string, id long, live boolean, row_clear boolean"
 
@@ -82,7 +87,7 @@ def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield emit()
 
 
-def replay_changes(journal: DataFrame, *, applied: DataFrame | None = None, salt_bits: int = 5) -> DataFrame:
+def replay_changes(journal: DataFrame, *, applied: DataFrame | None = None, slice_bits: int = SLICE_BITS) -> DataFrame:
     """Live cells after all changes: ``app_table, row_id, column_name, id`` (the entry each came from).
 
     Entries are repartitioned by row and a slice of the sequence, sorted by sequence within partitions and replayed
@@ -104,13 +109,19 @@ def replay_changes(journal: DataFrame, *, applied: DataFrame | None = None, salt
             .filter(F.col("applied_id").isNull() | (F.col("id") > F.col("applied_id")))
             .drop("_at", "_ar", "applied_id")
         )
-    slice_ = F.pmod(F.shiftright("id", 12), F.lit(1 << salt_bits))
+    slice_ = F.shiftright("id", slice_bits)
     parts = (
         todo.repartition(F.col("app_table"), F.col("row_id"), slice_)
         .sortWithinPartitions("app_table", "row_id", "id")
         .select("app_table", "row_id", "column_name", "id", "code")
         .mapInArrow(_replay, _PARTIAL)
     )
+    return merged_cells(parts)
+
+
+def merged_cells(parts: DataFrame) -> DataFrame:
+    """Live cells from what slices of the sequence say: ``app_table, row_id, column_name, id, live, row_clear``, at most
+    one row a slice and cell, and one with null column for its last row-wide clear."""
     # one row per touched column of a row (null column: row-wide clear), so the window holds at most a table's width
     merged = parts.groupBy("app_table", "row_id", "column_name", "row_clear").agg(F.max(F.struct("id", "live")).alias("_c"))
     of_row = Window.partitionBy("app_table", "row_id")
@@ -123,6 +134,8 @@ def replay_changes(journal: DataFrame, *, applied: DataFrame | None = None, salt
 
 def current_rows(journal: DataFrame) -> DataFrame:
     """``replay_changes`` with the text each live cell holds (``data`` of the entry it came from)."""
-    live = replay_changes(journal)
-    value = journal.groupBy("id").agg(F.max(F.struct(F.coalesce("retries", F.lit(0)).alias("_t"), "app_table", "row_id", "column_name", _plain(F.col("op")).alias("op"), _plain(F.col("status")).alias("status"), "data")).alias("_e"))
+    live = materialize(replay_changes(journal), "live")
+    # only entries of live cells bring their text
+    rank = F.struct(F.coalesce("retries", F.lit(0)).alias("_t"), "app_table", "row_id", "column_name", _plain(F.col("op")).alias("op"), _plain(F.col("status")).alias("status"), "data")
+    value = journal.join(live.select("id"), "id", "left_semi").groupBy("id").agg(F.max(rank).alias("_e"))
     return live.join(value.select("id", F.col("_e.data").alias("value")), "id").select("app_table", "row_id", "column_name", "id", "value")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.operators import journal, versioning
 from tessel.plans.shared import materialize, shared_root
+from tessel.query_sets.problems import LIVE_CELLS
 from tessel.query_sets.registry import register
 from tessel.sources.tables import table
 from tessel.streaming import changes
@@ -122,22 +125,31 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _run(spark: SparkSession, stream: DataFrame, name: str, mode: str) -> DataFrame:
-    import uuid
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def _run(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+    return changes.drained(stream, _folder(spark), mode)
+
 
-    tag = uuid.uuid4().hex
-    return changes.drained(stream, f"{name}_{tag}", mode, f"{shared_root(spark)}/stream-{tag}")
+def _batches(spark: SparkSession, *parts: DataFrame) -> tuple[str, DataFrame]:
+    """A folder with one file a part, in order, and the stream that reads one of them a micro-batch."""
+    at = _folder(spark)
+    for p in parts:
+        p.coalesce(1).write.mode("append").parquet(f"{at}/in")
+    return at, changes.file_stream(spark, f"{at}/in", parts[0].schema)
 
 
 @register("stream_tumbling", "SELECT epoch_us(date_trunc('hour', ts)) AS w, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
-    out = _run(spark, changes.windowed_counts(_stream(spark, d), "ts", "event_type", "value"), "tumbling", "complete")
+    out = _run(spark, changes.windowed_counts(_stream(spark, d), "ts", "event_type", "value"), "complete")
     return out.select(F.unix_micros("window_start").alias("w"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
 @register("stream_sliding", "SELECT (h - k) * 1800000000 AS w, event_type, count(*) AS n FROM (SELECT epoch_us(ts) // 1800000000 AS h, event_type, unnest([0, 1]) AS k FROM events) GROUP BY ALL")
 def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
-    out = _run(spark, changes.windowed_counts(_stream(spark, d), "ts", "event_type", "value", "1 hour", "30 minutes"), "sliding", "complete")
+    out = _run(spark, changes.windowed_counts(_stream(spark, d), "ts", "event_type", "value", "1 hour", "30 minutes"), "complete")
     return out.select(F.unix_micros("window_start").alias("w"), "event_type", "n")
 
 
@@ -147,10 +159,52 @@ def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
 b AS (SELECT user_id, t, sum(fresh) OVER (PARTITION BY user_id ORDER BY t) AS s FROM a) SELECT user_id, min(t) AS started, count(*) AS n FROM b GROUP BY user_id, s""",
 )
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    out = _run(spark, changes.sessions(_stream(spark, d), "ts", "user_id", "2 hours", "30 days"), "sessions", "complete")
+    out = _run(spark, changes.sessions(_stream(spark, d), "ts", "user_id", "2 hours", "30 days"), "complete")
     return out.select("user_id", F.unix_micros("session_start").alias("started"), "n")
 
 
 @register("stream_deduplicated", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_deduplicated(spark: SparkSession, d: str) -> DataFrame:
-    return _run(spark, changes.deduplicated(_stream(spark, d), "ts", ["user_id", "event_type"], "1000 days").select("user_id", "event_type"), "once", "append")
+    return _run(spark, changes.deduplicated(_stream(spark, d), "ts", ["user_id", "event_type"], "1000 days").select("user_id", "event_type"), "append")
+
+
+@register(
+    "stream_late_rows",
+    """WITH h AS (SELECT min(epoch_us(ts)) + (max(epoch_us(ts)) - min(epoch_us(ts))) // 2 AS half, max(epoch_us(ts)) AS last FROM events)
+SELECT epoch_us(ts) // 3600000000 * 3600000000 AS w, event_type, count(*) AS n FROM events, h
+WHERE NOT (event_id % 50 = 0 AND epoch_us(ts) < half) AND (epoch_us(ts) // 3600000000 + 1) * 3600000000 <= (last - 7200000000) // 1000 * 1000 GROUP BY ALL""",
+)
+def stream_late_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every fiftieth row of the first half comes after the second half: the watermark of two hours has passed it, so it
+    is dropped; windows come out once, when the watermark has passed their end."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    lo, hi = e.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    late = (F.col("event_id") % 50 == 0) & (F.unix_micros("ts") < lo + (hi - lo) // 2)
+    early = F.unix_micros("ts") < lo + (hi - lo) // 2
+    _, s = _batches(spark, e.filter(~late & early), e.filter(~late & ~early), e.filter(late))
+    out = _run(spark, changes.windowed_counts(s, "ts", "event_type", "value", late="2 hours"), "append")
+    return out.select(F.unix_micros("window_start").alias("w"), "event_type", "n")
+
+
+@register("stream_live_cells", f"WITH {LIVE_CELLS} SELECT * FROM live")
+def stream_live_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The journal in four micro-batches without any order, so that entries come late and again with other outcomes."""
+    j = table(spark, d, "journal")
+    part = F.pmod(F.xxhash64("id", "retries", "status"), F.lit(4))
+    at, s = _batches(spark, *[j.filter(part == i) for i in range(4)])
+    cells = changes.LiveCells(spark, f"{at}/cells")
+    cells.follow(s, f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return cells.cells()
+
+
+@register("stream_mirror", "SELECT k AS c_custkey, n AS o_orderkey FROM (SELECT o_custkey AS k, max(o_orderkey) AS n, arg_max(o_orderstatus, o_orderkey) AS s FROM orders GROUP BY 1) WHERE s <> 'F'")
+def stream_mirror(spark: SparkSession, d: str) -> DataFrame:
+    """The last order of each customer unless that is closed, from changes that come latest first."""
+    op = F.when(F.col("o_orderstatus") == "F", "delete").otherwise("upsert")
+    feed = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", op.alias("op"))
+    lo, hi = feed.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    a, b = lo + (hi - lo) * 2 // 3, lo + (hi - lo) // 3
+    at, s = _batches(spark, feed.filter(F.col("o_orderkey") >= a), feed.filter((F.col("o_orderkey") >= b) & (F.col("o_orderkey") < a)), feed.filter(F.col("o_orderkey") < b))
+    mirror = changes.Mirror(spark, f"{at}/mirror", feed.schema, ["c_custkey"], "o_orderkey")
+    changes.mirror_stream(s, mirror, f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return mirror.rows()

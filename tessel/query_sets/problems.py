@@ -37,7 +37,7 @@ _ENTRIES = r"""
   SELECT * FROM (SELECT *, regexp_replace(lower(op), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS o, regexp_replace(lower(status), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS s,
     row_number() OVER (PARTITION BY id ORDER BY coalesce(retries, 0) DESC, app_table DESC NULLS LAST, row_id DESC NULLS LAST, column_name DESC NULLS LAST, lower(trim(op)) DESC NULLS LAST, lower(trim(status)) DESC NULLS LAST) AS rn FROM journal WHERE id IS NOT NULL)
   WHERE rn = 1 AND row_id IS NOT NULL AND s IS DISTINCT FROM 'failed'"""
-_LIVE = f"""e AS ({_ENTRIES}),
+LIVE_CELLS = f"""e AS ({_ENTRIES}),
 c AS (SELECT app_table, row_id, column_name, max(id) AS id, arg_max(o IN ('add', 'insert', 'update', 'upsert'), id) AS live FROM e
   WHERE column_name IS NOT NULL AND o IN ('add', 'insert', 'update', 'upsert', 'delete', 'remove') GROUP BY ALL),
 k AS (SELECT app_table, row_id, max(id) AS cleared FROM e WHERE o = 'row_delete' GROUP BY ALL),
@@ -45,11 +45,11 @@ live AS (SELECT c.app_table, c.row_id, c.column_name, c.id FROM c LEFT JOIN k ON
   WHERE c.live AND (k.cleared IS NULL OR c.id > k.cleared))"""
 
 
-@register("p4_found", f"WITH {_LIVE} SELECT * FROM live")
+@register("p4_found", f"WITH {LIVE_CELLS} SELECT * FROM live")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return changefeed.replay_changes(table(spark, d, "journal"))
 
 
-@register("p4_rows", f"WITH {_LIVE} SELECT live.*, e.data AS value FROM live JOIN e USING (id)")
+@register("p4_rows", f"WITH {LIVE_CELLS} SELECT live.*, e.data AS value FROM live JOIN e USING (id)")
 def p4_rows(spark: SparkSession, d: str) -> DataFrame:
     return changefeed.current_rows(table(spark, d, "journal"))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+import uuid
+from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessel.operators.changefeed import CLEAR_OPS, ROW_CLEAR_OPS, SET_OPS
-from tessel.operators.journal import apply_to_mirror, last_op_wins
+from tessel.operators.changefeed import CLEAR_OPS, ROW_CLEAR_OPS, SET_OPS, SLICE_BITS, merged_cells
+from tessel.sources.files import Files
 
 
 def file_stream(spark: SparkSession, folder: str, schema: Any, files_per_batch: int = 1, pattern: str = "*.parquet") -> DataFrame:
@@ -19,48 +22,123 @@ def file_stream(spark: SparkSession, folder: str, schema: Any, files_per_batch:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", pattern).parquet(folder)
 
 
-def mirror_stream(changes: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame], None], key: str, order: str, checkpoint: str):
-    """Keeps a mirror in step with a stream of changes (the mirror's columns, ``op`` and ``order``): of each micro-batch the
-    last change per key is applied. Applying a batch again leaves the mirror as it is, so a restart is safe."""
+class Mirror:
+    """The last change of each key, kept under ``path`` in buckets of the key, deletes included.
 
-    def apply(batch: DataFrame, _: int) -> None:
-        fields = [c for c in batch.columns if c not in (key, order)]
-        write(apply_to_mirror(read(), last_op_wins(batch, [key], order, *fields), key))
+    Of changes of one key the one with the highest ``order`` counts (of equals the greatest), in whichever batch it comes;
+    so late batches, repeated ones and restarts leave the same mirror. A batch rewrites only the buckets it touches: their
+    new files are written beside the old ones, then a versioned manifest points to them.
+    """
 
-    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], order: str, op: str = "op", buckets: int = 64) -> None:
+        self.spark, self.path, self.keys, self.order, self.op, self.buckets = spark, path, keys, order, op, buckets
+        self.schema, self.files = schema, Files(spark)
+
+    def _held(self) -> dict[str, str]:
+        at = f"{self.path}/mirror.json"
+        return json.loads(self.files.read(at)) if self.files.has(at) else {}
+
+    def apply(self, batch: DataFrame, _: int = 0) -> None:
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        rest = [f.name for f in self.schema if f.name not in (*self.keys, self.order)]
+        last = lambda df: df.groupBy(*self.keys, "_bucket").agg(F.max(F.struct(self.order, *rest)).alias("_l")).select("_bucket", *self.keys, "_l.*")
+        new = fresh = last(batch.select(*self.schema.names).withColumn("_bucket", bucket)).persist()
+        try:
+            touched = [str(r[0]) for r in new.select("_bucket").distinct().collect()]  # at most the number of buckets
+            if not touched:
+                return
+            held, into = self._held(), f"{self.path}/{uuid.uuid4().hex}"
+            old = [held[b] for b in touched if b in held]
+            if old:
+                kept = self.spark.read.schema(self.schema).parquet(*old).withColumn("_bucket", bucket)
+                new = last(kept.unionByName(fresh.select("_bucket", *self.schema.names)))
+            new.select("_bucket", *self.schema.names).repartition("_bucket").write.partitionBy("_bucket").parquet(into)
+            self.files.write(f"{self.path}/mirror.json", json.dumps(held | {b: f"{into}/_bucket={b}" for b in touched}))
+            for folder in old:
+                self.files.delete(folder)
+        finally:
+            fresh.unpersist()
+
+    def changes(self) -> DataFrame:
+        """The last change of every key ever seen."""
+        held = self._held()
+        return self.spark.read.schema(self.schema).parquet(*held.values()) if held else self.spark.createDataFrame([], self.schema)
+
+    def rows(self) -> DataFrame:
+        """The rows there now, without ``op``."""
+        return self.changes().filter(~F.col(self.op).eqNullSafe("delete")).drop(self.op)
+
+
+def mirror_stream(changes: DataFrame, mirror: Mirror, checkpoint: str):
+    """Keeps a mirror in step with a stream of changes."""
+    return changes.writeStream.foreachBatch(mirror.apply).option("checkpointLocation", checkpoint)
+
+
+_PARTIAL = "app_table string, row_id long, slice long, column_name string, row_clear boolean, id long, live boolean"
 
 
 def _code(op: str | None, column: str | None) -> int:
-    op = (op or "").strip().lower()
     if op in ROW_CLEAR_OPS:
         return 3
     return 0 if column is None else 1 if op in SET_OPS else 2 if op in CLEAR_OPS else 0
 
 
 def _cells(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State of a row: entry by column, cleared ones negative, and the last row-wide clear under ''."""
-    names, ids = state.get if state.exists else ([], [])
-    cells = dict(zip(names, ids))
+    """State of a slice of a row: its entries, of one id that with the most retries. Puts out what the slice says of each
+    column it ever touched and of the whole row (null column); a null id takes back what was said before."""
+    entries: dict[int, tuple] = {i: (t, c, o, s) for i, t, c, o, s in zip(*state.get)} if state.exists else {}
+    rank = lambda e: (e[0], *((x is not None, x or "") for x in e[1:]))
     for b in batches:
-        for r in b.sort_values("id").itertuples(index=False):
-            code, at = _code(r.op, r.column_name), int(r.id)
-            if code == 3:
-                cells[""] = max(cells.get("", 0), at)
-            elif code and abs(cells.get(r.column_name, 0)) < at:  # older entries that come late change nothing
-                cells[r.column_name] = at if code == 1 else -at
-    state.update((list(cells), list(cells.values())))
-    live = [(c, i) for c, i in cells.items() if c and i > cells.get("", 0)]
-    yield pd.DataFrame({"app_table": key[0], "row_id": key[1], "column_name": [c for c, _ in live], "id": [i for _, i in live]})
+        for r in b.itertuples(index=False):
+            text = [None if pd.isna(x) else x for x in (r.column_name, r.op, r.status)]
+            e = (int(r.retries), *text)
+            if r.id not in entries or rank(entries[r.id]) < rank(e):
+                entries[int(r.id)] = e
+    ids = sorted(entries)
+    state.update((ids, *([entries[i][k] for i in ids] for k in range(4))))
+    said: dict[str | None, tuple] = {c: (None, None) for _, c, o, _ in entries.values() if _code(o, c) in (1, 2)}
+    for i in ids:
+        _, c, o, s = entries[i]
+        code = _code(o, c)
+        if code == 3:
+            said.setdefault(None, (None, None))
+        if code and s != "failed":
+            said[None if code == 3 else c] = (i, code == 1)
+    n = len(said)
+    yield pd.DataFrame({"app_table": [key[0]] * n, "row_id": [key[1]] * n, "slice": [key[2]] * n, "column_name": list(said), "row_clear": [c is None for c in said], "id": pd.array([i for i, _ in said.values()], "Int64"), "live": pd.array([v for _, v in said.values()], "boolean")})
 
 
 def live_cells_stream(journal: DataFrame) -> DataFrame:
-    """The live cells of every row touched in a micro-batch (update mode), from the change feed's applied entries. Late and
-    repeated entries are judged against what the row's state has seen."""
-    applied = journal.filter(F.col("row_id").isNotNull() & ~F.lower(F.trim("status")).eqNullSafe("failed"))
-    return (
-        applied.select("app_table", "row_id", "column_name", "op", "id").groupBy("app_table", "row_id")
-        .applyInPandasWithState(_cells, "app_table string, row_id long, column_name string, id long", "names array<string>, ids array<long>", "update", GroupStateTimeout.NoTimeout)
-    )
+    """Of each row touched in a micro-batch what its slices of the sequence now say (update mode); ``LiveCells`` merges
+    them. A slice holds a bounded number of ids, so a row that gets most of the feed is many state keys.
+
+    As in the batch replay, entries of any order and any number of deliveries are judged by id and retries: one that comes
+    again with more retries and another outcome takes the place of the first, also if that undoes it. An entry must come
+    under the same row each time.
+    """
+    plain = lambda c: F.lower(F.regexp_replace(c, r"^[ \t\r\n]+|[ \t\r\n]+$", ""))
+    some = journal.filter(F.col("row_id").isNotNull() & F.col("id").isNotNull())
+    some = some.select("app_table", "row_id", F.shiftright("id", SLICE_BITS).alias("slice"), "id", F.coalesce("retries", F.lit(0)).cast("long").alias("retries"), "column_name", plain("op").alias("op"), plain("status").alias("status"))
+    return some.groupBy("app_table", "row_id", "slice").applyInPandasWithState(
+        _cells, _PARTIAL, "ids array<long>, retries array<long>, columns array<string>, ops array<string>, statuses array<string>", "update", GroupStateTimeout.NoTimeout
+    )
+
+
+class LiveCells:
+    """The live cells of a journal read as a stream, kept under ``path``."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        schema = T.StructType.fromDDL(f"{_PARTIAL}, batch long")
+        self.mirror = Mirror(spark, path, schema, ["app_table", "row_id", "slice", "column_name", "row_clear"], "batch", "none")
+
+    def follow(self, journal: DataFrame, checkpoint: str):
+        """A stream writer that keeps the cells in step with the journal."""
+        apply = lambda b, n: self.mirror.apply(b.withColumn("batch", F.lit(n).cast("long")))
+        return live_cells_stream(journal).writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint)
+
+    def cells(self) -> DataFrame:
+        """``app_table, row_id, column_name, id``."""
+        return merged_cells(self.mirror.changes().filter("id is not null"))
 
 
 def windowed_counts(events: DataFrame, ts: str, by: str, value: str, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -80,11 +158,18 @@ def deduplicated(events: DataFrame, ts: str, keys: list[str], late: str = "1 hou
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over what is there and returns what it put out."""
-    w = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        w = w.option("checkpointLocation", checkpoint)
-    q = w.start()
+def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there and returns what it put out: in ``append`` mode the rows of all micro-batches, in
+    ``complete`` mode those of the last. Each micro-batch is written to its own place in the folder, so one that is run
+    again replaces itself."""
+    spark, files = stream.sparkSession, Files(stream.sparkSession)
+    at = lambda n: f"{folder}/out/{n:09d}"
+    q = (
+        stream.writeStream.outputMode(mode).foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(at(n)))
+        .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    )
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    parts = [f"{folder}/out/{n}" for n in files.names(f"{folder}/out")]
+    if not parts:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*(parts[-1:] if mode == "complete" else parts))
