@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections import Counter
@@ -23,6 +24,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,19 +74,27 @@ _GERMAN = r"(?:stra(?:ß|ss)e|str\.|weg|gasse|platz|allee|ring|damm|ufer|steig|p
 _DIGIT = re.compile(r"\d")
 _LONG = re.compile(r"\d(?:\D{0,4}\d){5}")  # no shorter number is looked at
 _NUMBER = re.compile(r"(?<![\w.#/-])\d")
+#: What a word must be, or for the last two hold, for a pattern to be tried on its text.
+_NAME, _STREET, _STREET_DE, _STREET_ES, _AT = 1, 2, 4, 8, 16
+_STREETS = frozenset(_ENGLISH.replace("(?:", "").replace(r")\b\.?", "").split("|")) | frozenset("rue impasse quai chemin allée allee cours passage route".split())
+_PARTS = {
+    _STREET_DE: ("stra", "str.", "weg", "gasse", "platz", "allee", "ring", "damm", "ufer", "steig", "pfad"),
+    _STREET_ES: ("calle", "c/", "avenida", "avda", "av.", "plaza", "pza", "paseo", "camino", "ronda"),
+    _AT: ("@", "＠", "%40", "[at]", "(at)"),
+}
 ADDRESSES = (
     (
-        ("st", "road", "rd", "avenue", "ave", "lane", "ln", "dr", "court", "ct", "boul", "bl", "way", "terrace", "close", "cres", "sq", "pl", "ro", "walk", "gardens", "hill", "grove", "mews", "ter", "rue", "impasse", "quai", "chemin", "all", "cours", "passage"),
+        _STREET,
         _p(
             rf"(?<![\w.#/-])(?:(?P<fr>{_NO}(?:{_SP}?(?:bis|ter)\b|[a-f]\b)?,?{_SP}+(?:rue|avenue|boulevard|impasse|quai|chemin|all[ée]e|place|cours|passage|square|route)\b{_SP}+(?:de{_SP}la{_SP}+|de{_SP}l['’]|du{_SP}+|des{_SP}+|de{_SP}+|d['’])?{_WORD}(?:{_SP}{_WORD})?)"
             rf"|(?P<en>{_NO}(?:{_SP}?[a-f]\b)?{_SP}+(?!bis\b|ter\b)(?:(?:north|south|east|west|old|new)\s)?(?:[^\W\d_][\w'’-]{{2,}}{_SP}+){{1,2}}(?:{_ENGLISH})(?![\w-])))"
         ),
     ),
     (
-        ("stra", "str.", "weg", "gasse", "platz", "allee", "ring", "damm", "ufer", "steig", "pfad"),
+        _STREET_DE,
         _p(rf"(?<![\w.#/-])(?P<de>(?:[^\W\d_]+{_SP})?[^\W\d_][\w-]*{_GERMAN}{_SP}+{_NO}(?:{_SP}?[a-f]\b)?(?!\w))")),
     (
-        ("calle", "c/", "aven", "avda", "av.", "plaza", "pza", "paseo", "camino", "ronda"),
+        _STREET_ES,
         _p(rf"(?<![\w.#/-])(?P<es>(?:calle|c/|avenida|avda\.?|av\.|plaza|pza\.?|paseo|camino|ronda){_SP}*(?:de{_SP}(?:la|los|las|el){_SP}+|del{_SP}+|de{_SP}+)?{_WORD}(?:{_SP}{_WORD}){{0,2}},?{_SP}+{_NO}(?:{_SP}?[a-f]\b)?(?!\w))")),
 )
 _FRENCH_STREET = r"\d{1,5}(?: ?(?:bis|ter)\b|[a-f]\b)?,? +(?:rue|avenue|boulevard|impasse|quai|chemin|all[ée]e|place|cours|passage|square|route) +((?:de la |de l['’]|du |des |de |d['’])?\p{L}+(?: \p{L}+)?)(?=,|;|\"| \(|  |\s*\n|\s*$)"
@@ -150,18 +160,26 @@ class Candidate:
     features: list[int]
 
 
-class _Known(dict):
-    """Whether a word can be part of a name or is a title, remembered; ``any`` over a text's words is one fast pass."""
+class _Hints(dict):
+    """Which patterns a word (lower case, between white space) gives reason to try, remembered."""
 
     def __init__(self, roles) -> None:
         self.roles = roles
 
-    def __missing__(self, word: str) -> bool:
+    def __missing__(self, chunk: str) -> int:
         if len(self) > 1 << 18:
             self.clear()
-        low = word.lower()
-        known = self[word] = low in _LABELS["name"] or len(word) > 2 and max(self.roles(word)) > 0
-        return known
+        hint = 0
+        for w in _TOKEN.findall(chunk):
+            if w in _LABELS["name"] or len(w) > 2 and max(self.roles(w)) > 0:
+                hint |= _NAME
+            if w in _STREETS:
+                hint |= _STREET
+        for bit, parts in _PARTS.items():
+            if any(p in chunk for p in parts):
+                hint |= bit
+        self[chunk] = hint
+        return hint
 
 
 class Streets:
@@ -186,14 +204,17 @@ class Proposer:
     def __init__(self, gazetteer: Gazetteer, streets: Streets | None = None) -> None:
         self.gazetteer, self.streets = gazetteer, streets or Streets()
         self.roles = lru_cache(1 << 17)(lambda w: (gazetteer.grade(w, "g"), gazetteer.grade(w, "f")))
-        self.known = _Known(self.roles)
+        self.hints = _Hints(self.roles)
 
     def __call__(self, text: str | None) -> list[Candidate]:
         if not text:
             return []
         out: list[Candidate] = []
         low = text.lower()
-        if any(a in low for a in ("@", "＠", "%40", "[at]", "(at)")) or "dot" in low and "at" in low:
+        hints = 0
+        for h in set(map(self.hints.__getitem__, low.split())):
+            hints |= h
+        if hints & _AT or "dot" in low and "at" in low:
             self._emails(text, out)
         if _DIGIT.search(text):
             if _LONG.search(text):
@@ -201,9 +222,9 @@ class Proposer:
                     self._phone(text, m, out)
                 for m in ID.finditer(text):
                     self._id(text, m, out)
-            for m in self._addresses(text, low):
+            for m in self._addresses(text, hints):
                 self._address(text, m, out)
-        if any(map(self.known.__getitem__, _TOKEN.findall(text))):
+        if hints & _NAME:
             self._names(text, out)
         return out
 
@@ -256,15 +277,15 @@ class Proposer:
         control = bool(re.fullmatch(r"9{8}-?A", shape)) and "TRWAGMYFPDXBNJZSQVHLCKE"[int(digits) % 23] == s[-1].upper()
         self._add(out, text, "id_number", *m.span(), [form, 1 if len(digits) >= 9 and form >= 0 or control else 0], [f"f{shape}", f"i{s[:1].upper()}"])
 
-    def _addresses(self, text: str, low: str) -> Iterator[re.Match]:
-        (numbers, numbered), *named = ADDRESSES
+    def _addresses(self, text: str, hints: int) -> Iterator[re.Match]:
+        (by_number, numbered), *named = ADDRESSES
         done = 0
-        for n in _NUMBER.finditer(text) if any(w in low for w in numbers) else ():
+        for n in _NUMBER.finditer(text) if hints & by_number else ():
             if n.start() >= done and (m := numbered.match(text, n.start())):
                 done = m.end()
                 yield m
-        for words, pattern in named:
-            if any(w in low for w in words):
+        for hint, pattern in named:
+            if hints & hint:
                 yield from pattern.finditer(text)
 
     def _address(self, text: str, m: re.Match, out: list[Candidate]) -> None:
@@ -402,11 +423,12 @@ _ONE = "struct<kind:int,start:int,end:int,span:string,votes:string,context:array
 _ARROW = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("span", pa.string()), ("votes", pa.string()), ("context", pa.list_(pa.int32())), ("features", pa.list_(pa.int32()))]))
 
 
-def context_votes(leans: np.ndarray, context: Sequence[int]) -> tuple[int, int]:
-    """What the words on the left and on the right say, of the nearer word and of both the one that leans more."""
-    a, b, c, d = leans[context].tolist()
-    left, right = a if abs(a) > abs(b) else b, c if abs(c) > abs(d) else d
-    return int(left > _LEAN) - int(left < -_LEAN), int(right > _LEAN) - int(right < -_LEAN)
+def context_votes(leans: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """What the words on the left and on the right of each candidate say, of the nearer word and of both the one that leans
+    more: two votes for each row of places."""
+    lean = leans[np.asarray(context, np.int64).reshape(-1, 4)].reshape(-1, 2, 2)
+    more = np.where(np.abs(lean[:, :, 0]) > np.abs(lean[:, :, 1]), lean[:, :, 0], lean[:, :, 1])
+    return (more > _LEAN).astype(np.int64) - (more < -_LEAN)
 
 
 def leaning(count: np.ndarray, mass: np.ndarray, prior: np.ndarray) -> np.ndarray:
@@ -444,6 +466,7 @@ class PersonalInformation:
         """Street names whose end the punctuation shows, where such a name may have one word or two."""
         names = F.regexp_extract_all(F.lower("text"), F.lit("(?i)" + _FRENCH_STREET), F.lit(1))
         seen = self.rows.select(F.explode(names).alias("n")).groupBy("n").count().filter(F.col("count") >= LEAST_SEEN)
+        seen = materialize(seen, "streets")
         # a word that now and then follows a frequent name isn't part of it
         short = seen.select(F.col("n").alias("_s"), F.col("count").alias("_more"))
         kept = seen.join(short, F.regexp_replace("n", " [^ ]*$", "") == F.col("_s"), "left").filter((F.col("n") == F.col("_s")) | F.col("_more").isNull() | (F.col("_more") < F.col("count"))).select("n")
@@ -493,15 +516,14 @@ class PersonalInformation:
         def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: Counter = Counter()
             for b in batches:
-                for kind, votes, context in zip(*(x.to_pylist() for x in b.columns)):
-                    x, y = context_votes(leans, context)
-                    total[kind, f"{votes} {x} {y}"] += 1
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in total], pa.int32()), pa.array([v for _, v in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["kind", "votes", "n"])
+                around = context_votes(leans, b.column(2).flatten().to_numpy())
+                total.update(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), *around.T.tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, *_ in total], pa.int32()), pa.array([f"{v} {x} {y}" for _, v, x, y in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["kind", "votes", "n"])
 
         counts = c.select("kind", "votes", "context").mapInArrow(patterns, "kind int, votes string, n long").groupBy("kind", "votes").agg(F.sum("n")).collect()
         self.reliability = right = estimated(counts)
         sample = c.orderBy(F.xxhash64("key", "start", "kind"), "key", "start", "kind").limit(fit_rows).select("kind", "votes", "context", "features").collect()
-        votes = [context_votes(leans, r.context) for r in sample]
+        votes = context_votes(leans, [r.context for r in sample]).tolist()
         return fit([[*r.features, *_voted(r.kind, v)] for r, v in zip(sample, votes)], np.array([right[r.kind, f"{r.votes} {x} {y}"] for r, (x, y) in zip(sample, votes)]))
 
     def spans(self) -> DataFrame:
@@ -511,13 +533,18 @@ class PersonalInformation:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = ["key", "kind", "start", "end", "span"]
             for b in batches:
-                at, kinds, starts, ends, texts = [], [], [], [], []
-                for i, cs in enumerate(b.column(1).to_pylist()):
-                    text_of = {(c["kind"], c["start"], c["end"]): c["span"] for c in cs}
-                    for k, s, e in chosen((c["kind"], c["start"], c["end"], _probability(w, leans, c["kind"], c["context"], c["features"])) for c in cs):
-                        for col, x in zip((at, kinds, starts, ends, texts), (i, KINDS[k], s, e, text_of[k, s, e])):
-                            col.append(x)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(texts, pa.string())], names=names)
+                cs, rows = b.column(1).flatten(), pc.list_parent_indices(b.column(1)).to_numpy()
+                kind, start, end = (cs.field(i).to_numpy() for i in range(3))
+                p = probabilities(w, leans, kind, cs.field(5).flatten().to_numpy(), cs.field(6))
+                kept: list[int] = []
+                for i, j in itertools.pairwise(np.flatnonzero(np.diff(rows, prepend=-1, append=-1)).tolist()):
+                    if j - i > 1:
+                        where = {(k, x, y): n for n, k, x, y in zip(range(i, j), *(c[i:j].tolist() for c in (kind, start, end)))}
+                        kept += [where[c] for c in chosen((*c, q) for c, q in zip(where, p[i:j].tolist()))]
+                    elif p[i] >= 0.5:
+                        kept.append(i)
+                at = pa.array(kept, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows[kept], pa.int64())), pa.array(KINDS).take(cs.field(0).take(at)), *(cs.field(i).take(at) for i in (1, 2, 3))], names=names)
 
         return self.candidates.mapInArrow(run, f"key {self.kind}, kind string, start int, end int, span string")
 
@@ -534,7 +561,7 @@ class PersonalInformation:
             for b in batches:
                 out = []
                 for t in b.column(1).to_pylist():
-                    for k, s, e in reversed(chosen((c.kind, c.start, c.end, _probability(w, leans, c.kind, c.context, c.features)) for c in own(t))):
+                    for k, s, e in reversed(judged(w, leans, own(t))):
                         t = f"{t[:s]}[{KINDS[k].upper()}]{t[e:]}"
                     out.append(t)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["key", "text"])
@@ -550,9 +577,29 @@ def estimated(counts: Iterable[tuple[int, str, int]]) -> dict[tuple[int, str], f
     return {(k, " ".join(map(str, v))): x for k, p in by.items() for v, x in reliabilities(p).items()}
 
 
-def _voted(kind: int, votes: tuple[int, int]) -> list[int]:
+def _voted(kind: int, votes: Sequence[int]) -> list[int]:
     return [crc32(f"{KINDS[kind]} c{i}{v}".encode()) % DIMS for i, v in enumerate(votes)]
 
 
-def _probability(w: np.ndarray, leans: np.ndarray, kind: int, context: Sequence[int], features: list[int]) -> float:
-    return 1 / (1 + np.exp(-np.clip(w[[*features, *_voted(kind, context_votes(leans, context))]].sum(), -30, 30)))
+#: Places of the context votes by kind, side and vote.
+_SIDES = np.array([[[_voted(k, (v, v))[i] for v in (-1, 0, 1)] for i in (0, 1)] for k in range(len(KINDS))])
+
+
+def probabilities(w: np.ndarray, leans: np.ndarray, kind: np.ndarray, context: np.ndarray, features: pa.Array) -> np.ndarray:
+    """What the classifier says of each candidate; ``features`` is an array of lists, none of them empty."""
+    if not len(kind):
+        return np.zeros(0)
+    votes = context_votes(leans, context)
+    ends = np.cumsum(pc.list_value_length(features).to_numpy())
+    s = np.add.reduceat(w[features.flatten().to_numpy()], np.concatenate(([0], ends[:-1])))
+    for i in (0, 1):
+        s = s + w[_SIDES[kind, i, votes[:, i] + 1]]
+    return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
+
+
+def judged(w: np.ndarray, leans: np.ndarray, candidates: list[Candidate]) -> list[tuple[int, int, int]]:
+    """Kind, start and end of the candidates of one text that are right."""
+    if not candidates:
+        return []
+    p = probabilities(w, leans, np.array([c.kind for c in candidates]), np.array([c.context for c in candidates]), pa.array([c.features for c in candidates], pa.list_(pa.int32())))
+    return chosen((c.kind, c.start, c.end, q) for c, q in zip(candidates, p.tolist()))

@@ -77,21 +77,18 @@ def test_what_learning_adds():
         for at in c.context:
             count[at], mass[at], prior[at] = count[at] + 1, mass[at] + first[c.kind, said(*c.votes)], mean[c.kind]
     leans = pii.leaning(count, mass, prior)
-    around = [context_votes(leans, c.context) for c in every]
+    around = context_votes(leans, [c.context for c in every]).tolist()
     both = pii.estimated([(k, v, n) for (k, v), n in Counter((c.kind, said(*c.votes, *x)) for c, x in zip(every, around)).items()])
     w = fit([[*c.features, *pii._voted(c.kind, x)] for c, x in zip(every, around)], np.array([both[c.kind, said(*c.votes, *x)] for c, x in zip(every, around)]))
 
-    def errors(probability):
-        wrong = 0
-        for (t, want), cs in zip(texts, found):
-            got = {(pii.KINDS[k], t[a:b]) for k, a, b in chosen((c.kind, c.start, c.end, probability(c)) for c in cs)}
-            wrong += len(got ^ want)
-        return wrong
-
-    summed = errors(lambda c: 1 / (1 + np.exp(0.5 - sum(c.votes))))
-    weighed = errors(lambda c: first[c.kind, said(*c.votes)])
-    with_context = errors(lambda c: both[c.kind, said(*c.votes, *context_votes(leans, c.context))])
-    learned = errors(lambda c: pii._probability(w, leans, c.kind, c.context, c.features))
+    def errors(decide):
+        return sum(len({(pii.KINDS[k], t[a:b]) for k, a, b in decide(cs)} ^ want) for (t, want), cs in zip(texts, found))
+
+    by = lambda p: lambda cs: chosen((c.kind, c.start, c.end, p(c)) for c in cs)
+    summed = errors(by(lambda c: 1 / (1 + np.exp(0.5 - sum(c.votes)))))
+    weighed = errors(by(lambda c: first[c.kind, said(*c.votes)]))
+    with_context = errors(by(lambda c: both[c.kind, said(*c.votes, *context_votes(leans, c.context)[0])]))
+    learned = errors(lambda cs: pii.judged(w, leans, cs))
     print(summed, weighed, with_context, learned)
     assert learned <= with_context < min(summed, weighed) and learned < 0.02 * len(texts)
 
