@@ -3,14 +3,15 @@
 Every place where a piece may begin is joined to the farthest legal end of a piece from there and, the overlap
 included, to the beginning of the next piece. Squaring this successor table again and again gives the table of 2, 4, 8
 ... steps; what the tables reach from the beginning of the text are the cuts of the greedy walk, found in as many
-rounds as the number of pieces has binary digits. Beginnings and ends are sorted, so the joins are merges of sorted
-columns, and all tables of a text stay within its row: no exchange is needed.
+rounds as the number of pieces has binary digits. The level of a text comes out the same way: it is the first one whose
+boundaries alone, followed without overlap, lead from the beginning to the end. Beginnings and ends are sorted, so the
+joins are merges of sorted columns, and all tables of a text stay within its row: no exchange is needed.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +37,6 @@ def cuts(text: str, level: int) -> tuple[np.ndarray, np.ndarray]:
     return found[np.concatenate(([True], apart))[: len(found)], 0], found[np.concatenate((apart, [True]))[: len(found)], 1]
 
 
-def level_of(text: str, limit: int = LIMIT) -> int:
-    """The first level at which no stretch between boundaries is longer than the limit."""
-    for level in range(4):
-        a, b = cuts(text, level)
-        if (np.append(a, len(text)) - np.concatenate(([0], b))).max() <= limit:
-            return level
-    return 4
-
-
 def _doubled(step: np.ndarray) -> np.ndarray:
     """The states that following ``step`` (state to state, the last one to itself) from state 0 visits."""
     seen = np.zeros(1, np.int64)
@@ -55,71 +47,84 @@ def _doubled(step: np.ndarray) -> np.ndarray:
         seen, step = more, step[step]
 
 
+def _inner(text: str, level: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Where a text begins and ends without the boundaries at its edges, and those between."""
+    end, after = cuts(text, level)
+    first = int(after[0]) if len(end) and end[0] == 0 else 0
+    last = int(end[-1]) if len(end) and after[-1] == len(text) else len(text)
+    keep = (end > first) & (after < last)
+    return first, last, end[keep], after[keep]
+
+
+def level_of(text: str, limit: int = LIMIT) -> int:
+    """The first level at which no stretch between boundaries is longer than the limit: from each boundary to the farthest
+    one within the limit, the walk gets to the end of the text and isn't stuck before a longer stretch."""
+    for level in range(4):
+        first, last, end, after = _inner(text, level)
+        begins, ends = np.concatenate(([first], after)), np.append(end, last)
+        far = np.searchsorted(ends, begins + limit, "right")  # state i stands before end i; the last state is the end of the text
+        if first >= last or len(ends) in _doubled(np.append(np.maximum(far, np.arange(len(begins))), len(ends))):
+            return level
+    return 4
+
+
 def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[int | None, list[tuple[int, int]]]:
     """Level of a text and the spans of its pieces; a text within the limit is one piece and has no level."""
-    n = len(text)
-    if n <= limit:
-        return None, [(0, n)]
+    if len(text) <= limit:
+        return None, [(0, len(text))]
     level = level_of(text, limit)
-    end, after = cuts(text, min(level, 3))
-    # boundaries at either edge of the text only drop their white space
-    first, n = (int(after[0]) if len(end) and end[0] == 0 else 0), (int(end[-1]) if len(end) and after[-1] == n else n)
+    first, n, end, after = _inner(text, 3)
     if first >= n:
         return level, [(0, 0)]
-    keep = (end > first) & (after < n)
-    end, after = end[keep], after[keep]
-    within = lambda x: np.unique(np.concatenate(([first], x[(x > first) & (x < n)])))
-    natural_begins = within(cuts(text, 3)[1])
-    begins = within(np.concatenate((after, natural_begins)))
-    if level == 4:  # inside stretches over the limit a piece may begin and end anywhere
-        lo, hi = np.concatenate(([first], after)), np.append(end, n)
-        long = np.flatnonzero(hi - lo > limit)
-        begins = np.unique(np.concatenate([begins, *[np.arange(lo[i], hi[i]) for i in long]]))
-    ends = np.append(end, n)
-    skip = np.append(after, n)  # where the text goes on behind each end
-    # the farthest end from each beginning
-    k = np.searchsorted(ends, begins + limit, "right") - 1
-    natural = (k >= 0) & (ends[np.maximum(k, 0)] > begins)
-    stop = np.where(natural, ends[np.maximum(k, 0)], np.minimum(begins + limit, n))
-    on = np.where(natural, skip[np.maximum(k, 0)], stop)
-    # the next beginning: at most the overlap before the end, at a boundary, and near enough to get past this end
-    following = ends[np.minimum(np.searchsorted(ends, stop, "right"), len(ends) - 1)]
-    fits = following - on <= limit  # else it is cut inside, and an overlap would only lead back to this end
-    reach = np.where(fits, following - limit, np.where(natural, stop, 0))
-    earliest = np.maximum.reduce([stop - overlap, reach, begins + 1])
-    j = np.minimum(np.searchsorted(natural_begins, earliest), len(natural_begins) - 1)
-    usable = (natural_begins[j] >= earliest) & (natural_begins[j] < stop)
-    loose = np.where(natural, on, np.maximum(stop - overlap, begins + 1))  # no boundary: the whole overlap, if the cut is hard
-    nxt = np.where(usable, natural_begins[j], loose)
-    last = stop >= n
-    own = np.arange(len(begins))
-    step = np.where(last, own, np.minimum(np.searchsorted(begins, nxt), len(begins) - 1))
+    # a piece begins at a boundary, where the overlap begins that no boundary shortens, or inside a stretch too long to
+    # be got over: there anywhere
+    natural, ends = np.concatenate(([first], after)), np.append(end, n)
+    bare = ends - overlap
+    bare = bare[(bare > first) & (np.searchsorted(natural, bare) == np.searchsorted(natural, ends))]
+    edges = np.concatenate(([first], ends))
+    long = np.flatnonzero(np.diff(edges) > limit - overlap)
+    begins = np.unique(np.concatenate([natural, bare, *[np.arange(edges[i], edges[i + 1]) for i in long]]))
+    # its farthest end: of the text's level, or of a finer one where that gets no farther than the overlap
+    stop = np.zeros(len(begins), np.int64)
+    for k in range(min(level, 3), 4):
+        at = cuts(text, k)[0]  # of a coarser boundary the white space before it goes as well
+        at = np.unique(np.append(end[np.searchsorted(after, at[(at > first) & (at < n)])], n)) if k < 3 else ends
+        far = at[np.maximum(np.searchsorted(at, begins + limit, "right") - 1, 0)]
+        legal = (stop == 0) & (far <= begins + limit) & ((far > begins + overlap) | (far == n))
+        stop[legal] = far[legal]
+    stop = np.where(stop == 0, begins + limit, stop)  # no end there: cut hard
+    # the next beginning: the first boundary among the last characters of the piece, else all of these
+    j = np.minimum(np.searchsorted(natural, stop - overlap), len(natural) - 1)
+    nxt = np.where((natural[j] >= stop - overlap) & (natural[j] < stop), natural[j], stop - overlap)
+    step = np.where(stop >= n, np.arange(len(begins)), np.minimum(np.searchsorted(begins, nxt), len(begins) - 1))
     visited = _doubled(step)
     return level, list(zip(begins[visited].tolist(), stop[visited].tolist()))
 
 
-def split_column(df: DataFrame, key: str, text: str, *, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """``key, piece_no`` (from 0)``, start, end, content, boundary``: the pieces of each text, at most ``limit`` long.
+def split_column(df: DataFrame, key: str, text: str, *, limit: int = LIMIT, overlap: int = OVERLAP, keep: Sequence[str] = ()) -> DataFrame:
+    """``key, piece_no`` (from 0)``, start, end, content, boundary`` and the columns in ``keep``: the pieces of each text, at
+    most ``limit`` long.
 
     Each piece after the first opens with the last ``overlap`` characters of the one before, or with fewer to begin at
-    a boundary or to let the next stretch fit. White space at a cut belongs to neither piece. ``boundary`` is the level
-    of an oversized text, null for others. Defined cases: null, empty and short texts are one piece, unchanged; of an
-    oversized text without anything but white space one empty piece is left; repeated rows are split alike; other
-    columns are ignored.
+    a boundary; where the next boundary of the text's level lies too far for that, the piece is cut at a finer one. White
+    space at a cut belongs to neither piece. ``boundary`` is the level of an oversized text, null for others. Defined
+    cases: null, empty and short texts are one piece, unchanged; of an oversized text without anything but white space one
+    empty piece is left; repeated rows are split alike; other columns are ignored.
     """
-    if not 0 <= overlap < limit:
-        raise ValueError("the overlap must be less than the limit")
+    if not 0 < overlap <= limit // 2:
+        raise ValueError("the overlap must be at least 1 and at most half of the limit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [key, "piece_no", "start", "end", "content", "boundary"]
+        names = [key, *keep, "piece_no", "start", "end", "content", "boundary"]
         for b in batches:
             at, no, start, end, content, level = [], [], [], [], [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
+            for i, t in enumerate(b.column(b.num_columns - 1).to_pylist()):
                 lv, spans = (None, [(0, 0)]) if t is None else split(t, limit, overlap)
                 for k, (x, y) in enumerate(spans):
                     for col, v in zip((at, no, start, end, content, level), (i, k, x, y, None if t is None else t[x:y], None if lv is None else LEVELS[lv])):
                         col.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(no, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(content, pa.string()), pa.array(level, pa.string())], names=names)
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in b.columns[:-1]), pa.array(no, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(content, pa.string()), pa.array(level, pa.string())], names=names)
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, piece_no long, start long, end long, content string, boundary string")
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (key, *keep))
+    return df.select(key, *keep, F.col(text).alias("_text")).mapInArrow(run, f"{kinds}, piece_no long, start long, end long, content string, boundary string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessel.llm import bpe, mixture, pieces, pii, spans, threads
@@ -99,7 +99,21 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 @register("p2_pieces")
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return pieces.split_column(table(spark, d, "doc_chunks"), "id", "content")
+    """Pieces in order of ``doc_id, chunk_seq, id, piece_no``: each keeps the number of its chunk and has its own after it."""
+    return pieces.split_column(table(spark, d, "doc_chunks"), "id", "content", keep=["doc_id", "chunk_seq"])
+
+
+@register("p2_rejoined", r"SELECT id, chunk_seq, md5(regexp_replace(content, '[ \t\r\n]+', '', 'g')) AS text, true AS within, 0::BIGINT AS bare FROM doc_chunks WHERE length(content) > 1200")
+def p2_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """Each oversized chunk put together again from its pieces without their overlaps: nothing but white space may be lost,
+    no piece be over the limit and no joint without overlap."""
+    of_chunk = Window.partitionBy("id").orderBy("piece_no")
+    p = p2_pieces(spark, d).filter("boundary is not null").withColumn("_to", F.lag("end").over(of_chunk))
+    fresh = F.when(F.col("_to").isNull(), F.col("content")).otherwise(F.expr("substr(content, _to - start + 1)"))
+    p = p.withColumns({"_fresh": fresh, "_bare": (F.col("_to") - F.col("start") <= 0).cast("long")})
+    g = p.groupBy("id", "chunk_seq").agg(F.array_sort(F.collect_list(F.struct("piece_no", "_fresh"))).alias("_p"), (F.max(F.length("content")) <= pieces.LIMIT).alias("within"), F.coalesce(F.sum("_bare"), F.lit(0)).alias("bare"))
+    text = F.array_join(F.transform("_p", lambda x: x["_fresh"]), "")
+    return g.select("id", "chunk_seq", F.md5(F.regexp_replace(text, r"[ \t\r\n]+", "")).alias("text"), "within", "bare")
 
 
 _NOT_BLANK = r"content IS NOT NULL AND NOT regexp_full_match(content, '[ \t\r\n]*')"

@@ -8,44 +8,50 @@ from hypothesis import strategies as st
 from tessel.llm.pieces import LEVELS, cuts, level_of, split, split_column
 
 
+def longest(text, level):
+    """The longest stretch between the boundaries up to a level."""
+    a, b = map(list, cuts(text, level))
+    return max(y - x for x, y in zip([0, *b], [*a, len(text)]))
+
+
 def walk(text, limit, overlap):
     """The greedy walk, one piece after the other."""
-    level = level_of(text, limit)
-    found = list(zip(*map(list, cuts(text, min(level, 3)))))
+    level = next((k for k in range(4) if longest(text, k) <= limit), 4)
+    found = list(zip(*map(list, cuts(text, 3))))
     s = found[0][1] if found and found[0][0] == 0 else 0
     n = found[-1][0] if found and found[-1][1] == len(text) else len(text)
     if s >= n:
-        return [(0, 0)]
-    ends = [(a, b) for a, b in found if a > s and b < n] + [(n, n)]
-    begins = [b for b in cuts(text, 3)[1].tolist() if b < n]
+        return level, [(0, 0)]
+    begins = [b for _, b in found if s < b < n]
     out = []
     while True:
-        legal = [(a, b) for a, b in ends if s < a <= s + limit]
-        e, on = legal[-1] if legal else (min(s + limit, n),) * 2
+        e = s + limit
+        for k in range(min(level, 3), 4):
+            trimmed = [next(a for a, b in found if a <= x <= b) for x in cuts(text, k)[0].tolist() if s < x < n]
+            legal = [x for x in [*trimmed, n] if x <= s + limit and (x > s + overlap or x == n)]
+            if legal:
+                e = legal[-1]
+                break
         out.append((s, e))
         if e >= n:
-            return out
-        following = min(a for a, _ in ends if a > e)
-        earliest = max(e - overlap, following - limit if following - on <= limit else e if legal else 0, s + 1)
-        fit = [b for b in begins if earliest <= b < e]
-        s = fit[0] if fit else on if legal else max(e - overlap, s + 1)
+            return level, out
+        s = next((b for b in begins if e - overlap <= b < e), e - overlap)
 
 
 ALPHABET = st.sampled_from(list("abcdef gh  ..!?\n\r\t") + ["。", "\n\n", "\r\n", "漢", "🧠", "longword", ". ", "\n \n"])
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.lists(ALPHABET, max_size=160).map("".join), st.integers(5, 40), st.integers(0, 4))
+@given(st.lists(ALPHABET, max_size=160).map("".join), st.integers(8, 40), st.integers(1, 4))
 def test_same_as_the_greedy_walk(text, limit, overlap):
     level, spans = split(text, limit, overlap)
     if len(text) <= limit:
         assert (level, spans) == (None, [(0, len(text))])
         return
-    assert spans == walk(text, limit, overlap)
+    assert (level, spans) == walk(text, limit, overlap)
     assert not (text[: spans[0][0]] + text[spans[-1][1] :]).strip(" \t\r\n")
     for (a, b), (c, d) in zip(spans, spans[1:]):
-        assert b - a <= limit and a < c and b < d and b - c <= overlap
-        assert not text[b:c].strip(" \t\r\n")  # only white space is left out
+        assert b - a <= limit and a < c < b < d and b - c <= overlap  # nothing is left out, and every joint overlaps
     assert spans[-1][1] - spans[-1][0] <= limit
 
 
@@ -79,5 +85,6 @@ def test_column(spark):
     assert [r.piece_no for r in sorted((r for r in got if r.id == 4), key=lambda r: r.start)] == list(range(sum(r.id == 4 for r in got)))
     assert re.match("One|two", sorted((r.start, r.content) for r in got if r.id == 4)[1][1])
     assert split_column(df.limit(0), "id", "content").count() == 0
+    assert {r.seq for r in split_column(df.withColumnRenamed("start", "seq"), "id", "content", keep=["seq"]).collect()} == {7}
     with pytest.raises(ValueError):
-        split_column(df, "id", "content", limit=10, overlap=10)
+        split_column(df, "id", "content", limit=10, overlap=6)
