@@ -8,15 +8,14 @@ import uuid
 from collections.abc import Callable, Sequence
 from typing import Any
 
-from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel import types
 from tessel.functions import rows as fr
-from tessel.functions import vectors
 from tessel.operators import graph as g
 from tessel.operators import predicates, search, versioning
+from tessel.operators.textindex import TextIndex, source
 from tessel.plans.readonly import reads_only
 from tessel.sources import formats
 from tessel.sources.store import Manifest, Store
@@ -26,6 +25,8 @@ EDGE = "id string, source_id string, target_id string, type string, weight doubl
 _ASYNC = ("create_table", "add_column", "drop_column", "rename_column", "insert", "insert_batch", "upsert", "update", "delete", "get", "query", "raw_query", "read_query", "count", "search", "search_all", "health", "reconcile", "process_journal", "close")
 
 
+#: Columns that a search over all columns leaves out.
+_NOT_SEARCHED = frozenset({"rowid", "id", "memory_id", "fact_key", "scope", "project_id", "created_at", "updated_at", "previous_value"})
 _BASELINE = "pk string, row_json string"
 
 
@@ -44,7 +45,7 @@ class Database:
             if m.embedding_model not in (None, self.embedding_model):
                 if not force_model:
                     raise types.EmbeddingModelError(f"{t} was embedded by {m.embedding_model}, not {self.embedding_model}")
-                m.embedding_model = self.embedding_model
+                m.embedding_model, m.indexes = self.embedding_model, {}
                 self.store.save(m)
         self.store.on_change.append(self._view)
         for t in self.store.tables():
@@ -200,13 +201,14 @@ class Database:
 
     # search
 
-    def _vector(self, column: str) -> SparkColumn | None:
-        return None if self.embedding_fn is None else F.col(f"_v_{column}")
+    def _text_columns(self, m: Manifest) -> dict[str, str]:
+        """Text columns with their types; the key is no such column."""
+        kinds = {c: t.split() for c, t in m.columns.items() if c != m.pk}
+        return {c: t[0] for c, t in kinds.items() if types.is_text(t[0])}
 
-    def _with_vectors(self, df: DataFrame, columns: Sequence[str]) -> DataFrame:
-        for c in columns if self.embedding_fn else ():
-            df = search.embedded(df, c, self.embedding_fn, f"_v_{c}")
-        return df
+    def _index(self, m: Manifest, column: str, only: list[str] | None = None) -> TextIndex:
+        long = self._text_columns(m)[column] == types.LONGTEXT
+        return self.store.indexed(m, column, self.embedding_fn if long else None, long, only)
 
     def search(self, table: str, column: str, query: str | None = None, mode: types.SearchMode | str = types.HYBRID, limit: int = 10, fts_weight: float = 0.5, recency_weight: float = 0.0, recency_column: str | None = None, query_embedding: Sequence[float] | None = None, where: dict | None = None, now: Any = None) -> list[dict]:
         mode = types.search_mode(mode)
@@ -222,27 +224,30 @@ class Database:
                 if mode == types.SEMANTIC:
                     return []
                 mode = types.KEYWORD
-        df = self.store.scan(table)
-        vec = None
-        if query is not None and mode != types.KEYWORD:
-            df, vec = self._with_vectors(df, [column]), self._vector(column)
-            if query_embedding is None and self.embedding_fn:
+        index = None
+        if query is not None:
+            index = self._index(m, column)
+            if mode != types.KEYWORD and query_embedding is None and self.embedding_fn:
                 query_embedding = self.embedding_fn(query)
         moment = None if now is None else F.lit(now).cast("timestamp")
-        found = search.search(df, m.pk, column, query, mode, limit, vec=vec, query_vec=query_embedding, fts_weight=fts_weight, recency_weight=recency_weight, recency_column=recency_column, now=moment, where=where)
-        return _dicts(found.drop(*[c for c in found.columns if c.startswith("_v_")]))
+        found = search.search(self.store.scan(table), m.pk, column, query, mode, limit, index=index, query_vec=query_embedding, fts_weight=fts_weight, recency_weight=recency_weight, recency_column=recency_column, now=moment, where=where)
+        return _dicts(found)
 
     def search_all(self, table: str, query: str, where: dict | None = None, limit: int = 10, fts_weight: float = 0.5, recency_weight: float = 0.0, recency_column: str | None = None) -> list[dict]:
+        """Over all text columns but those that only identify or date a row."""
+        return self._search_columns(table, query, _NOT_SEARCHED, where, limit, fts_weight, recency_weight, recency_column)
+
+    def _search_columns(self, table: str, query: str, skip: frozenset, where: dict | None, limit: int, fts_weight: float, recency_weight: float, recency_column: str | None) -> list[dict]:
         m = self.store.manifest(table)
-        kinds = {c: t.split() for c, t in m.columns.items() if c != m.pk}
-        text = [c for c, t in kinds.items() if types.is_text(t[0])]
-        long = [c for c, t in kinds.items() if t[0] == types.LONGTEXT]
-        df = self._with_vectors(self.store.scan(table), long)
+        kinds = self._text_columns(m)
+        indexes = {c: self._index(m, c) for c in kinds}
         wanted = self.embedding_fn(query) if self.embedding_fn else None
-        found = search.search_all(df, m.pk, query, text, {c: self._vector(c) for c in long}, limit, query_vec=wanted, fts_weight=fts_weight, where=where, recency_weight=recency_weight, recency_column=recency_column)
-        return _dicts(found.drop(*[c for c in found.columns if c.startswith("_v_")]))
+        words, long = [c for c in kinds if c not in skip], {c: None for c, t in kinds.items() if t == types.LONGTEXT}
+        found = search.search_all(self.store.scan(table), m.pk, query, words, long, limit, query_vec=wanted, fts_weight=fts_weight, where=where, recency_weight=recency_weight, recency_column=recency_column, indexes=indexes)
+        return _dicts(found)
 
-    search_columns = search_all
+    def search_columns(self, table: str, query: str, where: dict | None = None, limit: int = 10, fts_weight: float = 0.5, recency_weight: float = 0.0, recency_column: str | None = None) -> list[dict]:
+        return self._search_columns(table, query, frozenset(), where, limit, fts_weight, recency_weight, recency_column)
 
     # history
 
@@ -366,24 +371,75 @@ class Database:
         write(log, out["history"])
         return out
 
-    # journal: derived data is computed from the tables, so nothing is ever pending
-
-    def journal_status(self, table: str | None = None) -> dict:
-        return {"pending": 0, "failed": 0, "tables": {t: 0 for t in ([table] if table else self.list_tables())}}
+    # journal: what the indexes of a table's text columns don't cover yet
+
+    def _pending(self, m: Manifest) -> dict[str, int]:
+        """Files that some index lacks, with their rows."""
+        lost = sorted({f for c in self._text_columns(m) for f in self.store.uncovered(m, c)[1]})
+        if not lost:
+            return {}
+        rows = self.store.read(lost, m.schema()).groupBy(F.substring_index(F.input_file_name(), "/", -2).alias("f")).count().collect()
+        count = {r.f: r["count"] for r in rows}
+        return {f: count.get(source(f), 0) for f in lost}
+
+    def journal_status(self, table: str | None = None) -> dict[str, int]:
+        """Rows that wait to be indexed and rows that are."""
+        out = {"pending": 0, "failed": 0, "done": 0}
+        for t in [table] if table else self.list_tables():
+            m = self.store.manifest(t)
+            if self._text_columns(m):
+                waiting = sum(self._pending(m).values())
+                out["pending"] += waiting
+                out["done"] += self.count(t) - waiting
+        return out
 
     def process_journal(self, limit: int = 5000) -> int:
-        return 0
-
-    def reconcile(self, table: str) -> dict:
-        self._view(table)
-        return {"ghosts": 0, "missing": 0}
+        """Indexes waiting rows, whole files until ``limit`` rows are reached; their number."""
+        done = 0
+        for t in self.store.tables():
+            m, take = self.store.manifest(t), []
+            for f, n in self._pending(m).items():
+                if done < limit:
+                    take.append(f)
+                    done += n
+            for c in self._text_columns(m) if take else ():
+                self._index(m, c, take)
+        return done
+
+    def reconcile(self, table: str) -> dict[str, int]:
+        """Brings derived data in line: what indexes hold of rows that went, what they lack, the graph's nodes and edges by
+        the rules, edges that ran out."""
+        m = self.store.manifest(table)
+        out = {"ghosts_deleted": 0, "missing_added": sum(self._pending(m).values()), "metadata_updated": 0}
+        for c in self._text_columns(m):
+            held = [json.loads(self.store.files.read(f"{path}/segment.json")) for path, _ in m.indexes.get(c, [])]
+            live = {source(f) for f in m.files}
+            out["ghosts_deleted"] = max(out["ghosts_deleted"], sum(x[0] for h in held for f, x in h.items() if f not in live))
+            m.indexes[c] = [s for s in m.indexes.get(c, []) if all(f in m.files for f in s[1])]  # the others are written anew
+            self._index(m, c)
+        self.store.save(m)
+        self.graph.sync_graph_nodes()
+        self.graph.decay_edges()
+        weak = self.graph.edges.filter("weight < 0.05")
+        if weak.take(1):
+            self.graph._put("_graph_edges", self.graph.edges.filter("weight is null or weight >= 0.05"))
+        return out
 
     # care
 
     def health(self, table: str) -> dict:
+        """``broken`` if files are missing, ``drift`` if an index doesn't hold the rows there are."""
         m = self.store.manifest(table)
         lost = [f for f in m.files if not self.store.files.exists(f)]
-        return {"status": "broken" if lost else "ok", "rows": None if lost else self.count(table), "missing_files": lost}
+        if lost:
+            return {"status": "broken", "rows": None, "indexed": {}, "pending": None, "missing_files": lost}
+        rows, held = self.count(table), {}
+        for c in self._text_columns(m):
+            kept, _ = self.store.uncovered(m, c)
+            stats = [(json.loads(self.store.files.read(f"{path}/segment.json")), {source(f) for f in files}) for path, files in kept]
+            held[c] = sum(x[0] for h, files in stats for f, x in h.items() if f in files)
+        waiting = sum(self._pending(m).values())
+        return {"status": "ok" if not waiting and all(n == rows for n in held.values()) else "drift", "rows": rows, "indexed": held, "pending": waiting, "missing_files": []}
 
     def check_integrity(self, table: str) -> dict:
         """``ok``; ``degraded`` if the hash chain is broken; ``corrupt`` if files are missing or keys null or repeated."""
@@ -405,12 +461,14 @@ class Database:
         return out
 
     def reindex(self, table: str) -> int:
-        """Compacts the table's files; the number of rows."""
+        """Compacts the table's files and indexes them anew; the number of rows."""
         m = self.store.manifest(table)
         df = self.store.scan(table)
         n = df.count()
-        m.files = self.store.write(table, "data", df.select(*m.columns))
+        m.files, m.indexes = self.store.write(table, "data", df.select(*m.columns)), {}
         self.store.save(m)
+        for c in self._text_columns(m):
+            self._index(m, c)
         return n
 
     def vacuum(self) -> int:
@@ -432,6 +490,7 @@ class Database:
             m = self.store.manifest(t)
             home = lambda fs: [f"{here}/tables/{f.rsplit('/tables/', 1)[1]}" for f in fs]
             m.files, m.log_files, m.baseline = home(m.files), home(m.log_files), home(m.baseline)
+            m.indexes = {c: [[*home([p]), home(fs)] for p, fs in x] for c, x in m.indexes.items()}
             self.store.save(m)
 
     def export(self, path: str) -> str:
@@ -452,6 +511,7 @@ class Database:
         for n in self.store.files.kept(path):
             if n.endswith(".manifest.json"):
                 m = Manifest(**json.loads(self.store.files.read(f"{path}/{n}")))
+                m.indexes = {}
                 m.files = self.store.write(m.name, "data", self.spark.read.schema(m.schema()).json(f"{path}/{m.name}.jsonl"))
                 if m.baseline:
                     m.baseline = self.store.write(m.name, "baseline", self.spark.read.schema(_BASELINE).json(f"{path}/{m.name}__baseline.jsonl"))
@@ -657,15 +717,13 @@ class Graph:
         return total
 
     def _seeds(self, query: str, limit: int) -> DataFrame:
-        out = None
-        db = self._db
+        out, db = None, self._db
         for table in self._load()["nodes"]:
             m = db.store.manifest(table)
-            for c in [c for c, t in m.columns.items() if t.startswith(types.LONGTEXT)]:
-                df = db._with_vectors(db.store.scan(table), [c])
-                vec = vectors.hash_embedding(F.col(c)) if db.embedding_fn is None else F.col(f"_v_{c}")
-                q = vectors.embed_hash(query) if db.embedding_fn is None else db.embedding_fn(query)
-                hits = search.nearest(df, m.pk, vec, q, limit).select(F.concat(F.lit(f"{table}:"), F.col("pk").cast("string")).alias("id"), "similarity")
+            for c in [c for c, t in db._text_columns(m).items() if t == types.LONGTEXT]:
+                wanted = db.embedding_fn(query) if db.embedding_fn else None
+                near = search._vector_leg(db.store.scan(table), m.pk, c, query, None, wanted, "l2sq", limit, db._index(m, c))
+                hits = near.select(F.concat(F.lit(f"{table}:"), F.col("pk").cast("string")).alias("id"), "similarity")
                 out = hits if out is None else out.union(hits)
         return db.spark.createDataFrame([], "id string, similarity double") if out is None else out.groupBy("id").agg(F.max("similarity").alias("similarity"))
 

@@ -47,28 +47,32 @@ def _slot(word: str, dim: int) -> int:
     return at
 
 
+def hash_slots(text: str | None, dim: int = DIM) -> dict[int, float]:
+    """The components of ``embed_hash`` that aren't zero."""
+    counts: dict[int, int] = {}
+    for w in (text or "").lower().split():
+        s = _slot(w, dim)
+        counts[s] = counts.get(s, 0) + 1
+    norm = sum(n * n for n in counts.values()) ** 0.5
+    return {s: n / norm for s, n in counts.items()}
+
+
 def embed_hash(text: str | None, dim: int = DIM) -> list[float]:
     """Counts of words by ``md5(word) mod dim``, scaled to length 1; zeros for null, empty and blank texts."""
     v = [0.0] * dim
-    for w in (text or "").lower().split():
-        v[_slot(w, dim)] += 1.0
-    norm = sum(x * x for x in v) ** 0.5
-    return [x / norm for x in v] if norm else v
+    for s, x in hash_slots(text, dim).items():
+        v[s] = x
+    return v
 
 
 def hash_distance(text: Column, query: str, dim: int = DIM) -> Column:
     """Squared distance between the hash embeddings of a column and of one text, without building the vectors: 2 - 2 cos,
     1 if one of the two has no words."""
-    wanted = {i: x for i, x in enumerate(embed_hash(query, dim)) if x}
+    wanted = hash_slots(query, dim)
 
     def one(t: str | None) -> float:
-        counts: dict[int, int] = {}
-        for w in (t if isinstance(t, str) else "").lower().split():
-            s = _slot(w, dim)
-            counts[s] = counts.get(s, 0) + 1
-        norm = sum(n * n for n in counts.values()) ** 0.5
-        dot = sum(x * counts.get(s, 0) for s, x in wanted.items()) / norm if norm else 0.0
-        return bool(wanted) + bool(counts) - 2 * dot
+        has = hash_slots(t if isinstance(t, str) else None, dim)
+        return bool(wanted) + bool(has) - 2 * sum(x * has.get(s, 0.0) for s, x in wanted.items())
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:

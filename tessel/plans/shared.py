@@ -38,6 +38,12 @@ def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for heavy work on a table of few files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete what ``materialize`` wrote, for results that no later plan reads."""
     if df is None:

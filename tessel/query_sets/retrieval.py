@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessel.functions import scoring, vectors
 from tessel.functions.text import ACCENTED, PLAIN
 from tessel.operators import chunking, search
+from tessel.operators.textindex import TextIndex
 from tessel.query_sets.registry import register
 from tessel.sources.tables import table
 
@@ -44,7 +45,14 @@ _ONE = f"SELECT 0 AS query, '{QUERY}' AS text"
 
 @register("search_keyword_bm25", f"WITH {bm25_sql('b', 'documents', 'doc_id', 'text', _ONE)} SELECT pk AS doc_id, round(score, 6) + 0.0 AS score FROM b")
 def search_keyword(spark: SparkSession, d: str) -> DataFrame:
-    return search.bm25(table(spark, d, "documents"), "doc_id", "text", QUERY).select(F.col("pk").alias("doc_id"), (F.round("score", 6) + 0.0).alias("score"))
+    df = table(spark, d, "documents")
+    return search.bm25(df, "doc_id", "text", QUERY, index=TextIndex.of(df, "doc_id", "text")).select(F.col("pk").alias("doc_id"), (F.round("score", 6) + 0.0).alias("score"))
+
+
+@register("search_keyword_scan", f"WITH {bm25_sql('b', 'doc_chunks', 'id', 'content', _ONE)} SELECT pk AS id, round(score, 6) + 0.0 AS score FROM b")
+def search_keyword_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The same ranking straight from the texts, for tables without an index."""
+    return search.bm25(table(spark, d, "doc_chunks"), "id", "content", QUERY).select(F.col("pk").alias("id"), (F.round("score", 6) + 0.0).alias("score"))
 
 
 @register(
@@ -53,7 +61,8 @@ def search_keyword(spark: SparkSession, d: str) -> DataFrame:
 )
 def search_keyword_batch(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "docs").filter("title is not null").select(F.col("id").alias("query"), F.col("title").alias("text")).distinct()
-    hits = search.batch_bm25(table(spark, d, "doc_chunks"), "id", "content", q).withColumn("_s", F.round("score", 9))
+    c = table(spark, d, "doc_chunks")
+    hits = search.batch_bm25(c, "id", "content", q, index=TextIndex.of(c, "id", "content")).withColumn("_s", F.round("score", 9))
     return search.top_per_group(hits, "query", ["_s", "pk"], 5).select("query", "pk", (F.round("score", 6) + 0.0).alias("score"))
 
 
@@ -130,7 +139,8 @@ vc AS (SELECT pk, row_number() OVER (ORDER BY round(dist, 12), pk) AS vr FROM v
 SELECT doc_id, round(s, 9) AS score FROM h JOIN documents ON doc_id = pk ORDER BY round(s, 12) DESC, fr NULLS LAST, vr NULLS LAST, pk LIMIT 20""",
 )
 def search_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    return search.search(table(spark, d, "documents"), "doc_id", "text", QUERY, limit=20).select("doc_id", F.round("_score", 9).alias("score"))
+    df = table(spark, d, "documents")
+    return search.search(df, "doc_id", "text", QUERY, limit=20, index=TextIndex.of(df, "doc_id", "text")).select("doc_id", F.round("_score", 9).alias("score"))
 
 
 @register(
@@ -141,9 +151,11 @@ r AS (SELECT h.*, CASE WHEN created_at IS NULL THEN 0 ELSE 1 / (1 + greatest(flo
 SELECT pk AS doc_id, round(s * 0.8 + fresh * 0.2, 9) AS score FROM r ORDER BY round(s * 0.8 + fresh * 0.2, 12) DESC, fr NULLS LAST, vr NULLS LAST, pk LIMIT 20""",
 )
 def search_hybrid_recent(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "documents")
     found = search.search(
-        table(spark, d, "documents"), "doc_id", "text", QUERY, limit=20, fts_weight=0.3, recency_weight=0.2, recency_column="created_at",
+        df, "doc_id", "text", QUERY, limit=20, fts_weight=0.3, recency_weight=0.2, recency_column="created_at",
         now=F.lit("2026-07-01T00:00:00Z").cast("timestamp"), where={"lang": "en", "n_chars": {"$gte": 300}},
+        index=TextIndex.of(df, "doc_id", "text"),
     )
     return found.select("doc_id", F.round("_score", 9).alias("score"))
 
@@ -157,7 +169,9 @@ h AS (SELECT pk, sum(s) AS s, min(fr) AS fr, min(vr) AS vr FROM (SELECT pk, 0.5
 SELECT pk AS doc_id, round(s, 9) AS score FROM h ORDER BY round(s, 12) DESC, fr NULLS LAST, vr NULLS LAST, pk LIMIT 15""",
 )
 def search_all_columns(spark: SparkSession, d: str) -> DataFrame:
-    found = search.search_all(table(spark, d, "documents"), "doc_id", QUERY, ["text", "source"], {"text": None}, limit=15)
+    df = table(spark, d, "documents")
+    indexes = {c: TextIndex.of(df, "doc_id", c) for c in ("text", "source")}
+    found = search.search_all(df, "doc_id", QUERY, ["text", "source"], {"text": None}, limit=15, indexes=indexes)
     return found.select("doc_id", F.round("_score", 9).alias("score"))
 
 
@@ -179,7 +193,7 @@ SELECT DISTINCT y.doc_id, chunk_id, round(s, 6) + 0.0 AS score FROM y JOIN docs
 )
 def search_best_chunk(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "doc_chunks")
-    hits = search.bm25(c, "id", "content", QUERY).join(c, F.col("pk") == F.col("id")).select("doc_id", "id", F.round(-F.col("score"), 9).alias("_score"))
+    hits = search.bm25(c, "id", "content", QUERY, index=TextIndex.of(c, "id", "content")).join(c, F.col("pk") == F.col("id")).select("doc_id", "id", F.round(-F.col("score"), 9).alias("_score"))
     best = hits.groupBy("doc_id").agg(F.max(F.struct("_score", "id")).alias("b"))
     parents = table(spark, d, "docs").select(F.col("id").alias("doc_id")).distinct()
     return parents.join(best, "doc_id").select("doc_id", F.col("b.id").alias("chunk_id"), (F.round(-F.col("b._score"), 6) + 0.0).alias("score"))

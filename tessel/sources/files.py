@@ -71,6 +71,12 @@ class Files:
         fs, p = self._at(path)
         return sorted(s.getPath().toString() for s in fs.listStatus(p) if s.getPath().getName().endswith(".parquet")) if fs.exists(p) else []
 
+    def state(self, path: str) -> tuple[int, int]:
+        """Length and time of the last change."""
+        fs, p = self._at(path)
+        s = fs.getFileStatus(p)
+        return s.getLen(), s.getModificationTime()
+
     def size(self, path: str) -> int:
         fs, p = self._at(path)
         return fs.getContentSummary(p).getLength() if fs.exists(p) else 0

@@ -15,10 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessel.operators.textindex import TextIndex, source
 from tessel.sources.files import Files
 from tessel.types import IntegrityError, identifier, spark_type, table_name
 
 
+#: Segments of an index after which the next one takes in all files.
+_SEGMENTS = 8
+
+
 @dataclass
 class Manifest:
     name: str
@@ -37,6 +42,7 @@ class Manifest:
     anchors: dict[str, str] = field(default_factory=dict)
     baseline: list[str] = field(default_factory=list)
     embedding_model: str | None = None
+    indexes: dict[str, list] = field(default_factory=dict)  # by column: segments, each a path and the files it covers
 
     def schema(self) -> T.StructType:
         return T.StructType([T.StructField(c, spark_type(t.split()[0]), True, {"logical": t, "pk": c == self.pk}) for c, t in self.columns.items()])
@@ -124,7 +130,7 @@ class Store:
 
     def _rewrite(self, m: Manifest, df: DataFrame) -> None:
         m.files = self.write(m.name, "data", df.select(*m.columns))
-        m.version += 1
+        m.version, m.indexes = m.version + 1, {}
         self.save(m)
 
     # rows
@@ -175,12 +181,36 @@ class Store:
         m.files = [f for f in m.files if f not in mine] + (self.write(m.name, "data", new) if mine or fresh is not None else [])
         self.save(m)
 
+    def uncovered(self, m: Manifest, column: str) -> tuple[list, list[str]]:
+        """Segments of a column's index with the files still there, and the files that none covers."""
+        live = set(m.files)
+        kept = [[path, [f for f in files if f in live]] for path, files in m.indexes.get(column, [])]
+        kept = [s for s in kept if s[1]]
+        covered = {f for _, files in kept for f in files}
+        return kept, [f for f in m.files if f not in covered]
+
+    def indexed(self, m: Manifest, column: str, embed: Any = None, hashed: bool = True, only: list[str] | None = None) -> TextIndex:
+        """The column's index, brought up to the table's files (or to those in ``only``): new ones become a segment."""
+        kept, new = self.uncovered(m, column)
+        new = [f for f in new if only is None or f in only]
+        if len(kept) >= _SEGMENTS and new:
+            kept, new = [], m.files
+        if new:
+            path = f"{self.root}/tables/{m.name}/index/{uuid.uuid4().hex}"
+            TextIndex.build(self.read(new, m.schema()), m.pk, column, path, embed, hashed)
+            kept = [*kept, [path, new]]
+        if kept != m.indexes.get(column, []):
+            m.indexes[column] = kept
+            self.save(m)
+        kind = m.schema()[m.pk].dataType.simpleString()
+        return TextIndex(self.spark, kind, [(path, [source(f) for f in files]) for path, files in kept], dense=embed is not None)
+
     def vacuum(self) -> int:
         """Deletes files that no manifest names; the bytes freed."""
         freed = 0
         for name in self.files.names(f"{self.root}/tables"):
             m = self.manifest(name) if name in self.tables() else None
-            named = {f.rsplit("/", 2)[-2] for f in (m.files + m.log_files + m.baseline if m else [])}
+            named = {f.rsplit("/", 2)[-2] for f in (m.files + m.log_files + m.baseline if m else [])} | {p.rsplit("/", 1)[-1] for x in (m.indexes.values() if m else ()) for p, _ in x}
             for kind in self.files.names(f"{self.root}/tables/{name}"):
                 for part in self.files.names(f"{self.root}/tables/{name}/{kind}"):
                     if part not in named:

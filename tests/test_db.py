@@ -40,7 +40,7 @@ def test_rows(db):
         db.insert("contacts", {"id": 1})
     with pytest.raises(ValueError):
         db.query("contacts", order_by="first_name; drop table x")
-    assert db.health("contacts")["status"] == "ok" and db.check_integrity("contacts") == {"status": "ok", "issues": []}
+    assert db.health("contacts")["status"] == "drift" and db.process_journal() == 3 and db.health("contacts")["status"] == "ok" and db.check_integrity("contacts") == {"status": "ok", "issues": []}
     assert db.stats()["contacts"]["rows"] == 3 and db.reindex("contacts") == 3
     assert db.vacuum() > 0 and db.count("contacts") == 3
     assert asyncio.run(db.aget("contacts", 1))["first_name"] == "Ann"
@@ -65,6 +65,28 @@ def test_definition(db):
             bad()
 
 
+def test_indexes_follow_the_table(db):
+    db.create_table("t", {"id": "TEXT PRIMARY KEY", "a": "TEXT", "b": "LONGTEXT"})
+    db.insert_batch("t", [{"id": f"k{i}", "a": f"word{i}", "b": "common text"} for i in range(4)])
+    assert db.journal_status("t") == {"pending": 4, "failed": 0, "done": 0} and db.health("t")["status"] == "drift"
+    assert [r["id"] for r in db.search("t", "a", "word2", "keyword")] == ["k2"]
+    assert db.journal_status() == {"pending": 4, "failed": 0, "done": 0} and db.process_journal() == 4  # the other column
+    assert db.journal_status("t") == {"pending": 0, "failed": 0, "done": 4} and db.health("t") == {"status": "ok", "rows": 4, "indexed": {"a": 4, "b": 4}, "pending": 0, "missing_files": []}
+    db.update("t", "k2", {"a": "other"})
+    db.delete("t", "k3")
+    assert db.search("t", "a", "word2", "keyword") == [] == db.search("t", "a", "word3", "keyword") and [r["id"] for r in db.search("t", "a", "other", "keyword")] == ["k2"]
+    assert db.search("t", "b", "common", "keyword", limit=9)[0]["id"] == "k0"
+    for i in range(10):  # more files than segments
+        db.insert("t", {"id": f"n{i}", "a": f"word{i}", "b": None})
+        db.process_journal()
+    assert {r["id"] for r in db.search("t", "a", "word1", "keyword")} == {"k1", "n1"} and len(db.store.manifest("t").indexes["a"]) <= 9
+    db.update("t", "n4", {"a": "x"})
+    got = db.reconcile("t")
+    assert got["missing_added"] >= 1 and db.health("t")["status"] == "ok" and db.reconcile("t") == {"ghosts_deleted": 0, "missing_added": 0, "metadata_updated": 0}
+    assert db.vacuum() > 0 and {r["id"] for r in db.search("t", "a", "word1", "keyword")} == {"k1", "n1"}
+    assert db.reindex("t") == 13 and {r["id"] for r in db.search("t", "a", "word1", "keyword")} == {"k1", "n1"}
+
+
 NOTES = [
     # id, owner, size, subject, body, day
     ("n1", "kim", 4, "ferry timetable spring", "the harbour crêpe stall opens at nine", "2025-11-02T00:00:00Z"),

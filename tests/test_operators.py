@@ -13,6 +13,7 @@ from tessel.operators import graph as g
 from tessel.operators import search, versioning
 from tessel.operators.chunking import chunk_rows, chunks
 from tessel.operators.predicates import like, metadata_filter
+from tessel.operators.textindex import TextIndex
 from tessel.sources.formats import retrieval_benchmark
 
 # chunks
@@ -85,12 +86,18 @@ def test_metrics(spark):
 def test_index_and_batches(spark, tmp_path, monkeypatch):
     docs = [(i, " ".join(random.Random(i).choices("alpha beta gamma delta eps zeta".split(), k=i % 9))) for i in range(60)] + [(60, None)]
     df = spark.createDataFrame(docs, "id int, t string")
-    index = search.KeywordIndex.build(df, "id", "t", str(tmp_path / "ix"))
+    TextIndex.build(df, "id", "t", f"file://{tmp_path}/ix")
+    index = TextIndex(spark, "int", [(f"file://{tmp_path}/ix", None)])
     for q in ("alpha zeta", "beta beta", "nothing", ""):
         a = {r.pk: round(r.score, 9) for r in search.bm25(df, "id", "t", q).collect()}
-        b = {r.pk: round(r.score, 9) for r in index.search(q).collect()} if q.split() else {}
+        b = {r.pk: round(r.score, 9) for r in search.bm25(df, "id", "t", q, index=index).collect()}
+        assert b == {r.pk: round(r.score, 9) for r in search.batch_bm25(df, "id", "t", spark.createDataFrame([(1, q)], "query int, text string"), index=index).collect()}
+        near = {r.pk: round(r.distance, 9) for r in index.distances(q).collect()}
+        assert near == {r.id: round(r.d, 9) for r in df.select("id", vectors.hash_distance(F.col("t"), q).alias("d")).collect()}
         c = {r.pk: round(r.score, 9) for r in search.batch_bm25(df, "id", "t", spark.createDataFrame([(1, q)], "query int, text string")).collect()}
         assert a == b == c and (not a) == (q in ("nothing", ""))
+    some = df.filter("id < 20").select(F.col("id").alias("pk"))
+    assert {r.pk: round(r.score, 9) for r in search.bm25(df, "id", "t", "zeta", index=index, among=some).collect()} == {r.pk: round(r.score, 9) for r in search.bm25(df.filter("id < 20"), "id", "t", "zeta").collect()}
     v = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(50)] + [(99, None)], "id int, v array<double>")
     q = v.filter("id < 9").select(F.col("id").alias("query"), F.col("v").alias("vec"))
     whole = {tuple(r) for r in search.batch_nearest(v, "id", "v", q, 3).select("query", "pk", "rank").collect()}
