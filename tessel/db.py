@@ -635,13 +635,18 @@ class Graph:
         return _dicts(predicates.optional(self.edges, limit, source_id=source_id, target_id=target_id, type=type))
 
     def neighbors(self, node_id: str, direction: str = "both", type: str | None = None) -> list[dict]:
-        near = g.neighbors(self.edges, node_id, direction, type).join(self.nodes.select(F.col("id").alias("neighbor"), "label"), "neighbor", "left")
-        return _dicts(near.select(F.col("neighbor").alias("id"), "label", "weight", "type").orderBy(F.desc("weight"), "id"))
+        """Each neighbour's node with the heaviest edge to it, heaviest first."""
+        n = self.nodes.select(F.struct("id", "label", "type", "properties").alias("node"))
+        near = g.neighbors(self.edges, node_id, direction, type).join(n, F.col("neighbor") == F.col("node.id")).orderBy(F.desc("weight"), "neighbor").collect()
+        read = lambda x: json.loads(x) if x else {}
+        edge = ("id", "type", "weight", "source_id", "target_id")
+        return [{"node": r.node.asDict() | {"properties": read(r.node.properties)}, "edge": {c: r.edge[c] for c in edge} | {"properties": read(r.edge.properties)}} for r in near]
 
     get_neighbors = neighbors
 
     def traverse(self, start: str, max_depth: int = 3, direction: str = "out", type: str | None = None, max_cost: float = 3.0) -> list[dict]:
-        return _dicts(g.traverse(self.edges, start, max_depth, direction, type, max_cost).select(F.col("node").alias("id"), "depth", "cost").orderBy("depth", "cost", "id"))
+        found = g.traverse(self.edges, start, max_depth, direction, type, max_cost)
+        return _dicts(found.select(F.col("node").alias("node_id"), "depth", "path", F.col("cost").alias("cum_cost")).orderBy("depth", "cum_cost", "node_id"))
 
     def decay_edges(self, now: str | None = None) -> int:
         left, expired = g.decay(self.edges, now or self._now())
@@ -663,11 +668,17 @@ class Graph:
     def shortest_path(self, start: str, end: str) -> list[str] | None:
         return g.shortest_path(self.edges, start, end)
 
+    def _sets(self, df: DataFrame, by: str) -> list[set[str]]:
+        out: dict[str, set[str]] = {}
+        for r in df.select("id", by).toLocalIterator():
+            out.setdefault(r[1], set()).add(r[0])
+        return [out[k] for k in sorted(out)]
+
     def connected_components(self) -> list[set[str]]:
-        return [set(r.m) for r in g.connected_components(self.edges, self.nodes.select("id")).groupBy("component").agg(F.collect_set("id").alias("m")).collect()]
+        return self._sets(g.connected_components(self.edges, self.nodes.select("id")), "component")
 
-    def community_detect(self) -> dict[str, str]:
-        return self._ranked(g.communities(self.edges), "community")
+    def community_detect(self) -> list[set[str]]:
+        return self._sets(g.communities(self.edges, self.nodes), "community")
 
     def to_edges(self, undirected: bool = False) -> DataFrame:
         return g.collapsed(self.edges, undirected)

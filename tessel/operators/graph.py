@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -116,38 +117,55 @@ def rule_edges(source: DataFrame, target: DataFrame, source_name: str, target_na
 
 
 def neighbors(edges: DataFrame, start: str | DataFrame, direction: str = "both", kind: str | None = None) -> DataFrame:
-    """``start, neighbor, weight, type``: each neighbour once, by its heaviest edge (then the least type).
+    """``start, neighbor, weight, type, edge``: each neighbour once, by its heaviest edge (then the least type); ``edge`` has
+    all columns of that edge.
 
     ``start`` is an id or a table with a column ``id``. An edge from a node to itself makes it its own neighbour.
     """
-    e = _directed(edges, direction, kind)
-    if isinstance(start, DataFrame):
-        near = e.join(start.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
-    else:
-        near = e.filter(F.col("src") == start)
-    best = F.min_by(F.struct("w", "type"), F.struct(-F.coalesce("w", F.lit(0.0)), "type")).alias("_b")
-    return near.groupBy("src", "dst").agg(best).select(F.col("src").alias("start"), F.col("dst").alias("neighbor"), F.col("_b.w").alias("weight"), F.col("_b.type").alias("type"))
+    whole = F.struct(*[F.col(c) for c in edges.columns])
+    typed = edges if "type" in edges.columns else edges.withColumn("type", F.lit(None).cast("string"))
+    e = typed if kind is None else typed.filter(F.col("type") == kind)
+
+    def from_(a: str, b: str) -> DataFrame:
+        near = e.filter(F.col(a).isNotNull())
+        near = near.filter(F.col(a) == start) if isinstance(start, str) else near.join(start.select(F.col("id").alias(a)).distinct(), a, "left_semi")
+        return near.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.col("weight").alias("w"), "type", whole.alias("edge"))
+
+    ends = {"out": [("source_id", "target_id")], "in": [("target_id", "source_id")]}
+    ends["both"] = ends["out"] + ends["in"]
+    if direction not in ends:
+        raise ValueError(f"unknown direction: {direction!r}")
+    near = reduce(DataFrame.unionByName, [from_(*x) for x in ends[direction]])
+    best = F.min_by(F.struct("w", "type", "edge"), F.struct(-F.coalesce("w", F.lit(0.0)), "type", "edge")).alias("_b")
+    return near.groupBy("src", "dst").agg(best).select(F.col("src").alias("start"), F.col("dst").alias("neighbor"), F.col("_b.w").alias("weight"), F.col("_b.type").alias("type"), "_b.edge")
 
 
 def traverse(edges: DataFrame, start: str | DataFrame, max_depth: int = 3, direction: str = "out", kind: str | None = None, max_cost: float = 3.0) -> DataFrame:
-    """``start, node, depth, cost``: what is reached within ``max_depth`` steps and ``max_cost``, a step costing 1 - weight.
+    """``start, node, depth, cost, path``: what is reached within ``max_depth`` steps and ``max_cost``, a step costing
+    1 - weight. ``depth``, ``cost`` and ``path`` (ids joined by ``>``) are the least of any walk, each for itself; the start
+    isn't part of the result.
 
-    Only the least cost per node and depth goes on: costs add up, so a dearer way there can't lead further than a
-    cheaper one. ``depth`` and ``cost`` are the least of any walk, each for itself; the start isn't part of the result.
+    Of the walks to a node in so many steps those go on that no other one beats in both cost and path: one that does leads
+    on wherever the other would, cheaper and under the lesser path. A hop joins the walks, whose size is known, to the edges.
     """
     if not 1 <= max_depth <= 10:
         raise ValueError("max_depth must be between 1 and 10")
-    step = materialize(_directed(edges, direction, kind).groupBy("src", "dst").agg(F.min(1 - F.coalesce("w", F.lit(1.0))).alias("c")), "steps")
-    spark = edges.sparkSession
-    front = start.select(F.col("id").cast("string").alias("start")).distinct() if isinstance(start, DataFrame) else spark.createDataFrame([(start,)], "start string")
-    front = front.select("start", F.col("start").alias("node"), F.lit(0.0).alias("cost"))
-    reached = None
+    step, spark = _directed(edges, direction, kind).select("src", "dst", (1 - F.coalesce("w", F.lit(1.0))).alias("c")), edges.sparkSession
+    begin = start.select(F.col("id").cast("string").alias("start")).distinct() if isinstance(start, DataFrame) else spark.createDataFrame(pa.table({"start": [start]}))
+    front = begin.select("start", F.col("start").alias("node"), F.lit(0.0).alias("cost"), F.col("start").alias("path"))
+    seen = []
     for depth in range(1, max_depth + 1):
-        moved = front.join(step, front["node"] == step["src"]).select("start", F.col("dst").alias("node"), (F.col("cost") + F.col("c")).alias("cost"))
-        front = materialize(moved.filter(F.col("cost") <= max_cost + 1e-9).groupBy("start", "node").agg(F.min("cost").alias("cost")), "front")
-        at = front.withColumn("depth", F.lit(depth))
-        reached = at if reached is None else reached.unionByName(at)
-    return reached.filter("node <> start").groupBy("start", "node").agg(F.min("depth").alias("depth"), F.min("cost").alias("cost"))
+        moved = front.join(step, front["node"] == step["src"]).select("start", F.col("dst").alias("node"), (F.col("cost") + F.col("c")).alias("cost"), F.concat_ws(">", "path", "dst").alias("path"))
+        least = moved.filter(F.col("cost") <= max_cost + 1e-9).groupBy("start", "node", F.round("cost", 12).alias("cost")).agg(F.min("path").alias("path"))
+        before = Window.partitionBy("start", "node").orderBy("path", "cost").rowsBetween(Window.unboundedPreceding, -1)
+        unbeaten = least.withColumn("_m", F.min("cost").over(before)).filter("_m is null or cost < _m").drop("_m")
+        front = materialize(unbeaten, "front")
+        seen.append(front.withColumn("depth", F.lit(depth)))
+    found = reduce(DataFrame.unionByName, seen).filter("node <> start").groupBy("start", "node").agg(F.min("depth").alias("depth"), F.min("cost").alias("cost"), F.min("path").alias("path"))
+    done = materialize(found, "reached")
+    for x in seen:
+        discard(x)
+    return done
 
 
 # ranks ---------------------------------------------------------------------------------------------------------------
@@ -266,45 +284,51 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
 
 def shortest_path(edges: DataFrame, start: str, end: str, cost: Column | None = None) -> list[str] | None:
     """Ids of a directed path of least total cost (the weight by default), or None. Costs must not be negative."""
-    d = distances(edges, start, cost=cost)
-    came = {r.node: r.previous for r in _trace(d, end)}
-    if end not in came:
-        return None
-    path = [end]
-    while path[-1] != start:
-        path.append(came[path[-1]])
-    return path[::-1]
-
-
-def distances(edges: DataFrame, start: str, cost: Column | None = None, max_rounds: int = 1_000) -> DataFrame:
-    """``node, cost, previous`` of all nodes reached from ``start``: each round relaxes only what improved before."""
+    found = distances(edges, start, cost=cost, end=end).filter(F.col("node") == end).select("path").take(1)
+    return found[0].path if found else None
+
+
+#: Rounds after which what improved since is merged into one table.
+_MERGED = 8
+
+
+def distances(edges: DataFrame, start: str, cost: Column | None = None, end: str | None = None) -> DataFrame:
+    """``node, cost, previous`` of all nodes reached from ``start``. Each round relaxes only what improved in the one before
+    and writes only what improves; rounds go on until nothing does. With ``end`` there is ``path`` as well, and nodes
+    farther than the best way there found so far aren't followed."""
     e = edges.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), (F.coalesce("weight", F.lit(1.0)) if cost is None else cost).alias("c"))
     if e.filter("c < 0").take(1):
         raise ValueError("negative costs")
     e = materialize(e.groupBy("src", "dst").agg(F.min("c").alias("c")), "costs")
-    known = materialize(edges.sparkSession.createDataFrame([(start, 0.0, None)], "node string, cost double, previous string"), "known")
-    front = known
-    for _ in range(max_rounds):
-        tried = front.join(e, front["node"] == e["src"]).select(F.col("dst").alias("node"), (F.col("cost") + F.col("c")).alias("cost"), F.col("src").alias("previous"))
-        best = tried.groupBy("node").agg(F.min(F.struct("cost", "previous")).alias("_b")).select("node", "_b.cost", "_b.previous")
-        old = known.select("node", F.col("cost").alias("_k"))
-        better = materialize(best.join(old, "node", "left").filter("_k is null or cost < _k - 1e-12").drop("_k"), "better")
-        if not better.take(1):
-            break
-        known, front = materialize(known.join(better.select("node"), "node", "left_anti").unionByName(better), "known"), better
-    return known
+    spark, more = edges.sparkSession, [] if end is None else ["path"]
+    first = spark.createDataFrame([(start, 0.0, None, [start])], "node string, cost double, previous string, path array<string>")
+    front = materialize(first.select("node", "cost", "previous", *more), "known")
+    parts, bound = [front], 0.0 if start == end else float("inf")
 
+    def known() -> DataFrame:
+        every = reduce(DataFrame.unionByName, parts)
+        return every.groupBy("node").agg(F.min(F.struct("cost", "previous", *more)).alias("_b")).select("node", "_b.*")
 
-def _trace(d: DataFrame, end: str) -> list:
-    """The rows on the way back from ``end``, one lookup a step: a path, not the reached part of the graph."""
-    out, at = [], end
-    while at is not None:
-        row = d.filter(F.col("node") == at).take(1)
-        if not row:
-            return []
-        out += row
-        at = row[0].previous
-    return out
+    while True:
+        on = [F.concat("path", F.array("dst")).alias("path")] if more else []
+        tried = front.join(e, front["node"] == e["src"]).select(F.col("dst").alias("node"), (F.col("cost") + F.col("c")).alias("cost"), F.col("src").alias("previous"), *on)
+        tried = tried.filter(F.col("cost") < bound) if bound < float("inf") else tried
+        best = tried.groupBy("node").agg(F.min(F.struct("cost", "previous", *more)).alias("_b")).select("node", "_b.*")
+        old = known().select("node", F.col("cost").alias("_k"))
+        front = materialize(best.join(old, "node", "left").filter("_k is null or cost < _k - 1e-12").drop("_k"), "better")
+        n, there = front.agg(F.count("*"), F.min(F.when(F.col("node") == end, F.col("cost")))).first()
+        if not n:
+            break
+        bound = bound if there is None else there
+        parts.append(front)
+        if len(parts) > _MERGED:
+            old_parts, parts = parts, [materialize(known(), "known")]
+            for x in old_parts[:-1]:  # the last is the front of the next round
+                discard(x)
+    done = materialize(known(), "distances")
+    for x in (e, *parts):
+        discard(x)
+    return done
 
 
 #: Most edges that are given to every task by ``betweenness``.
@@ -490,8 +514,8 @@ def _dependencies(near: list[list[tuple[int, float]]], s: int, many: np.ndarray)
     return share
 
 
-def communities(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
-    """``id, community`` on the undirected weighted graph by the Louvain method, deterministic: nodes move to the
+def communities(edges: DataFrame, nodes: DataFrame | None = None, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
+    """``id, community`` of all nodes (those of ``nodes`` without edges are each one of its own) on the undirected weighted graph by the Louvain method, deterministic: nodes move to the
     neighbouring community that raises modularity most until no move raises it, then communities become the nodes, until
     none of them moves either. Communities are named by their least member. Levels of up to ``one_task_edges`` are done
     in one task; above, a round moves nodes at once and is taken back for fewer of them where it doesn't raise modularity."""
@@ -512,7 +536,10 @@ def communities(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES) -> DataF
         degree = materialize(degree.join(moved, "id").groupBy(F.col("label").alias("id")).agg(F.sum("k").alias("k")), "degree")
         both = materialize(both.join(to("src"), "src").join(to("dst"), "dst").filter("_src <> _dst").groupBy(F.col("_src").alias("src"), F.col("_dst").alias("dst")).agg(F.sum("w").alias("w")), "both")
     names = label.groupBy("label").agg(F.min("id").alias("community"))
-    return label.join(names, "label").select("id", "community")
+    found = label.join(names, "label").select("id", "community")
+    if nodes is None:
+        return found
+    return found.unionByName(nodes.select("id").distinct().join(found, "id", "left_anti").select("id", F.col("id").alias("community")))
 
 
 #: Least gain of a move, as a share of the node's weight: below, rounding could move nodes for ever.

@@ -8,10 +8,16 @@ join is broadcast only when that size is under ``spark.sql.autoBroadcastJoinThre
 from __future__ import annotations
 
 import atexit
+import hashlib
+import json
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from tessel.sources.files import Files
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -38,6 +44,20 @@ def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored(spark: SparkSession, tag: str, sources: list[DataFrame], make: Callable[[], DataFrame], order: Sequence[str] = ()) -> DataFrame:
+    """What ``make`` gives, written to the shared folder once for the present files of ``sources`` and then read from
+    there: for data derived from tables that many queries use. With ``order`` the rows lie sorted by these columns."""
+    files = Files(spark)
+    state = sorted((f, *files.state(f)) for s in sources for f in s.inputFiles())
+    path = f"{shared_root(spark)}/tessel/{tag}-{hashlib.sha256(json.dumps([state, tag]).encode()).hexdigest()[:32]}"
+    if not files.has(f"{path}/schema.json"):
+        df = make()
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+        df.write.mode("overwrite").parquet(f"{path}/rows")
+        files.write(f"{path}/schema.json", df.schema.json())
+    return spark.read.schema(T.StructType.fromJson(json.loads(files.read(f"{path}/schema.json")))).parquet(f"{path}/rows")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores, for heavy work on a table of few files."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.operators import graph as g
+from tessel.plans.shared import materialize, stored
 from tessel.query_sets.registry import register
 from tessel.sources.tables import table
 
@@ -15,6 +16,11 @@ UNION ALL SELECT 'p:' || l_partkey, 's:' || l_suppkey, 'from', least(1, count(*)
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
+    """The graph's edges, derived once and kept, sorted by their ends."""
+    return stored(spark, "edges", [table(spark, d, t) for t in ("customer", "supplier", "nation", "lineitem")], lambda: derived(spark, d), ["source_id", "target_id"])
+
+
+def derived(spark: SparkSession, d: str) -> DataFrame:
     def e(df: DataFrame, a: str, source: str, b: str, target: str, kind: str, weight) -> DataFrame:
         return df.select(F.concat(F.lit(a), F.col(source).cast("string")).alias("source_id"), F.concat(F.lit(b), F.col(target).cast("string")).alias("target_id"), F.lit(kind).alias("type"), weight.alias("weight"))
 
@@ -54,6 +60,25 @@ def _hops(start: str, depth: int, table_: str, limit: float) -> str:
     return ", ".join(parts) + f" SELECT node, min(depth)::INT AS depth, round(min(cost), 6) AS cost FROM ({union}) WHERE node <> '{start}' GROUP BY node"
 
 
+def _walks(start: str, depth: int, table_: str, limit: float) -> str:
+    """The least path of any walk, found by following all of them."""
+    parts = [f"h0 AS (SELECT '{start}' AS node, 0.0::DOUBLE AS cost, '{start}' AS path)"]
+    parts += [f"h{i} AS (SELECT dst AS node, cost + 1 - w AS cost, path || '>' || dst AS path FROM h{i - 1} JOIN {table_} ON src = node WHERE cost + 1 - w <= {limit})" for i in range(1, depth + 1)]
+    union = " UNION ALL ".join(f"SELECT node, path FROM h{i}" for i in range(1, depth + 1))
+    return ", ".join(parts) + f" SELECT node, min(path) AS path FROM ({union}) WHERE node <> '{start}' GROUP BY node"
+
+
+@register("graph_traverse_paths", f"WITH {_EDGES}, {_BOTH}, {_walks('p:7', 3, 'b', 1.6 + 1e-9)}")
+def graph_traverse_paths(spark: SparkSession, d: str) -> DataFrame:
+    return g.traverse(edges(spark, d), "p:7", 3, "both", max_cost=1.6).select("node", "path")
+
+
+@register("graph_neighbor_edges", f"WITH {_EDGES} SELECT source_id, target_id, type, weight FROM e WHERE source_id = 's:2' OR target_id = 's:2'")
+def graph_neighbor_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The edges behind the neighbours (of no two to one neighbour here)."""
+    return g.neighbors(edges(spark, d), "s:2").select("edge.*")
+
+
 @register("graph_traverse", f"WITH {_EDGES}, {_BOTH}, {_hops('c:1', 3, 'b', 3.0 + 1e-9)}")
 def graph_traverse(spark: SparkSession, d: str) -> DataFrame:
     return g.traverse(edges(spark, d), "c:1", 3, "both").select("node", "depth", F.round("cost", 6).alias("cost"))
@@ -85,6 +110,12 @@ def graph_pagerank(spark: SparkSession, d: str) -> DataFrame:
     return g.pagerank(edges(spark, d)).select("id", F.round("rank", 9).alias("rank"))
 
 
+@register("graph_pagerank_joins", f"WITH {_EDGES}, {_rank_sql(20, 0.85, None)}")
+def graph_pagerank_joins(spark: SparkSession, d: str) -> DataFrame:
+    """The way of graphs too large for one task: a join a round."""
+    return g.pagerank(edges(spark, d), one_task_edges=0).select("id", F.round("rank", 9).alias("rank"))
+
+
 @register("graph_personalised_pagerank", f"WITH {_EDGES}, {_rank_sql(8, 0.15, 'p:1')}")
 def graph_ppr(spark: SparkSession, d: str) -> DataFrame:
     seed = spark.createDataFrame([("p:1", 2.0)], "id string, weight double")
@@ -162,10 +193,51 @@ def graph_betweenness(spark: SparkSession, d: str) -> DataFrame:
 
 @register("graph_communities")
 def graph_communities(spark: SparkSession, d: str) -> DataFrame:
-    return g.communities(edges(spark, d))
+    """All nodes, those without edges (regions that no nation is in, say) too."""
+    regions = table(spark, d, "region").select(F.concat(F.lit("r:"), "r_regionkey").alias("id"))
+    return g.communities(edges(spark, d), regions)
+
+
+@register("graph_modularity")
+def graph_modularity(spark: SparkSession, d: str) -> DataFrame:
+    """How good the communities are: the share of weight inside them less that expected by chance."""
+    c = materialize(graph_communities(spark, d), "communities")
+    return spark.createDataFrame([(c.select("community").distinct().count(), g.modularity(edges(spark, d), c))], "communities long, modularity double")
+
+
+def _ppr_sql(seeds: dict[str, float], hops: int, rounds: int, alpha: float, limit: int) -> str:
+    values = ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in seeds.items())
+    parts = [f"s AS (SELECT * FROM (VALUES {values}) t(id, sim))", "d0 AS (SELECT id, 0 AS depth FROM s)"]
+    parts += [f"d{i} AS (SELECT DISTINCT dst AS id, {i} AS depth FROM d{i - 1} JOIN b ON src = id)" for i in range(1, hops + 1)]
+    near = " UNION ALL ".join(f"SELECT * FROM d{i}" for i in range(hops + 1))
+    parts += [
+        f"i AS (SELECT id, min(depth) AS depth FROM ({near}) GROUP BY id)",
+        "u AS (SELECT src, dst, max(w) AS w FROM b SEMI JOIN i x ON x.id = src SEMI JOIN i y ON y.id = dst GROUP BY ALL)",
+        "t AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM u)",
+        "v AS (SELECT i.id, depth, coalesce(sim, 0) AS sim, coalesce(sim, 0) / sum(sim) OVER () AS base, 1.0 / count(*) OVER () AS first, i.id NOT IN (SELECT src FROM t) AS leaf FROM i LEFT JOIN s ON s.id = i.id)",
+        "r0 AS MATERIALIZED (SELECT id, first::DOUBLE AS r, base, leaf FROM v)",
+    ]
+    for k in range(1, rounds + 1):
+        parts.append(
+            f"r{k} AS MATERIALIZED (SELECT v.id, {alpha} * (coalesce(m, 0) + loose * v.base) + (1 - {alpha}) * v.base AS r, v.base, v.leaf FROM v "
+            f"LEFT JOIN (SELECT dst, sum(r * p) AS m FROM r{k - 1} JOIN t ON src = id GROUP BY dst) x ON x.dst = v.id, (SELECT coalesce(sum(r) FILTER (leaf), 0) AS loose FROM r{k - 1}))"
+        )
+    return ", ".join(parts) + f" SELECT v.id, round(r, 9) AS score, depth, sim AS similarity FROM r{rounds} JOIN v USING (id) ORDER BY round(r, 12) DESC, v.id LIMIT {limit}"
 
 
-@register("graph_search_ppr")
+@register("graph_search_ppr", f"WITH {_EDGES}, {_BOTH}, {_ppr_sql({'p:1': 0.9, 'p:2': 0.4}, 2, 20, 0.15, 10)}")
 def graph_search_ppr(spark: SparkSession, d: str) -> DataFrame:
     seeds = spark.createDataFrame([("p:1", 0.9), ("p:2", 0.4)], "id string, similarity double")
-    return g.search_graph_ppr(seeds, edges(spark, d), 2, iterations=10)
+    return g.search_graph_ppr(seeds, edges(spark, d), 2).withColumn("score", F.round("score", 9))
+
+
+@register(
+    "graph_search",
+    f"""WITH {_EDGES}, {_BOTH}, s AS (SELECT * FROM (VALUES ('s:1', 0.9::DOUBLE), ('n:3', 0.4::DOUBLE)) t(id, similarity)),
+n AS (SELECT src, dst, max(w) AS w FROM b SEMI JOIN s ON s.id = src GROUP BY ALL),
+k AS (SELECT src, string_agg(dst, ',' ORDER BY w DESC, dst) AS neighbors FROM (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) <= 6) GROUP BY src)
+SELECT id, similarity, neighbors FROM s LEFT JOIN k ON src = id""",
+)
+def graph_search(spark: SparkSession, d: str) -> DataFrame:
+    seeds = spark.createDataFrame([("s:1", 0.9), ("n:3", 0.4)], "id string, similarity double")
+    return g.search_graph(seeds, edges(spark, d)).select("id", "similarity", F.array_join("neighbors", ",").alias("neighbors"))

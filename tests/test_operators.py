@@ -149,15 +149,15 @@ def test_graph_algorithms(spark, seed):
     nodes = sorted({x for p in e for x in p})
     # walks
     best = {}
-    front = [(0, 0.0)]
-    for depth in range(1, 4):
-        front = [(b, c + 1 - w) for (x, c) in front for (a, b), w in e.items() if a == x and c + 1 - w <= 1.5 + 1e-9]
-        for x, c in front:
-            d0, c0 = best.get(x, (depth, c))
-            best[x] = (min(d0, depth), min(c0, c))
+    front = [(0, 0.0, "00")]
+    for depth in range(1, 5):
+        front = [(b, c + 1 - w, f"{p}>{b:02}") for (x, c, p) in front for (a, b), w in e.items() if a == x and c + 1 - w <= 1.5 + 1e-9]
+        for x, c, p in front:
+            d0, c0, p0 = best.get(x, (depth, c, p))
+            best[x] = (min(d0, depth), min(c0, c), min(p0, p))
     best.pop(0, None)
-    got = {int(r.node): (r.depth, round(r.cost, 9)) for r in g.traverse(df, "00", 3, max_cost=1.5).collect()}
-    assert got == {k: (d, round(c, 9)) for k, (d, c) in best.items()}
+    got = {int(r.node): (r.depth, round(r.cost, 9), r.path) for r in g.traverse(df, "00", 4, max_cost=1.5).collect()}
+    assert got == {k: (d, round(c, 9), p) for k, (d, c, p) in best.items()}
     # components
     label = {x: x for x in nodes}
     for _ in nodes:
@@ -172,6 +172,10 @@ def test_graph_algorithms(spark, seed):
         dist[a, b] = min(dist[a, b], dist[a, k] + dist[k, b])
     start = nodes[0]
     assert {int(r.node): round(r.cost, 9) for r in g.distances(df, f"{start:02}").collect()} == {b: round(dist[start, b], 9) for b in nodes if dist[start, b] < float("inf")}
+    for end in nodes[::4]:
+        p = g.shortest_path(df, f"{start:02}", f"{end:02}")
+        steps = [(int(a), int(b)) for a, b in itertools.pairwise(p or [])]
+        assert (p is None) == (dist[start, end] == float("inf")) and (p is None or (int(p[0]), int(p[-1])) == (start, end) and sum(e[x] for x in steps) == pytest.approx(dist[start, end]))
     # betweenness, by counting shortest paths
     und = {}
     for (a, b), w in e.items():
@@ -249,6 +253,17 @@ def test_betweenness_of_the_whole_registered_graph(spark, more):
     assert got == pytest.approx(dict(zip(ids, want)), abs=1e-9) and any(v.startswith("c:") for v in got)
 
 
+def test_distances_along_a_chain_and_nodes_without_edges(spark):
+    chain = as_edges(spark, {(i, i + 1): 1.0 for i in range(20)})  # more rounds than are kept apart
+    assert {int(r.node): r.cost for r in g.distances(chain, "00").collect()} == {i: float(i) for i in range(21)}
+    assert g.shortest_path(chain, "03", "19") == [f"{i:02}" for i in range(3, 20)] and g.shortest_path(chain, "19", "03") is None
+    alone = spark.createDataFrame([("00",), ("zz",)], "id string")
+    c = {r.id: r.community for r in g.communities(chain, alone).collect()}
+    assert c["zz"] == "zz" and len(c) == 22
+    near = g.neighbors(chain, "05").orderBy("neighbor").collect()
+    assert [(r.neighbor, r.edge.source_id, r.edge.target_id) for r in near] == [("04", "04", "05"), ("06", "05", "06")]
+
+
 def test_ranks_and_communities(spark):
     e = as_edges(spark, {(0, 1): 1.0, (1, 2): 1.0, (2, 0): 1.0, (0, 3): 0.5})
     plain = {r.id: r.rank for r in g.pagerank(e, tolerance=1e-5, iterations=60).collect()}
