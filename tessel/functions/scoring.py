@@ -42,3 +42,18 @@ def ranking_metrics(ranked: DataFrame, judged: DataFrame, k: int = 10) -> DataFr
             (zero(F.col("n_hit")) / k).alias("precision"), zero(1 / F.col("first")).alias("mrr"),
         )
     )
+
+
+def mean_metrics(metrics: DataFrame) -> DataFrame:
+    """One row: the means over all queries of ``ranking_metrics``, a query without relevant items left out where it has none."""
+    return metrics.agg(*[F.avg(c).alias(c) for c in ("ndcg", "recall", "precision", "mrr")], F.count("*").alias("queries"))
+
+
+def set_recall(ranked: DataFrame, expected: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """``query, recall`` of each of ``queries``: the share of its expected items (``query, item``) among the first ``k``
+    ranked; 1 where none is expected."""
+    want = expected.select("query", "item").distinct()
+    total = want.groupBy("query").agg(F.count("*").alias("n"))
+    found = ranked.filter(F.col("rank") <= k).select("query", "item").distinct().join(want, ["query", "item"]).groupBy("query").agg(F.count("*").alias("f"))
+    j = queries.select("query").distinct().join(total, "query", "left").join(found, "query", "left")
+    return j.select("query", F.when(F.col("n").isNull(), 1.0).otherwise(F.coalesce("f", F.lit(0)) / F.col("n")).alias("recall"))

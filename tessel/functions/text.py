@@ -30,8 +30,8 @@ def tokens(text: Column) -> Column:
 
 
 def plain_query(query: Column) -> Column:
-    """A keyword query as terms joined by `` OR ``: what is neither letter, digit, mark nor underscore parts them."""
-    words = F.filter(F.split(F.regexp_replace(query, r"(?U)[^\w\s]", " "), r"(?U)\s+"), lambda t: t != "")
+    """A keyword query as terms joined by `` OR ``: what is neither letter, number nor underscore parts them."""
+    words = F.filter(F.split(query, r"[^\p{L}\p{N}_]+"), lambda t: t != "")
     return F.array_join(words, " OR ")
 
 

@@ -10,16 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_CHARS = 1200
+#: What parts sentences and paragraphs.
+_SENTENCE_END, _PARAGRAPH_END = r"(?<=[.!?])\s+|\n+", r"\n\s*\n"
 
 
 def _sentences(paragraph: str) -> list[str]:
-    return [t for s in re.split(r"(?<=[.!?])\s+|\n+", paragraph) if (t := s.strip())]
+    return [t for s in re.split(_SENTENCE_END, paragraph) if (t := s.strip())]
 
 
 def _units(text: str, size: int) -> Iterator[tuple[str, str]]:
     """Sentences, none longer than ``size``, each with what would join it to the one before."""
     glue = ""
-    for paragraph in re.split(r"\n\s*\n", text):
+    for paragraph in re.split(_PARAGRAPH_END, text):
         for s in _sentences(paragraph):
             for at in range(0, len(s), size):
                 yield glue, s[at : at + size]

@@ -35,7 +35,7 @@ def history(log: DataFrame, pk: str) -> DataFrame:
     return log.filter(F.col("pk") == pk).orderBy("_seq")
 
 
-def head(log: DataFrame) -> Column:
+def head() -> Column:
     """Aggregate: the last sequence number, 0 of an empty log."""
     return F.coalesce(F.max("_seq"), F.lit(0))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.operators import journal, versioning
-from tessel.plans.shared import materialize, shared_root
+from tessel.plans.shared import shared_root, stored
 from tessel.query_sets.problems import LIVE_CELLS
 from tessel.query_sets.registry import register
 from tessel.sources.tables import table
@@ -17,8 +17,13 @@ from tessel.streaming import changes
 _LOG = "g AS (SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'update' END AS op, user_id::VARCHAR AS pk, props AS j FROM events)"
 
 
-def _state(name: str, seq: int | None) -> str:
-    upto = "" if seq is None else f"WHERE seq <= {seq}"
+def _at(share: float) -> str:
+    return f"(SELECT floor(max(seq) * {share})::BIGINT FROM g)"
+
+
+def _state(name: str, share: float | None) -> str:
+    """The state after so much of the log."""
+    upto = "" if share is None else f"WHERE seq <= {_at(share)}"
     return f"{name} AS (SELECT pk, j FROM (SELECT pk, arg_max(j, seq) AS j, arg_max(op, seq) AS op FROM g {upto} GROUP BY pk) WHERE op <> 'delete')"
 
 
@@ -29,17 +34,22 @@ def log(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@register("version_as_of", f"WITH {_LOG}, {_state('s', 5000)} SELECT pk, j AS row_json FROM s")
+def seq_at(log_: DataFrame, share: float) -> int:
+    return int((log_.agg(versioning.head()).first()[0] or 0) * share)
+
+
+@register("version_as_of", f"WITH {_LOG}, {_state('s', 0.5)} SELECT pk, j AS row_json FROM s")
 def version_as_of(spark: SparkSession, d: str) -> DataFrame:
-    return versioning.as_of(log(spark, d), 5000)
+    return versioning.as_of(log(spark, d), seq_at(log(spark, d), 0.5))
 
 
 @register(
     "version_diff",
-    f"WITH {_LOG}, {_state('a', 2000)}, {_state('b', 8000)} SELECT coalesce(a.pk, b.pk) AS pk, CASE WHEN a.pk IS NULL THEN 'added' WHEN b.pk IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.pk = b.pk WHERE a.j IS DISTINCT FROM b.j OR a.pk IS NULL OR b.pk IS NULL",
+    f"WITH {_LOG}, {_state('a', 0.2)}, {_state('b', 0.9)} SELECT coalesce(a.pk, b.pk) AS pk, CASE WHEN a.pk IS NULL THEN 'added' WHEN b.pk IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.pk = b.pk WHERE a.j IS DISTINCT FROM b.j OR a.pk IS NULL OR b.pk IS NULL",
 )
 def version_diff(spark: SparkSession, d: str) -> DataFrame:
-    return versioning.diff(log(spark, d), 2000, 8000).select("pk", "change")
+    g = log(spark, d)
+    return versioning.diff(g, seq_at(g, 0.2), seq_at(g, 0.9)).select("pk", "change")
 
 
 @register("version_log_tail", f"WITH {_LOG} SELECT seq, op, pk FROM g ORDER BY seq DESC LIMIT 100")
@@ -54,27 +64,27 @@ def version_history(spark: SparkSession, d: str) -> DataFrame:
 
 @register("version_head", f"WITH {_LOG} SELECT coalesce(max(seq), 0) AS head FROM g")
 def version_head(spark: SparkSession, d: str) -> DataFrame:
-    return log(spark, d).agg(versioning.head(log(spark, d)).alias("head"))
+    return log(spark, d).agg(versioning.head().alias("head"))
 
 
 @register(
     "version_rollback_plan",
-    f"WITH {_LOG}, {_state('c', None)}, {_state('t', 6000)} SELECT coalesce(c.pk, t.pk) AS pk, CASE WHEN t.pk IS NULL THEN 'delete' WHEN c.pk IS NULL THEN 'insert' ELSE 'update' END AS action, coalesce(t.j, c.j) AS row_json FROM c FULL JOIN t ON c.pk = t.pk WHERE c.j IS DISTINCT FROM t.j OR c.pk IS NULL OR t.pk IS NULL",
+    f"WITH {_LOG}, {_state('c', None)}, {_state('t', 0.6)} SELECT coalesce(c.pk, t.pk) AS pk, CASE WHEN t.pk IS NULL THEN 'delete' WHEN c.pk IS NULL THEN 'insert' ELSE 'update' END AS action, coalesce(t.j, c.j) AS row_json FROM c FULL JOIN t ON c.pk = t.pk WHERE c.j IS DISTINCT FROM t.j OR c.pk IS NULL OR t.pk IS NULL",
 )
 def version_rollback_plan(spark: SparkSession, d: str) -> DataFrame:
-    return versioning.rollback_plan(log(spark, d), 6000)
+    return versioning.rollback_plan(log(spark, d), seq_at(log(spark, d), 0.6))
 
 
 @register("version_pruned_state", f"WITH {_LOG}, {_state('s', None)} SELECT pk, j AS row_json FROM s")
 def version_pruned_state(spark: SparkSession, d: str) -> DataFrame:
     chained = log(spark, d).withColumn("event_hash", F.lit("x"))
-    rest, base, _ = versioning.prune(chained, 4000)
+    rest, base, _ = versioning.prune(chained, seq_at(chained, 0.4))
     return versioning.as_of_with_baseline(rest, base)
 
 
 @register("version_verify_chain", "SELECT * FROM (VALUES ('whole', true, -1::BIGINT), ('edited', false, 777::BIGINT), ('cut', false, 501::BIGINT)) t(log, valid, first_broken)")
 def version_verify_chain(spark: SparkSession, d: str) -> DataFrame:
-    whole = materialize(versioning.chained(log(spark, d)), "chain")
+    whole = stored(spark, "chain", [table(spark, d, "events")], lambda: versioning.chained(log(spark, d)))  # hashed once
     edited = whole.withColumn("row_json", F.when(F.col("_seq") == 777, "{}").otherwise(F.col("row_json")))
     logs = {"whole": whole, "edited": edited, "cut": whole.filter("_seq <> 500")}
     found = {k: versioning.verify_chain(v) for k, v in logs.items()}

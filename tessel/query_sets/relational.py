@@ -241,10 +241,12 @@ sql_query(
 
 # scalar functions
 
-@register("fn_plain_query", r"SELECT doc_id, array_to_string([x FOR x IN regexp_split_to_array(regexp_replace(text, '[^a-zA-Z0-9_\s]', ' ', 'g'), '\s+') IF x <> ''], ' OR ') AS q FROM documents WHERE lang = 'en' AND regexp_full_match(text, '[\x20-\x7e\n]*')")
+@register(
+    "fn_plain_query",
+    r"SELECT doc_id, array_to_string([x FOR x IN regexp_split_to_array(text, '[^\p{L}\p{N}_]+') IF x <> ''], ' OR ') AS q FROM documents",
+)
 def fn_plain_query(spark: SparkSession, d: str) -> DataFrame:
-    df = table(spark, d, "documents").filter((F.col("lang") == "en") & F.col("text").rlike(r"^[\x20-\x7e\n]*$"))
-    return df.select("doc_id", text.plain_query(F.col("text")).alias("q"))
+    return table(spark, d, "documents").select("doc_id", text.plain_query(F.col("text")).alias("q"))
 
 
 @register("fn_sentences", r"SELECT doc_id, len([s FOR s IN regexp_split_to_array(regexp_replace(text, '([.!?])[ \t\r\x0b\f\n]+', E'\\1\n', 'g'), '\n+') IF trim(s, E' \t\n\r\x0b\f') <> '']) AS n FROM documents WHERE text IS NOT NULL")

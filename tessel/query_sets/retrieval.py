@@ -9,6 +9,7 @@ from tessel.functions import scoring, vectors
 from tessel.functions.text import ACCENTED, PLAIN
 from tessel.operators import chunking, search
 from tessel.operators.textindex import TextIndex
+from tessel.plans.shared import materialize
 from tessel.query_sets.registry import register
 from tessel.sources.tables import table
 
@@ -98,27 +99,45 @@ def search_vector_batch(spark: SparkSession, d: str) -> DataFrame:
     return _batch(spark, d).select("query", "pk", F.col("rank").cast("long").alias("rank"))
 
 
-@register(
-    "search_metrics",
-    f"""WITH {_BATCH}, j AS (SELECT t.query, t.rank FROM top t JOIN embeddings a ON a.vec_id = t.query JOIN embeddings b ON b.vec_id = t.pk WHERE a.label = b.label),
+_METRICS = f"""{_BATCH}, j AS (SELECT t.query, t.rank FROM top t JOIN embeddings a ON a.vec_id = t.query JOIN embeddings b ON b.vec_id = t.pk WHERE a.label = b.label),
 r AS (SELECT a.vec_id AS query, count(*) AS n FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 20 = 0 GROUP BY 1),
-i AS (SELECT query, list_sum([1 / log2(k + 1) FOR k IN range(1, least(n, 10) + 1)]) AS idcg FROM r)
-SELECT query, round(coalesce(sum(1 / log2(rank + 1)), 0) / any_value(idcg), 6) AS ndcg, round(count(rank) / any_value(n), 6) AS recall, round(count(rank) / 10, 6) AS precision, round(coalesce(1 / min(rank), 0), 6) AS mrr
-FROM r JOIN i USING (query) LEFT JOIN j USING (query) GROUP BY query""",
-)
+i AS (SELECT query, list_sum([1 / log2(k + 1) FOR k IN range(1, least(n, 10) + 1)]) AS idcg FROM r)"""
+_METRICS_ROWS = """SELECT query, coalesce(sum(1 / log2(rank + 1)), 0) / any_value(idcg) AS ndcg, count(rank) / any_value(n) AS recall, count(rank) / 10 AS precision, coalesce(1 / min(rank), 0) AS mrr
+ FROM r JOIN i USING (query) LEFT JOIN j USING (query) GROUP BY query"""
+
+
+@register("search_metrics", f"WITH {_METRICS}, m AS ({_METRICS_ROWS}) SELECT query, round(ndcg, 6) AS ndcg, round(recall, 6) AS recall, round(precision, 6) AS precision, round(mrr, 6) AS mrr FROM m")
 def search_metrics(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select("vec_id", "label")
-    judged = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "label").join(e.select(F.col("vec_id").alias("item"), "label"), "label").select("query", "item", F.lit(1).alias("grade"))
-    m = scoring.ranking_metrics(_batch(spark, d).withColumnRenamed("pk", "item"), judged)
+    m = scoring.ranking_metrics(_batch(spark, d).withColumnRenamed("pk", "item"), _judged(spark, d))
     return m.select("query", *[F.round(c, 6).alias(c) for c in ("ndcg", "recall", "precision", "mrr")])
 
 
-@register("search_vector_cells")
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select("vec_id", "label")
+    return e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "label").join(e.select(F.col("vec_id").alias("item"), "label"), "label").select("query", "item", F.lit(1).alias("grade"))
+
+
+@register("search_metrics_mean", f"WITH {_METRICS}, m AS ({_METRICS_ROWS}) SELECT round(avg(ndcg), 6) AS ndcg, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(mrr), 6) AS mrr, count(*) AS queries FROM m")
+def search_metrics_mean(spark: SparkSession, d: str) -> DataFrame:
+    m = scoring.mean_metrics(scoring.ranking_metrics(_batch(spark, d).withColumnRenamed("pk", "item"), _judged(spark, d)))
+    return m.select(*[F.round(c, 6).alias(c) for c in ("ndcg", "recall", "precision", "mrr")], "queries")
+
+
+@register("search_set_recall", f"WITH {_METRICS}, x AS (SELECT query, count(*) AS f FROM j WHERE rank <= 5 GROUP BY query) SELECT r.query, round(CASE WHEN r.query % 3 = 0 THEN 1 ELSE coalesce(f, 0) / n END, 6) AS recall FROM r LEFT JOIN x USING (query)")
+def search_set_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Nothing is expected of every third query."""
+    judged = _judged(spark, d)
+    m = scoring.set_recall(_batch(spark, d).withColumnRenamed("pk", "item"), judged.filter("query % 3 <> 0"), judged, 5)
+    return m.select("query", F.round("recall", 6).alias("recall"))
+
+
+@register("search_vector_cells", f"WITH {_BATCH} SELECT query, pk, rank FROM top")
 def search_vector_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Exact over cells that may hold a neighbour; the number of cells grows with the table."""
     e = table(spark, d, "embeddings")
     index, centroids = search.ivf_index(e, "vec_id", "embedding")
     q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vec"))
-    return search.ivf_search(index, centroids, q, 10).select("query", "pk", "rank")
+    return search.ivf_search(index, centroids, q, 10).select("query", "pk", F.col("rank").cast("long").alias("rank"))
 
 
 def _vector_leg(name: str, source: str, pk: str, column: str) -> str:
@@ -204,6 +223,36 @@ def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_rows(table(spark, d, "documents"), "doc_id", "text")
 
 
-@register("embed_hash_dense")
+#: What parts words of the hash embedding, in both notations.
+_SPACE = r"[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@register("chunk_rows_rejoined", f"SELECT doc_id, md5(regexp_replace(text, '{_SPACE}', '', 'g')) AS text FROM documents WHERE regexp_replace(text, '{_SPACE}', '', 'g') <> ''")
+def chunk_rows_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """Each text put together again from its chunks: but for white space nothing may be lost or come twice."""
+    c = chunking.chunk_rows(table(spark, d, "documents"), "doc_id", "text", overlap=False)
+    whole = c.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_seq", "content"))).alias("c"))
+    return whole.select("doc_id", F.md5(F.regexp_replace(F.array_join(F.transform("c", lambda x: x["content"]), ""), _SPACE, "")).alias("text"))
+
+
+@register("search_chunks_of_documents", f"SELECT count(DISTINCT doc_id) AS documents, true AS best FROM documents WHERE list_has_any({tokens_sql('text')}, ['zymurgy', 'scheduler'])")
+def search_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents cut into chunks, the chunks ranked by keyword, the best chunk of each document with its document."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    c = materialize(chunking.chunk_rows(docs, "doc_id", "text", overlap=False).withColumn("id", F.concat_ws("#", "doc_id", "chunk_seq")), "chunks")
+    hits = search.bm25(c, "id", "content", "zymurgy scheduler").join(c, F.col("pk") == F.col("id")).select("doc_id", "chunk_seq", "content", (-F.col("score")).alias("_score"))
+    best = search.best_chunks(hits, docs.withColumnRenamed("doc_id", "parent"), "doc_id", "parent")
+    return best.agg(F.count("*").alias("documents"), F.bool_and(F.contains(F.lower("chunk.content"), F.lit("scheduler")) | F.contains(F.lower("chunk.content"), F.lit("zymurgy"))).alias("best"))
+
+
+_DENSE = f"""SELECT doc_id, unnest([w FOR w IN regexp_split_to_array(lower(coalesce(text, '')), '{_SPACE}') IF w <> '']) AS w FROM documents"""
+
+
+@register(
+    "embed_hash_dense",
+    f"""WITH s AS (SELECT doc_id, (('0x' || md5(w))::UHUGEINT % 384)::INT AS slot, count(*)::DOUBLE AS c FROM ({_DENSE}) GROUP BY ALL),
+v AS (SELECT doc_id, map_from_entries(list((slot, c / n))) AS m FROM s JOIN (SELECT doc_id, sqrt(sum(c * c)) AS n FROM s GROUP BY doc_id) USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, [round(coalesce(element_at(m, i::INT)[1], 0), 6) FOR i IN range(384)] AS vec FROM documents d LEFT JOIN v USING (doc_id)""",
+)
 def embed_hash_dense(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", vectors.hash_embedding(F.col("text")).alias("vec"))
+    return table(spark, d, "documents").select("doc_id", F.transform(vectors.hash_embedding(F.col("text")), lambda x: F.round(x, 6)).alias("vec"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from tessel.sources.tables import table
 _PARTS = {"p_partkey": "INTEGER PRIMARY KEY", "p_name": "TEXT", "p_size": "INTEGER", "p_retailprice": "REAL"}
 
 
-def _with_parts(name: str, sql: str, versioned: bool = False) -> Callable:
+def _with_parts(name: str, sql: str, versioned: bool = False, kinds: dict[str, str] | None = None) -> Callable:
     """A query over what a function does to a database with the table ``part``."""
 
     def wrap(f: Callable[[Database, DataFrame], DataFrame]) -> None:
@@ -25,7 +27,7 @@ def _with_parts(name: str, sql: str, versioned: bool = False) -> Callable:
         def run(spark: SparkSession, d: str) -> DataFrame:
             db = Database(spark, f"{shared_root(spark)}/db-{uuid.uuid4().hex}")
             parts = table(spark, d, "part").select(F.col("p_partkey"), "p_name", F.col("p_size").cast("long").alias("p_size"), "p_retailprice")
-            db.create_table("part", _PARTS, versioned=versioned)
+            db.create_table("part", _PARTS | (kinds or {}), versioned=versioned)
             db.append("part", parts)
             return f(db, parts)
 
@@ -127,6 +129,79 @@ def table_backup_restore(db: Database, _: DataFrame) -> DataFrame:
     return db.store.scan("part").select("p_partkey", "p_name")
 
 
+@_with_parts("table_pruned", "SELECT p_partkey::VARCHAR AS pk, CASE WHEN p_partkey = 2 THEN 'x' ELSE p_name END AS name, (SELECT count(*) FROM part) AS dropped FROM part", versioned=True)
+def table_pruned(db: Database, _: DataFrame) -> DataFrame:
+    db.checkpoint("part", "start")
+    db.update("part", 2, {"p_name": "x"})
+    dropped = db.prune("part", checkpoint="start")
+    return db._state("part", None).select("pk", F.get_json_object("row_json", "$.p_name").alias("name"), F.lit(dropped).cast("long").alias("dropped"))
+
+
+@_with_parts("table_archive", "SELECT 'current' AS part, p_partkey::VARCHAR AS pk, p_name AS name FROM part WHERE p_partkey <> 1 UNION ALL SELECT 'history', p_partkey::VARCHAR, p_name FROM part UNION ALL SELECT 'history', '1', p_name FROM part WHERE p_partkey = 1", versioned=True)
+def table_archive(db: Database, _: DataFrame) -> DataFrame:
+    db.delete("part", 1)
+    out = db.archive("part", f"{db.store.root}-archive")
+    now = db.spark.read.parquet(out["current"]).select(F.lit("current").alias("part"), F.col("p_partkey").cast("string").alias("pk"), F.col("p_name").alias("name"))
+    then = db.spark.read.parquet(out["history"]).select(F.lit("history").alias("part"), "pk", F.get_json_object("row_json", "$.p_name").alias("name"))
+    return now.unionByName(then)
+
+
+@_with_parts("table_care", "SELECT * FROM (SELECT count(*) - 1 AS n FROM part), (VALUES ('health before', 'drift'), ('health after', 'ok'), ('health lost', 'broken'), ('integrity', 'ok'), ('integrity lost', 'corrupt')) t(what, status)")
+def table_care(db: Database, _: DataFrame) -> DataFrame:
+    """States of a table before and after it is indexed, and with a file lost; rows by ``stats`` and ``reindex``."""
+    db.delete("part", 4)
+    said = {"health before": db.health("part")["status"]}
+    rows = db.reindex("part")
+    said |= {"health after": db.health("part")["status"], "integrity": db.check_integrity("part")["status"]}
+    assert db.stats()["part"]["rows"] == rows and db.vacuum() > 0
+    m = db.store.manifest("part")
+    m.files = [*m.files, f"{m.files[0]}-lost"]
+    db.store.files.write(db.store._path("part"), json.dumps(asdict(m)))
+    said |= {"health lost": db.health("part")["status"], "integrity lost": db.check_integrity("part")["status"]}
+    return db.spark.createDataFrame([(k, v, rows) for k, v in said.items()], "what string, status string, n long")
+
+
+@_with_parts(
+    "table_vectors_follow_rows",
+    """SELECT p_partkey, count(DISTINCT ('0x' || md5(w))::UHUGEINT % 384) AS slots FROM (SELECT p_partkey, unnest(string_split(lower(n), ' ')) AS w FROM
+(SELECT p_partkey, CASE WHEN p_partkey = 5 THEN 'one two three' ELSE p_name END AS n FROM part WHERE p_partkey <> 6)) WHERE w <> '' GROUP BY 1""",
+    kinds={"p_name": "LONGTEXT"},
+)
+def table_vectors_follow_rows(db: Database, _: DataFrame) -> DataFrame:
+    """Stored vectors after an update and a delete of rows that had some."""
+    db.process_journal(1 << 40)
+    db.update("part", 5, {"p_name": "one two three"})
+    db.delete("part", 6)
+    texts = db._index(db.store.manifest("part"), "p_name").texts()
+    return texts.select(F.col("pk").alias("p_partkey"), F.size("slots").cast("long").alias("slots"))
+
+
+@_with_parts("table_search", "SELECT p_partkey FROM part WHERE p_partkey % 1000 = 7 OR p_partkey = 5 ORDER BY p_partkey LIMIT 50", kinds={"p_name": "LONGTEXT"})
+def table_search(db: Database, parts: DataFrame) -> DataFrame:
+    """Rows whose text was set to a word that no other row has, found by the index that follows the table."""
+    db.process_journal(1 << 40)
+    m = db.store.manifest("part")
+    some = parts.filter("p_partkey % 1000 = 7 or p_partkey = 5")
+    db.store.change(m, some.select("p_partkey"), some.withColumn("p_name", F.lit("zyzzyva")))
+    hits = db.search("part", "p_name", "zyzzyva", "keyword", limit=50)
+    same = db.search_columns("part", "zyzzyva", limit=50)
+    assert {r["p_partkey"] for r in hits} <= {r["p_partkey"] for r in same}
+    return db.spark.createDataFrame([(r["p_partkey"],) for r in hits], "p_partkey long")
+
+
+@register("source_retrieval_benchmark", "SELECT doc_id::VARCHAR AS id, text, coalesce(length(text), 0)::BIGINT AS grade FROM documents")
+def source_retrieval_benchmark(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as a retrieval benchmark's folder (corpus, queries, judgements), loaded again and joined."""
+    at = f"{shared_root(spark)}/benchmark-{uuid.uuid4().hex}"
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("_id"), "text")
+    formats.write_jsonl(docs.select("_id", F.lit("").alias("title"), "text"), f"{at}/corpus.jsonl")
+    formats.write_jsonl(docs.select(F.concat(F.lit("q"), "_id").alias("_id"), "text"), f"{at}/queries.jsonl")
+    judged = docs.select(F.concat(F.lit("q"), "_id").alias("query-id"), F.col("_id").alias("corpus-id"), F.coalesce(F.length("text"), F.lit(0)).alias("score"))
+    judged.write.option("header", True).option("sep", "\t").csv(f"{at}/qrels/test.tsv")
+    corpus, queries, grades = formats.retrieval_benchmark(spark, at)
+    return corpus.join(grades, corpus["id"] == grades["item"]).join(queries.select("query"), "query").select("id", "text", F.col("grade").cast("long").alias("grade"))
+
+
 @register("sink_jsonl", "SELECT id, doc_id, content FROM doc_chunks")
 def sink_jsonl(spark: SparkSession, d: str) -> DataFrame:
     path = f"{shared_root(spark)}/sink-{uuid.uuid4().hex}"
