@@ -65,6 +65,17 @@ def p8_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.SharedSpans(table(spark, d, "documents")).coverage().withColumnRenamed("doc", "doc_id")
 
 
+@register(
+    "p8_classes",
+    f"""WITH {_PASSAGES}, d AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class FROM documents WHERE length(text) >= 200),
+l AS (SELECT x.class, count(DISTINCT y.class) AS links FROM (SELECT DISTINCT class, s FROM h JOIN d USING (doc_id)) x JOIN (SELECT DISTINCT class, s FROM h JOIN d USING (doc_id)) y ON x.s = y.s AND x.class <> y.class GROUP BY 1)
+SELECT doc_id, class, coalesce(links, 0) AS links FROM d LEFT JOIN l USING (class)""",
+)
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The operator's own result: documents with their class of equal texts and its links to other classes."""
+    return spans.SharedSpans(table(spark, d, "documents")).classes().withColumnRenamed("doc", "doc_id")
+
+
 def _personal(spark: SparkSession, d: str) -> pii.PersonalInformation:
     return pii.PersonalInformation(table(spark, d, "messages"), table(spark, d, "contacts"))
 

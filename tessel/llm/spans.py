@@ -7,10 +7,12 @@ from a boundary text can influence it: after all rounds a boundary depends on at
 side, and neighbouring boundaries are at most twice the last width apart, save inside long periodic runs, whose
 inner positions all count as boundaries.
 
-A boundary together with the ``CONTEXT`` characters on either side is a high-level symbol. Of the symbols in each
-window of ``length - 2 * CONTEXT + 1`` positions the one with the least name is kept; a passage of ``length``
-characters holds at least one whole such window, so any two records that share the passage share a kept symbol.
-Shared symbols reveal candidates, and the text around them is compared as stored.
+What stands around such a boundary is a high-level symbol, named by the sequence of symbols of the first ``NAMED``
+rounds that lie wholly within ``SIDE`` characters of it: these, too, depend on no more than ``CONTEXT`` characters on
+either side, so equal passages have equal symbols. Of the symbols in each window of ``length - 2 * CONTEXT + 1`` positions
+the one with the least name is kept; a passage of ``length`` characters holds at least one whole such window, so any two
+records that share the passage share a kept symbol. Shared symbols reveal candidates, and the text around them is
+compared as stored.
 """
 
 from __future__ import annotations
@@ -24,11 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tessel.plans.shared import materialize
+from tessel.plans.shared import discard, materialize
 
 LENGTH = 200
 WIDTHS = (1, 2, 3, 4, 6)  # of the rounds; each counts for the naming of runs and of pairs
 CONTEXT = 40
+NAMED = 2  # rounds whose symbols name what stands around a boundary
 #: Occurrences of a symbol up to which its passages are compared pair by pair; beyond, they are grouped by windows.
 FEW = 16
 _CHARS = 1 << 15  # of texts handled at once, so that the arrays stay in the cache
@@ -44,6 +47,7 @@ def reach(widths: tuple[int, ...] = WIDTHS) -> int:
 
 
 assert reach() <= CONTEXT
+SIDE = CONTEXT - reach(WIDTHS[:NAMED])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -55,8 +59,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def boundaries(names: np.ndarray, last: np.ndarray, widths: tuple[int, ...] = WIDTHS) -> np.ndarray:
-    """Positions at which a symbol begins after all rounds. ``last`` marks separators between texts."""
+def recompressed(names: np.ndarray, last: np.ndarray, widths: tuple[int, ...] = WIDTHS, named: int = NAMED) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions at which a symbol begins after all rounds, and the symbols after the first ``named`` ones: name, start and
+    end. ``last`` marks separators between texts."""
     size = np.ones(len(names), np.int32)
     size[last] = 1 << 30  # never takes part
     start = np.arange(len(names), dtype=np.int64)
@@ -77,13 +82,15 @@ def boundaries(names: np.ndarray, last: np.ndarray, widths: tuple[int, ...] = WI
         keep = np.ones(len(names), bool)
         keep[at + 1] = False
         names, size, start = names[keep], size[keep], start[keep]
+        if k == named - 1:
+            low = names.copy(), start, start + size
     margin = widths[-1] + 1
     long = np.flatnonzero((size > 2 * margin - 1) & (size < 1 << 30))
     if len(long):
         end = np.append(start[1:], start[-1])[long]
         inner = [np.arange(a + margin, b - margin + 1) for a, b in zip(start[long], end)]
         start = np.concatenate([start, *inner])  # not in order; no position twice
-    return start
+    return start, low
 
 
 def _least(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
@@ -107,6 +114,21 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def _named(chars: np.ndarray, at: np.ndarray, symbol: np.ndarray, begin: np.ndarray, end: np.ndarray, up: np.ndarray, down: np.ndarray) -> np.ndarray:
+    """Names of what stands around the positions ``at``: hashes of the symbols wholly within ``SIDE`` characters. Inside a
+    run so long that there is none, of the characters as far as that."""
+    a, b = np.searchsorted(begin, at - SIDE), np.searchsorted(end, at + SIDE, "right")
+    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(symbol * up[: len(symbol)])))
+    name = (prefix[np.maximum(a, b)] - prefix[a]) * down[a] + chars[at - 1].astype(np.uint64) * _M1 + chars[at].astype(np.uint64)
+    bare = np.flatnonzero(b <= a)
+    if len(bare):
+        c = _mix(chars.astype(np.uint64) + np.uint64(_BASE & (1 << 64) - 1))
+        prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(c * up[: len(c)])))
+        x = at[bare]
+        name[bare] = (prefix[x + SIDE] - prefix[x - SIDE]) * down[x - SIDE]
+    return _mix(name) & ~np.uint64(1) | np.uint64(2)
+
+
 def _block(parts: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Kept symbols of some texts: text's number, position in it, name."""
     raw = [p.encode("utf-32-le", "surrogatepass") for p in parts]
@@ -114,15 +136,14 @@ def _block(parts: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.nd
     n = np.array([len(r) // 4 for r in raw])
     first = np.concatenate(([0], np.cumsum(n + 1)[:-1]))
     names = _mix(chars.astype(np.uint64) + np.uint64(_BASE & (1 << 64) - 1))
-    at = boundaries(names.copy(), first + n)
+    at, (symbol, begin, end) = recompressed(names, first + n)
     up, down = _power(max(len(chars), _CHARS + 4 * _LAP))
-    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(names * up[: len(names)])))
     # the positions of text i with their whole context inside it are lo[i] .. hi[i]
     lo, hi = first + CONTEXT, first + n - CONTEXT
     which = np.searchsorted(first, at, "right") - 1
     ok = (at >= lo[which]) & (at <= hi[which])
     at, which = at[ok], which[ok]
-    name = _mix((prefix[at + CONTEXT] - prefix[at - CONTEXT]) * down[at - CONTEXT]) & ~np.uint64(1) | np.uint64(2)
+    name = _named(chars, at, symbol, begin, end, up, down)
     dense = np.full(len(chars), _MAX)
     dense[at] = name
     width = length - 2 * CONTEXT + 1
@@ -288,6 +309,15 @@ class SharedSpans:
         self.distinct = long.join(others, "doc", "left_anti")
         self.evidence = self._evidence()
 
+    def classes(self) -> DataFrame:
+        """``doc, class, links`` of every document long enough to share anything: the lowest id with the same text, and how
+        many other classes share a passage with it. No copy is expanded."""
+        pairs = self.class_pairs()
+        links = pairs.select(F.col("doc_a").alias("class")).unionAll(pairs.select("doc_b")).groupBy("class").agg(F.count("*").alias("links"))
+        long = self.all.filter(F.length("text") >= self.length).select("doc").distinct()
+        of = long.join(self.members, "doc", "left").select("doc", F.coalesce("rep", "doc").alias("class"))
+        return of.join(links, "class", "left").select("doc", "class", F.coalesce("links", F.lit(0)).alias("links"))
+
     def _evidence(self) -> DataFrame:
         kept = materialize(self.distinct.select("doc", "text").mapInArrow(_symbol_rows(self.length), f"symbol long, doc {self.kind}, n int"), "symbols")
         shared = kept.groupBy("symbol").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.sum("n").alias("n")).filter("a <> b")
@@ -296,7 +326,10 @@ class SharedSpans:
         wanted = materialize(wanted, "wanted")  # read back, so that its true size decides how it is joined
         found = self.distinct.join(wanted, "doc").select("doc", "text", "wanted")
         arrow = to_arrow_type(self.all.schema["doc"].dataType)
-        return materialize(found.mapInArrow(_evidence_rows(self.length, arrow), _EVIDENCE.format(kind=self.kind)), "evidence")
+        evidence = materialize(found.mapInArrow(_evidence_rows(self.length, arrow), _EVIDENCE.format(kind=self.kind)), "evidence")
+        for x in (kept, shared, wanted):
+            discard(x)
+        return evidence
 
     def _compared(self) -> DataFrame:
         """Passages around symbols with few occurrences, each two of different documents compared."""

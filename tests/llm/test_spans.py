@@ -29,6 +29,10 @@ def check(spark, docs, length=200, parts=3):
     pairs, cover = brute(docs, length)
     got = [tuple(r) for r in s.pairs().collect()]
     assert len(got) == len(set(got)) and set(got) == pairs
+    long = {i: t for i, t in docs if i is not None and t and len(t) >= length}
+    of = {i: min(j for j, u in long.items() if u == t) for i, t in long.items()}
+    links = {tuple(sorted((of[a], of[b]))) for a, b in pairs if of[a] != of[b]}
+    assert sorted(tuple(r) for r in s.classes().collect()) == sorted((i, c, sum(c in x for x in links)) for i, c in of.items())
     assert {(r.doc, r.shared_chars) for r in s.coverage().collect()} == {(i, cover.get(i, 0)) for i, _ in docs if i is not None}
 
 
@@ -96,8 +100,10 @@ def test_boundaries_depend_on_near_text_only():
             pre, post = noise(rnd, rnd.randrange(50), "abx"), noise(rnd, rnd.randrange(50), "aby")
             chars = np.array([ord(c) for c in pre + core + post], np.uint64)
             names = np.append(spans._mix(chars + np.uint64(77)), sep)
-            at = spans.boundaries(names, np.array([len(chars)])) - len(pre)
-            found.append({int(p) for p in at if spans.reach() <= p <= len(core) - spans.reach()})
+            at, low = spans.recompressed(names.copy(), np.array([len(chars)]))
+            ok = at[(at - len(pre) >= spans.CONTEXT) & (at - len(pre) <= len(core) - spans.CONTEXT)]
+            name = spans._named(chars.astype(np.uint32), ok, *low, *spans._power(len(names) + 1))
+            found.append((set((at[(at - len(pre) >= spans.reach()) & (at - len(pre) <= len(core) - spans.reach())] - len(pre)).tolist()), dict(zip((ok - len(pre)).tolist(), name.tolist()))))
         assert found[0] == found[1]
-        gaps = np.diff(sorted(found[0]))
-        assert found[0] and gaps.max() <= 2 * (spans.WIDTHS[-1] + 1)
+        gaps = np.diff(sorted(found[0][0]))
+        assert found[0][0] and gaps.max() <= 2 * (spans.WIDTHS[-1] + 1)
