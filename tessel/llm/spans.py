@@ -11,9 +11,8 @@ What stands around such a boundary is a high-level symbol, named by the sequence
 rounds that lie wholly within ``SIDE`` characters of it: these, too, depend on no more than ``CONTEXT`` characters on
 either side, so equal passages have equal symbols. Of the symbols in each window of ``length - 2 * CONTEXT + 1`` positions
 the one with the least name is kept; a passage of ``length`` characters holds at least one whole such window, so any two
-records that share the passage share a kept symbol. Shared symbols reveal candidates; all passages of that length around
-them are compared by 128-bit hashes of their text as stored, grouped and never paired but where they are equal, so a
-symbol that many records share costs no more than its occurrences.
+records that share the passage share a kept symbol. Shared symbols reveal candidates, and the text around them is
+compared as stored.
 """
 
 from __future__ import annotations
@@ -25,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessel.plans.shared import discard, materialize
 
@@ -32,6 +32,8 @@ LENGTH = 200
 WIDTHS = (1, 2, 3, 4, 6)  # of the rounds; each counts for the naming of runs and of pairs
 CONTEXT = 40
 NAMED = 2  # rounds whose symbols name what stands around a boundary
+#: Occurrences of a symbol up to which its passages are compared pair by pair; beyond, they are grouped by windows.
+FEW = 16
 _CHARS = 1 << 15  # of texts handled at once, so that the arrays stay in the cache
 _LAP = 256  # shared by neighbouring parts of a longer text; more than any choice looks at
 
@@ -190,7 +192,8 @@ def _symbol_rows(length: int):
                 order = np.lexsort((name, which))
                 which, name = which[order], name[order]
                 new = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (name[1:] != name[:-1])))[: len(which)])
-                yield pa.RecordBatch.from_arrays([pa.array(name[new]), b.column(0).take(pa.array(which[new]))], names=["symbol", "doc"])
+                n = np.diff(np.append(new, len(which))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(name[new]), b.column(0).take(pa.array(which[new])), pa.array(n)], names=["symbol", "doc", "n"])
 
     return run
 
@@ -201,23 +204,34 @@ def _window_hashes(text: str, starts: np.ndarray, length: int) -> np.ndarray:
     return np.frombuffer(d, np.int64).reshape(-1, 2)
 
 
-_EVIDENCE = "doc {kind}, pos long, h1 long, h2 long, before long"
+_EVIDENCE = "symbol long, doc {kind}, pos long, off int, passage string, h1 long, h2 long, before long"
 
 
-def _evidence_rows(length: int):
-    """All passages of ``length`` characters that hold a shared symbol whole: where they begin, their hashes, and the
-    first half of the hash of the one that begins a character earlier, if that is among them."""
+def _evidence_rows(length: int, kind: pa.DataType):
     side = length - CONTEXT
+    types = [pa.int64(), kind, pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["symbol", "doc", "pos", "off", "passage", "h1", "h2", "before"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts, wanted = b.column(0), b.column(1).to_pylist(), [set(w) for w in b.column(2).to_pylist()]
-            places: dict[int, list[int]] = {}
+            ids, texts, wanted = b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()
+            many = [{w["symbol"] for w in ws if w["many"]} for ws in wanted]
+            few = [{w["symbol"] for w in ws if not w["many"]} for ws in wanted]
+            spans: dict[int, list[int]] = {}
+            cols: list[list] = [[] for _ in range(5)]
             for which, at, name in symbols(texts, length):
                 for i, p, k in zip(which.tolist(), at.tolist(), name.tolist()):
-                    if k in wanted[i]:
-                        places.setdefault(i, []).append(p)
-            for i, ps in places.items():
+                    if k in few[i]:
+                        a = max(0, p - side)
+                        for c, v in zip(cols, (k, i, p, p - a, texts[i][a : p + side])):
+                            c.append(v)
+                    elif k in many[i]:
+                        spans.setdefault(i, []).append(p)
+            if cols[0]:
+                k, i, p, off, text = cols
+                none = pa.nulls(len(k), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(k, types[0]), ids.take(pa.array(i)), pa.array(p, types[2]), pa.array(off, types[3]), pa.array(text, types[4]), none, none, none], names=names)
+            for i, ps in spans.items():
                 p = np.array(ps)
                 n = len(texts[i])
                 mark = np.zeros(n + 2, np.int32)  # passages around p begin from p - side to p - CONTEXT
@@ -231,7 +245,43 @@ def _evidence_rows(length: int):
                     lone = np.concatenate(([True], np.diff(s) > 1))
                     if j:
                         s, h, before, lone = s[1:], h[1:], before[1:], lone[1:]
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.full(len(s), i))), pa.array(s, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(before, mask=lone)], names=["doc", "pos", "h1", "h2", "before"])
+                    m = len(s)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.nulls(m, types[0]), ids.take(pa.array(np.full(m, i))), pa.array(s, types[2]), pa.nulls(m, types[3]), pa.nulls(m, types[4]), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(before, mask=lone)],
+                        names=names,
+                    )
+
+    return run
+
+
+def _compare(length: int):
+    """Of two passages around one symbol: characters in common to its left and right; pairs with fewer than ``length`` go."""
+
+    def common(a: str, b: str) -> int:
+        n = min(len(a), len(b))
+        if a[:n] == b[:n]:
+            return n
+        lo = 0
+        while n - lo > 1:
+            mid = (lo + n) // 2
+            if a[lo:mid] == b[lo:mid]:
+                lo = mid
+            else:
+                n = mid
+        return lo
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep, left, right = [], [], []
+            for i, (x, xo, y, yo) in enumerate(zip(*(b.column(c).to_pylist() for c in (4, 5, 6, 7)))):
+                r = common(x[xo:], y[yo:])
+                e = common(x[:xo][::-1], y[:yo][::-1])
+                if e + r >= length:
+                    keep.append(i)
+                    left.append(e)
+                    right.append(r)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in range(4)), pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["doc_a", "doc_b", "pos_a", "pos_b", "left", "right"])
 
     return run
 
@@ -269,28 +319,40 @@ class SharedSpans:
         return of.join(links, "class", "left").select("doc", "class", F.coalesce("links", F.lit(0)).alias("links"))
 
     def _evidence(self) -> DataFrame:
-        kept = materialize(self.distinct.select("doc", "text").mapInArrow(_symbol_rows(self.length), f"symbol long, doc {self.kind}"), "symbols")
-        shared = kept.groupBy("symbol").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b")
-        shared = materialize(shared.select("symbol"), "shared")
-        wanted = kept.join(shared, "symbol").groupBy("doc").agg(F.collect_set("symbol").alias("wanted"))
+        kept = materialize(self.distinct.select("doc", "text").mapInArrow(_symbol_rows(self.length), f"symbol long, doc {self.kind}, n int"), "symbols")
+        shared = kept.groupBy("symbol").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.sum("n").alias("n")).filter("a <> b")
+        shared = materialize(shared.select("symbol", (F.col("n") > FEW).alias("many")), "shared")
+        wanted = kept.join(shared, "symbol").groupBy("doc").agg(F.collect_set(F.struct("symbol", "many")).alias("wanted"))
         wanted = materialize(wanted, "wanted")  # read back, so that its true size decides how it is joined
         found = self.distinct.join(wanted, "doc").select("doc", "text", "wanted")
-        evidence = materialize(found.mapInArrow(_evidence_rows(self.length), _EVIDENCE.format(kind=self.kind)), "evidence")
+        arrow = to_arrow_type(self.all.schema["doc"].dataType)
+        evidence = materialize(found.mapInArrow(_evidence_rows(self.length, arrow), _EVIDENCE.format(kind=self.kind)), "evidence")
         for x in (kept, shared, wanted):
             discard(x)
         return evidence
 
+    def _compared(self) -> DataFrame:
+        """Passages around symbols with few occurrences, each two of different documents compared."""
+        e = self.evidence.filter(F.col("symbol").isNotNull())
+        a = e.select("symbol", F.col("doc").alias("doc_a"), F.col("pos").alias("pos_a"), F.col("passage").alias("text_a"), F.col("off").alias("off_a"))
+        b = e.select("symbol", F.col("doc").alias("doc_b"), F.col("pos").alias("pos_b"), F.col("passage").alias("text_b"), F.col("off").alias("off_b"))
+        pairs = a.join(b, "symbol").filter("doc_a < doc_b").select("doc_a", "doc_b", "pos_a", "pos_b", "text_a", "off_a", "text_b", "off_b")
+        return pairs.mapInArrow(_compare(self.length), f"doc_a {self.kind}, doc_b {self.kind}, pos_a long, pos_b long, left long, right long")
+
+    def _windows(self) -> DataFrame:
+        return self.evidence.filter(F.col("h1").isNotNull()).select("h1", "h2", "doc", "pos", "before")
+
     def class_pairs(self) -> DataFrame:
         """``doc_a < doc_b`` between the lowest ids of classes of equal texts."""
-        w = self.evidence.select("h1", "h2", "doc", "before").distinct()
+        w = self._windows().select("h1", "h2", "doc", "before").distinct()
         # a pair is emitted at the first window of a common passage: where the windows before differ or are unknown
         g = w.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("before").alias("p"), F.max("before").alias("q"), F.count("*").alias("n"), F.count("before").alias("m"))
         g = g.filter("lo <> hi and (m < n or p <> q)").select("h1", "h2")
         first = w.join(g, ["h1", "h2"])
         a = first.select("h1", "h2", F.col("doc").alias("doc_a"), F.col("before").alias("before_a"))
         b = first.select("h1", "h2", F.col("doc").alias("doc_b"), F.col("before").alias("before_b"))
-        both = a.join(b, ["h1", "h2"]).filter("doc_a < doc_b and (before_a is null or before_b is null or before_a <> before_b)")
-        return both.select("doc_a", "doc_b").distinct()
+        many = a.join(b, ["h1", "h2"]).filter("doc_a < doc_b and (before_a is null or before_b is null or before_a <> before_b)")
+        return self._compared().select("doc_a", "doc_b").union(many.select("doc_a", "doc_b")).distinct()
 
     def pairs(self) -> DataFrame:
         """All pairs of documents, ``doc_a < doc_b``, with a common passage; copies of a text are expanded here only."""
@@ -306,9 +368,14 @@ class SharedSpans:
 
     def coverage(self) -> DataFrame:
         """Every document: ``doc, n_chars, shared_chars``, the characters inside passages that another one shares."""
-        w = self.evidence
+        c = self._compared()
+        end = F.col("pos_a") + F.col("right")
+        spans = c.select(F.col("doc_a").alias("doc"), (F.col("pos_a") - F.col("left")).alias("s"), end.alias("e")).union(
+            c.select("doc_b", F.col("pos_b") - F.col("left"), F.col("pos_b") + F.col("right"))
+        )
+        w = self._windows()
         shared = w.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo <> hi").select("h1", "h2")
-        spans = w.join(shared, ["h1", "h2"]).select("doc", F.col("pos").alias("s"), (F.col("pos") + self.length).alias("e"))
+        spans = spans.union(w.join(shared, ["h1", "h2"]).select("doc", F.col("pos"), F.col("pos") + self.length))
         spans = spans.groupBy("doc", "s").agg(F.max("e").alias("e"))  # at most one a position
         so_far = Window.partitionBy("doc").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
         fresh = F.greatest(F.lit(0), F.col("e") - F.greatest("s", F.coalesce(F.max("e").over(so_far), F.lit(0))))
