@@ -104,6 +104,7 @@ class Database:
             return []
         m = self.store.manifest(table)
         data = [dict(r) for r in data]
+        given = not m.implicit_pk or any(r.get(m.pk) is not None for r in data)  # else all keys are new by their making
         if m.implicit_pk:
             for r in data:
                 if r.get(m.pk) is None:
@@ -114,8 +115,9 @@ class Database:
         df = self.store.rows(m, data)
         if m.versioned:
             self._log(m, self._images(m, df).withColumn("_op", F.lit("insert")), ["pk"], author)
-        self.store.append(m, df)
-        return [r[m.pk] for r in data]
+        keys = [r[m.pk] for r in data]
+        self.store.append(m, df, unique=given, keys=[int(k) if m.columns[m.pk].startswith(types.INTEGER) else str(k) for k in keys])
+        return keys
 
     def append(self, table: str, df: DataFrame, *, unique: bool = True) -> None:
         """Rows of a DataFrame with the table's columns, for loads of any size."""

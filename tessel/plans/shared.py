@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import hashlib
 import json
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -23,9 +24,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only a session without one (a local test) gets its own."""
+    """The folder named by ``spark.checkpoint.dir``; a local session without one gets its own, a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = getattr(spark, "_tessel_root", None)
         if root is None:
             root = "file://" + tempfile.mkdtemp(prefix="tessel-")

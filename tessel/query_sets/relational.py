@@ -131,10 +131,10 @@ def project_case(spark: SparkSession, d: str) -> DataFrame:
     "SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
 )
 def join_group(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("orders"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"))
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("orders"), F.sum(F.floor(F.col("o_totalprice") * 100 + 0.5)).alias("cents"))
     c, n = table(spark, d, "customer"), table(spark, d, "nation")
     j = o.join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-    return j.groupBy("n_name").agg(F.sum("orders").alias("orders"), F.round(F.sum("total").cast("double"), 2).alias("total"))
+    return j.groupBy("n_name").agg(F.sum("orders").alias("orders"), F.round(F.sum("cents") / 100, 2).alias("total"))
 
 
 @register("join_semi", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '2-HIGH')")
@@ -165,19 +165,19 @@ def join_full_outer(spark: SparkSession, d: str) -> DataFrame:
     return c.join(s, F.col("c_nationkey") == F.col("s_nationkey"), "full_outer").select(F.coalesce("c_nationkey", "s_nationkey").alias("nation"), "c", "s")
 
 
-# aggregates
+# aggregates; money is summed in whole cents, which is exact and, unlike decimals, primitive
 
-sql_query("olap_full_scan", "SELECT count(*) AS n, round(avg(l_quantity), 6) AS avg_qty, round(cast(sum(cast(l_extendedprice AS decimal(18,2))) AS double), 2) AS total FROM {lineitem}", "SELECT count(*) AS n, round(avg(l_quantity), 6) AS avg_qty, round(sum(l_extendedprice::DECIMAL(18,2))::DOUBLE, 2) AS total FROM lineitem", "lineitem")
+sql_query("olap_full_scan", "SELECT count(*) AS n, round(avg(l_quantity), 6) AS avg_qty, round(sum(floor(l_extendedprice * 100 + 0.5)) / 100, 2) AS total FROM {lineitem}", "SELECT count(*) AS n, round(avg(l_quantity), 6) AS avg_qty, round(sum(l_extendedprice::DECIMAL(18,2))::DOUBLE, 2) AS total FROM lineitem", "lineitem")
 sql_query(
     "olap_group_by",
-    "SELECT l_returnflag, l_linestatus, count(*) AS cnt, round(cast(sum(cast(l_quantity AS decimal(18,2))) AS double), 2) AS sum_qty, round(avg(l_extendedprice), 4) AS avg_price FROM {lineitem} WHERE l_shipdate <= timestamp '2001-06-01' GROUP BY l_returnflag, l_linestatus ORDER BY cnt DESC",
+    "SELECT l_returnflag, l_linestatus, count(*) AS cnt, round(sum(floor(l_quantity * 100 + 0.5)) / 100, 2) AS sum_qty, round(avg(l_extendedprice), 4) AS avg_price FROM {lineitem} WHERE l_shipdate <= timestamp '2001-06-01' GROUP BY l_returnflag, l_linestatus ORDER BY cnt DESC",
     "SELECT l_returnflag, l_linestatus, count(*) AS cnt, round(sum(l_quantity::DECIMAL(18,2))::DOUBLE, 2) AS sum_qty, round(avg(l_extendedprice), 4) AS avg_price FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-06-01' GROUP BY l_returnflag, l_linestatus ORDER BY cnt DESC",
     "lineitem",
 )
 sql_query("olap_filtered", "SELECT count(*) AS n, max(l_extendedprice) AS top FROM {lineitem} WHERE l_discount >= 0.05 AND l_quantity < 24", "SELECT count(*) AS n, max(l_extendedprice) AS top FROM lineitem WHERE l_discount >= 0.05 AND l_quantity < 24", "lineitem")
 sql_query(
     "olap_join_multi_key",
-    "SELECT c_mktsegment, o_orderpriority, count(*) AS n, round(cast(sum(cast(l_extendedprice AS decimal(18,2))) AS double), 2) AS revenue FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey GROUP BY c_mktsegment, o_orderpriority",
+    "SELECT c_mktsegment, o_orderpriority, count(*) AS n, round(sum(floor(l_extendedprice * 100 + 0.5)) / 100, 2) AS revenue FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey GROUP BY c_mktsegment, o_orderpriority",
     "SELECT c_mktsegment, o_orderpriority, count(*) AS n, round(sum(l_extendedprice::DECIMAL(18,2))::DOUBLE, 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment, o_orderpriority",
     "lineitem orders customer",
 )

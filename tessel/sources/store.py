@@ -20,6 +20,8 @@ from tessel.sources.files import Files
 from tessel.types import IntegrityError, identifier, spark_type, table_name
 
 
+#: Most keys that are looked up one by one.
+_FEW_KEYS = 1000
 #: Segments of an index after which the next one takes in all files.
 _SEGMENTS = 8
 
@@ -160,9 +162,13 @@ class Store:
 
         return self.spark.createDataFrame([tuple(value(r.get(c), t) for c, t in m.columns.items()) for r in data], m.schema())
 
-    def append(self, m: Manifest, df: DataFrame, *, unique: bool = True) -> None:
-        """New rows; a key already there, or twice in the batch, raises."""
-        if unique:
+    def append(self, m: Manifest, df: DataFrame, *, unique: bool = True, keys: list | None = None) -> None:
+        """New rows; a key already there, or twice in the batch, raises. A few ``keys`` given as values are looked up by
+        the files' statistics instead of reading all keys."""
+        if unique and keys is not None and len(keys) <= _FEW_KEYS:
+            if len(set(keys)) < len(keys) or self.read(m.files, m.schema()).filter(F.col(m.pk).isin(keys)).select(m.pk).take(1):
+                raise IntegrityError(f"repeated key in {m.name}")
+        elif unique:
             keys = df.groupBy(m.pk).count()
             if keys.filter(F.col("count") > 1).take(1) or self.read(m.files, m.schema()).select(m.pk).join(keys, m.pk, "left_semi").take(1):
                 raise IntegrityError(f"repeated key in {m.name}")
