@@ -36,8 +36,8 @@ def event_hash(prev: Column, op: Column, pk: Column, row: Column) -> Column:
 
 
 def merged_properties(old: Column, new: Column) -> Column:
-    """Shallow merge of two JSON objects of text values; the new one's values stand."""
-    kind = "map<string,string>"
+    """Shallow merge of two JSON objects; values keep their JSON types, the new one's stand. What isn't an object is empty."""
+    kind = "map<string,variant>"
     a, b = (F.coalesce(F.from_json(c, kind), F.create_map().cast(kind)) for c in (old, new))
     return F.to_json(F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b))
 

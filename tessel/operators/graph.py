@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessel.functions import rows
@@ -203,27 +203,28 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, personalization:
     else:
         base = _uniform(ids)
     leaves = base.join(e.select(F.col("src").alias("id")).distinct().withColumn("_o", F.lit(True)), "id", "left")
-    base = materialize(leaves.select("id", "base", F.col("_o").isNull().alias("leaf")), "base")
-    n = base.count()
+    start = Observation()
+    base = leaves.select("id", "base", F.col("_o").isNull().alias("leaf"))
+    base = materialize(base.observe(start, F.count("*").alias("n"), F.coalesce(F.sum(F.col("leaf").cast("long")), F.lit(0)).alias("leaves")), "base")
+    n = start.get["n"]
     if max(n, e.count()) <= one_task_edges:
         return _ranked_in_memory(e, base, alpha, iterations, tolerance)
-    rank = base.select("id", (F.lit(1.0 / n) if n else F.lit(0.0)).alias("rank"), "base", "leaf")
+    rank, loose = base.withColumn("rank", F.lit(1.0 / max(n, 1))), start.get["leaves"] / max(n, 1)
     written: DataFrame | None = None
     for _ in range(iterations):
         inflow = rank.join(e, rank["id"] == e["src"]).groupBy(F.col("dst").alias("_d")).agg(F.sum(F.col("rank") * F.col("p")).alias("m"))
-        loose = rank.agg(F.coalesce(F.sum(F.when(F.col("leaf"), F.col("rank"))), F.lit(0.0)).alias("loose")).scalar()
-        mass = F.coalesce("m", F.lit(0.0)) + loose * F.col("base")
-        new = base.join(inflow, base["id"] == inflow["_d"], "left")
-        # written each round: the ranks are read twice in the next one
-        new = materialize(new.select("id", (alpha * mass + (1 - alpha) * F.col("base")).alias("rank"), "base", "leaf"), "rank")
-        moved = None
-        if tolerance is not None:
-            old = rank.select(F.col("id").alias("_i"), F.col("rank").alias("_r"))
-            moved = new.join(old, F.col("id") == F.col("_i")).agg(F.sum(F.abs(F.col("rank") - F.col("_r")))).first()[0]
+        mass = F.coalesce("m", F.lit(0.0)) + F.lit(loose) * F.col("base")
+        fresh = rank.join(inflow, rank["id"] == inflow["_d"], "left").select("id", "base", "leaf", (alpha * mass + (1 - alpha) * F.col("base")).alias("rank"), F.col("rank").alias("_before"))
+        # what the next round needs to know of the ranks is summed while they are written
+        seen = Observation()
+        fresh = fresh.observe(seen, F.sum(F.when(F.col("leaf"), F.col("rank"))).alias("loose"), F.sum(F.abs(F.col("rank") - F.col("_before"))).alias("moved"))
+        new = materialize(fresh.drop("_before"), "rank")
         discard(written)
         rank = written = new
-        if moved is not None and moved < tolerance * n:
+        loose, moved = seen.get["loose"] or 0.0, seen.get["moved"] or 0.0
+        if tolerance is not None and moved < tolerance * n:
             break
+    discard(e)
     return rank.select("id", "rank")
 
 
@@ -529,12 +530,17 @@ def communities(edges: DataFrame, nodes: DataFrame | None = None, one_task_edges
             moved, last = _louvain_in_memory(both, degree), True
         else:
             moved, last = _moved(both, degree, total)
+        done = [label] if label.inputFiles() != degree.inputFiles() else []  # the first labels are the nodes themselves
         label = materialize(label.join(moved.toDF("_i", "_l"), F.col("label") == F.col("_i")).select("id", F.col("_l").alias("label")), "labels")
+        if not last:
+            to = lambda c: moved.toDF(c, f"_{c}")  # noqa: E731, B023
+            done += [degree, both]
+            degree = materialize(degree.join(moved, "id").groupBy(F.col("label").alias("id")).agg(F.sum("k").alias("k")), "degree")
+            both = materialize(both.join(to("src"), "src").join(to("dst"), "dst").filter("_src <> _dst").groupBy(F.col("_src").alias("src"), F.col("_dst").alias("dst")).agg(F.sum("w").alias("w")), "both")
+        for x in done:
+            discard(x)
         if last:
             break
-        to = lambda c: moved.toDF(c, f"_{c}")  # noqa: E731, B023
-        degree = materialize(degree.join(moved, "id").groupBy(F.col("label").alias("id")).agg(F.sum("k").alias("k")), "degree")
-        both = materialize(both.join(to("src"), "src").join(to("dst"), "dst").filter("_src <> _dst").groupBy(F.col("_src").alias("src"), F.col("_dst").alias("dst")).agg(F.sum("w").alias("w")), "both")
     names = label.groupBy("label").agg(F.min("id").alias("community"))
     found = label.join(names, "label").select("id", "community")
     if nodes is None:

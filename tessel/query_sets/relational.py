@@ -114,7 +114,7 @@ def project_label(spark: SparkSession, d: str) -> DataFrame:
     return df.select("id", rows.label("{title} by {author}{nothing}.", df.columns).alias("label"))
 
 
-@register("project_merged_json", """SELECT event_id, '{"k":"' || (props->>'$.k') || '","t":"x"}' AS merged FROM events""")
+@register("project_merged_json", """SELECT event_id, json_merge_patch(props, '{"t":"x"}')::VARCHAR AS merged FROM events""")
 def project_merged_json(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", rows.merged_properties(F.col("props"), F.lit('{"t": "x"}')).alias("merged"))
 

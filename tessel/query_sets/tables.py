@@ -189,6 +189,35 @@ def table_search(db: Database, parts: DataFrame) -> DataFrame:
     return db.spark.createDataFrame([(r["p_partkey"],) for r in hits], "p_partkey long")
 
 
+@_with_parts("graph_by_rules", "SELECT 'part:' || p_partkey AS source_id, 'sizes:' || p_size AS target_id, 'has' AS type, p_name AS label FROM part WHERE p_partkey <> 9 AND p_size <= 40")
+def graph_by_rules(db: Database, _: DataFrame) -> DataFrame:
+    """Nodes and edges that rules derive from two tables, synchronised again after a row went."""
+    db.create_table("sizes", {"id": "INTEGER PRIMARY KEY"})
+    db.append("sizes", db.spark.range(1, 41))
+    db.graph.register_entity_node("part", "part", "{p_name}")
+    db.graph.register_entity_node("sizes", "size", "{id}")
+    db.graph.register_edge_rule("part", "sizes", "p_size", "id", "has")
+    db.graph.sync_graph_nodes()
+    db.delete("part", 9)
+    said = db.graph.sync_graph_nodes()
+    assert (said["created"], said["updated"], said["removed"]) == (0, 0, 1)
+    n = db.graph.nodes.select(F.col("id").alias("source_id"), "label")
+    return db.graph.edges.select("source_id", "target_id", "type").join(n, "source_id")
+
+
+@_with_parts("graph_edges_changed", "SELECT 'a' AS source_id, 'b' AS target_id, 'x' AS type, 0.25::DOUBLE AS weight, '{\"k\":1,\"z\":2}' AS properties UNION ALL SELECT 'b', 'c', 'x', 0.5, '{}'")
+def graph_edges_changed(db: Database, _: DataFrame) -> DataFrame:
+    """Edges added, added again under the same ends and type, updated, deleted."""
+    g = db.graph
+    g.add_nodes([{"id": x, "label": x} for x in "abc"])
+    g.add_edges([{"source_id": "a", "target_id": "b", "type": "x", "weight": 0.9}, {"source_id": "b", "target_id": "c", "type": "x", "weight": 0.5, "properties": {}}])
+    gone = g.add_edge("c", "a", "x")
+    again = g.add_edge("a", "b", "x", 0.7, properties={"k": 1})
+    g.update_edge(again, {"z": 2}, weight=0.25)
+    g.delete_edge(gone)
+    return g.edges.select("source_id", "target_id", "type", "weight", "properties")
+
+
 @register("source_retrieval_benchmark", "SELECT doc_id::VARCHAR AS id, text, coalesce(length(text), 0)::BIGINT AS grade FROM documents")
 def source_retrieval_benchmark(spark: SparkSession, d: str) -> DataFrame:
     """The documents as a retrieval benchmark's folder (corpus, queries, judgements), loaded again and joined."""

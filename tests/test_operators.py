@@ -71,6 +71,12 @@ def test_predicates(spark):
     assert [r.id for r in df.filter(like(F.col("s"), "B%")).collect()] == [3]
 
 
+def test_merged_properties_keep_their_types(spark):
+    given = [('{"k": 1, "a": [1, {"x": null}], "s": "q"}', '{"z": 2.5, "k": true}', {"k": True, "a": [1, {"x": None}], "s": "q", "z": 2.5}), (None, '{"z": 1}', {"z": 1}), ('{"k": "1"}', None, {"k": "1"}), ("bad", "{}", {})]
+    df = spark.createDataFrame([(a, b) for a, b, _ in given], "a string, b string")
+    assert [json.loads(r[0]) for r in df.select(rows.merged_properties(F.col("a"), F.col("b"))).collect()] == [c for *_, c in given]
+
+
 def test_metrics(spark):
     ranked = spark.createDataFrame([("q", "a", 1), ("q", "x", 2), ("q", "b", 3)], "query string, item string, rank int")
     judged = spark.createDataFrame([("q", "a", 1), ("q", "b", 2), ("q", "c", 1), ("p", "a", 1), ("z", "a", 0)], "query string, item string, grade int")
