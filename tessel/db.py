@@ -96,10 +96,11 @@ class Database:
 
     # rows
 
-    def insert(self, table: str, data: dict) -> Any:
+    def insert(self, table: str, data: dict, sync: bool = True) -> Any:
+        """``sync`` is taken for the sake of the interface: what is written can be read and searched at once anyway."""
         return self.insert_batch(table, [data])[0]
 
-    def insert_batch(self, table: str, data: list[dict], author: str | None = None) -> list:
+    def insert_batch(self, table: str, data: list[dict], sync: bool = True, author: str | None = None) -> list:
         if not data:
             return []
         m = self.store.manifest(table)
@@ -128,7 +129,7 @@ class Database:
             self._log(m, self._images(m, df).withColumn("_op", F.lit("insert")), ["pk"], None)
         self.store.append(m, df, unique=unique)
 
-    def upsert(self, table: str, data: dict) -> Any:
+    def upsert(self, table: str, data: dict, sync: bool = True) -> Any:
         m = self.store.manifest(table)
         if data.get(m.pk) is None:
             raise ValueError(f"upsert needs {m.pk}")
@@ -137,7 +138,7 @@ class Database:
         self.update(table, data[m.pk], data)
         return data[m.pk]
 
-    def update(self, table: str, key: Any, data: dict, author: str | None = None) -> bool:
+    def update(self, table: str, key: Any, data: dict, sync: bool = True, author: str | None = None) -> bool:
         m = self.store.manifest(table)
         old = self.store.scan(table).filter(F.col(m.pk) == key)
         if not old.take(1):
@@ -157,7 +158,7 @@ class Database:
         self.store.change(m, old.select(m.pk), new)
         return True
 
-    def delete(self, table: str, key: Any, author: str | None = None) -> bool:
+    def delete(self, table: str, key: Any, sync: bool = True, author: str | None = None) -> bool:
         m = self.store.manifest(table)
         old = self.store.scan(table).filter(F.col(m.pk) == key)
         if not old.take(1):
@@ -313,23 +314,30 @@ class Database:
             out[r.change].append({"before": before, "after": after} if r.change == "changed" else before or after)
         return out
 
-    def checkpoint(self, table: str, label: str) -> int:
+    def checkpoint(self, table: str, label: str) -> dict:
         m, _ = self._log_of(table)
+        if not label or not isinstance(label, str):
+            raise ValueError("a checkpoint needs a name")
         m.checkpoints[label] = m.head_seq
         self.store.save(m)
-        return m.head_seq
+        return {"table": table, "label": label, "seq": m.head_seq}
 
     def checkpoints(self, table: str) -> dict[str, int]:
         return dict(self.store.manifest(table).checkpoints)
 
-    def rollback(self, table: str, checkpoint: str | None = None, at_seq: int | None = None, author: str | None = None) -> int:
-        """The rows as they were, written as new events; the number of changes."""
-        m, log = self._log_of(table)
-        seq = m.checkpoints[checkpoint] if checkpoint is not None else at_seq
-        if seq is None:
+    def _seq(self, m: Manifest, checkpoint: str | None, seq: int | None) -> int:
+        if checkpoint is not None and checkpoint not in m.checkpoints:
+            raise ValueError(f"no checkpoint {checkpoint!r} of {m.name}")
+        if checkpoint is None and seq is None:
             raise ValueError("a checkpoint or a sequence number is needed")
+        return m.checkpoints[checkpoint] if checkpoint is not None else seq
+
+    def rollback(self, table: str, checkpoint: str | None = None, at_seq: int | None = None, sync: bool = True, author: str | None = None) -> dict:
+        """The rows as they were, written as new events; ``table, seq, changes``."""
+        m, log = self._log_of(table)
+        seq = self._seq(m, checkpoint, at_seq)
         if m.head_seq <= seq:
-            return 0
+            return {"table": table, "seq": seq, "changes": 0}
         now = self._images(m, self.store.scan(table))
         target = self._state(table, seq)
         plan = versioning.rollback_between(now, target)
@@ -341,37 +349,39 @@ class Database:
             gone = done.select(F.col("pk").cast(key).alias(m.pk))
             fresh = done.filter("_op <> 'delete'").select(F.from_json("row_json", m.schema()).alias("r")).select("r.*")
             self.store.change(m, gone, fresh)
-        return n
+        return {"table": table, "seq": seq, "changes": n}
 
     def verify_chain(self, table: str) -> dict:
+        """``valid, checked`` (events) and ``first_broken_seq``."""
         m, log = self._log_of(table)
-        return versioning.verify_chain(log, {int(s): h for s, h in m.anchors.items()})
+        found = versioning.verify_chain(log, {int(s): h for s, h in m.anchors.items()})
+        return {"valid": found["valid"], "checked": found["checked"], "first_broken_seq": found["first_broken"]}
 
-    def prune(self, table: str, before_seq: int | None = None, checkpoint: str | None = None, keep_checkpoints: bool = True) -> int:
-        """Drops events before the cut, keeping the state they leave; the number dropped."""
+    def prune(self, table: str, before_seq: int | None = None, checkpoint: str | None = None, keep_checkpoints: bool = True) -> dict:
+        """Drops events before the cut, keeping the state they leave; ``pruned`` (how many) and ``anchor_seq`` (the last)."""
         m, log = self._log_of(table)
-        cut = m.checkpoints[checkpoint] + 1 if checkpoint is not None else before_seq
+        cut = self._seq(m, checkpoint, before_seq) + (checkpoint is not None)
         if keep_checkpoints and any(s < cut - 1 for s in m.checkpoints.values()):
             raise ValueError("a checkpoint is older than the cut")
         rest, _, anchor = versioning.prune(log, cut)
         n = log.filter(F.col("_seq") < cut).count()
         if not n:
-            return 0
+            return {"pruned": 0, "anchor_seq": None}
         base = self._state(table, cut - 1)
         baseline, kept = self.store.write(table, "baseline", base), self.store.write(table, "log", rest)
         m.log_files, m.baseline, m.anchors = kept, baseline, {str(cut - 1): anchor}
         m.checkpoints = {k: s for k, s in m.checkpoints.items() if s >= cut - 1}
         self.store.save(m)
-        return n
+        return {"pruned": n, "anchor_seq": cut - 1}
 
-    def archive(self, table: str, path: str, format: str = "parquet") -> dict[str, str]:
-        """Current rows and history, each in a folder."""
+    def archive(self, table: str, path: str, format: str = "jsonl") -> dict:
+        """Current rows and history, each in a folder, and how many there are."""
         _, log = self._log_of(table)
         write = {"parquet": formats.write_parquet, "jsonl": formats.write_jsonl}[format]
         out = {"current": f"{path}/{table}.{format}", "history": f"{path}/{table}__history.{format}"}
         write(self.store.scan(table), out["current"])
         write(log, out["history"])
-        return out
+        return {"path": path, "format": format, **out, "rows": self.count(table), "history_rows": log.count()}
 
     # journal: what the indexes of a table's text columns don't cover yet
 
@@ -443,8 +453,12 @@ class Database:
         waiting = sum(self._pending(m).values())
         return {"status": "ok" if not waiting and all(n == rows for n in held.values()) else "drift", "rows": rows, "indexed": held, "pending": waiting, "missing_files": []}
 
-    def check_integrity(self, table: str) -> dict:
-        """``ok``; ``degraded`` if the hash chain is broken; ``corrupt`` if files are missing or keys null or repeated."""
+    def check_integrity(self, table: str | None = None) -> dict:
+        """Of one table or, with ``overall`` the worst, of each: ``ok``; ``degraded`` if the hash chain is broken; ``corrupt`` if files are missing or keys null or repeated."""
+        if table is None:
+            found = {t: self.check_integrity(t) for t in self.list_tables()}
+            worst = ("ok", "degraded", "corrupt")
+            return {"overall": max((x["status"] for x in found.values()), key=worst.index, default="ok"), "tables": found}
         m = self.store.manifest(table)
         issues = [f"missing file {f}" for f in m.files if not self.store.files.exists(f)]
         if not issues:
@@ -452,7 +466,7 @@ class Database:
             issues += [f"key {r[0]!r} occurs {r[1]} times" for r in keys.take(5)]
         status = "corrupt" if issues else "ok"
         if m.versioned and m.hash_chain and not issues and not (v := self.verify_chain(table))["valid"]:
-            status, issues = "degraded", [f"hash chain broken at {v['first_broken']}"]
+            status, issues = "degraded", [f"hash chain broken at {v['first_broken_seq']}"]
         return {"status": status, "issues": issues}
 
     def stats(self) -> dict:
@@ -462,8 +476,10 @@ class Database:
             out[t] = {"rows": self.count(t), "columns": len(m.columns), "files": len(m.files), "bytes": sum(self.store.files.size(f) for f in m.files), "events": m.head_seq}
         return out
 
-    def reindex(self, table: str) -> int:
-        """Compacts the table's files and indexes them anew; the number of rows."""
+    def reindex(self, table: str | None = None) -> int:
+        """Compacts the files of a table, or of all, and indexes them anew; the number of rows."""
+        if table is None:
+            return sum(self.reindex(t) for t in self.list_tables())
         m = self.store.manifest(table)
         df = self.store.scan(table)
         n = df.count()
@@ -523,6 +539,11 @@ class Database:
                 out.append(m.name)
         return out
 
+    export_sql, import_sql = export, import_
+
+    def analytics(self, sql: str) -> list[dict]:
+        return self.olap.query(sql)
+
     def close(self) -> None:
         for t in self.list_tables():
             self.spark.catalog.dropTempView(t)
@@ -579,30 +600,30 @@ class Graph:
         data = [d | {"properties": json.dumps(d["properties"]) if isinstance(d.get("properties"), dict) else d.get("properties")} for d in data]
         return self._db.store.rows(self._db.store.manifest(name), data)
 
-    def add_node(self, node_id: str | None = None, label: str = "", **kw: Any) -> str:
-        node_id = node_id or str(uuid.uuid4())
-        self.add_nodes([{"id": node_id, "label": label, **kw}])
-        return node_id
+    def add_node(self, node_id: str | None = None, label: str = "", type: str = "node", domain: str = "", confidence: float = 0.5, source: str = "inferred", properties: dict | None = None) -> str:
+        return self.add_nodes([{"id": node_id, "label": label, "type": type, "domain": domain, "confidence": confidence, "source": source, "properties": properties or {}}])[0]
 
-    def add_nodes(self, nodes: list[dict]) -> int:
-        new = self._frame("_graph_nodes", [{"confidence": 1.0, "created_at": self._now(), "updated_at": self._now()} | n for n in nodes])
-        self._put("_graph_nodes", g.upsert(self.nodes, new, ["id"]))
-        return len(nodes)
+    def add_nodes(self, nodes: list[dict]) -> list[str]:
+        base = {"label": "", "type": "node", "domain": "", "confidence": 0.5, "source": "inferred", "properties": {}, "created_at": self._now(), "updated_at": self._now()}
+        rows = [base | n | {"id": n.get("id") or str(uuid.uuid4())} for n in nodes]
+        self._put("_graph_nodes", g.upsert(self.nodes, self._frame("_graph_nodes", rows), ["id"]))
+        return [r["id"] for r in rows]
 
     def get_node(self, node_id: str) -> dict | None:
         return self._db.get("_graph_nodes", node_id)
 
-    def update_node(self, node_id: str, properties: dict | None = None, **fields: Any) -> bool:
-        return self._update("_graph_nodes", node_id, properties, fields, ("label", "type", "domain", "confidence", "source"))
+    def update_node(self, node_id: str, data: dict) -> bool:
+        return self._update("_graph_nodes", node_id, data | {"updated_at": self._now()}, ("label", "type", "domain", "confidence", "source", "updated_at"))
 
-    def update_edge(self, edge_id: str, properties: dict | None = None, **fields: Any) -> bool:
-        return self._update("_graph_edges", edge_id, properties, fields, ("type", "weight", "valid_from", "valid_until"))
+    def update_edge(self, edge_id: str, data: dict) -> bool:
+        return self._update("_graph_edges", edge_id, data, ("type", "weight", "valid_from", "valid_until"))
 
-    def _update(self, name: str, key: str, properties: dict | None, fields: dict, allowed: tuple) -> bool:
+    def _update(self, name: str, key: str, data: dict, allowed: tuple) -> bool:
+        """Sets the allowed fields and merges ``properties``."""
         if self._db.get(name, key) is None:
             return False
-        df = g.update_properties(self._db.store.scan(name), "id", key, F.lit(json.dumps(properties or {})), **{k: F.lit(v) for k, v in fields.items() if k in allowed})
-        self._put(name, df)
+        properties = F.lit(json.dumps(data.get("properties") or {}))
+        self._put(name, g.update_properties(self._db.store.scan(name), "id", key, properties, **{k: F.lit(v) for k, v in data.items() if k in allowed}))
         return True
 
     def delete_node(self, node_id: str) -> bool:
@@ -616,16 +637,16 @@ class Graph:
     def list_nodes(self, type: str | None = None, domain: str | None = None, min_confidence: float | None = None, limit: int = 100) -> list[dict]:
         return _dicts(predicates.optional(self.nodes, limit, type=type, domain=domain, min_confidence=min_confidence))
 
-    def add_edge(self, source_id: str, target_id: str, type: str = "related", weight: float = 1.0, edge_id: str | None = None, **kw: Any) -> str:
-        edge_id = edge_id or uuid.uuid4().hex[:16]
-        self.add_edges([{"id": edge_id, "source_id": source_id, "target_id": target_id, "type": type, "weight": weight, **kw}])
-        return edge_id
+    def add_edge(self, edge_id: str | None, source_id: str, target_id: str, type: str = "relates_to", weight: float = 1.0, properties: dict | None = None, valid_until: str | None = None) -> str:
+        return self.add_edges([{"id": edge_id, "source_id": source_id, "target_id": target_id, "type": type, "weight": weight, "properties": properties or {}, "valid_until": valid_until}])[0]
 
-    def add_edges(self, edges: list[dict]) -> int:
-        new = self._frame("_graph_edges", [{"id": uuid.uuid4().hex[:16], "type": "related", "weight": 1.0, "created_at": self._now()} | e for e in edges])
+    def add_edges(self, edges: list[dict]) -> list[str]:
+        base = {"type": "relates_to", "weight": 1.0, "properties": {}, "created_at": self._now()}
+        rows = [base | e | {"id": e.get("id") or uuid.uuid4().hex[:16]} for e in edges]
+        new = self._frame("_graph_edges", rows)
         old = self.edges.join(new.select("id"), "id", "left_anti").select(*self.edges.columns)
         self._put("_graph_edges", g.add_edges(old, new, self.nodes))
-        return len(edges)
+        return [r["id"] for r in rows]
 
     def get_edge(self, edge_id: str) -> dict | None:
         return self._db.get("_graph_edges", edge_id)
@@ -691,19 +712,29 @@ class Graph:
         f = self._db.store.files
         return json.loads(f.read(self._rules)) if f.has(self._rules) else {"nodes": {}, "edges": []}
 
-    def register_entity_node(self, table: str, node_type: str, label_template: str, id_column: str | None = None) -> None:
+    def register_entity_node(self, table: str, type: str = "entity", id_column: str | None = None, label_template: str = "") -> bool:
         m = self._db.store.manifest(table)
+        key = id_column or m.pk
+        if key not in m.columns:
+            raise ValueError(f"no column {key} in {table}")
         rules = self._load()
-        rules["nodes"][table] = [node_type, id_column or m.pk, label_template]
+        rules["nodes"][table] = [type, key, label_template or f"{{{key}}}"]
         self._db.store.files.write(self._rules, json.dumps(rules))
+        return True
 
-    def register_edge_rule(self, source_table: str, target_table: str, source_column: str, target_column: str, edge_type: str) -> None:
+    def register_edge_rule(self, source_table: str, target_table: str, target_match: str | None = None, edge_type: str = "relates_to", source_column: str | None = None, target_column: str | None = None) -> bool:
+        """Edges between rows whose columns are equal; ``target_match`` alone is the column that holds the target's key."""
+        if (source_column is None) != (target_column is None) or source_column is None and target_match is None:
+            raise ValueError("target_match, or source_column and target_column, are needed")
+        if source_column is None:
+            source_column, target_column = target_match, self._db.store.manifest(target_table).pk
         rules = self._load()
         if source_column not in self._db.get_schema(source_table) or target_column not in self._db.get_schema(target_table):
             raise ValueError("no such column")
         rule = [source_table, target_table, source_column, target_column, edge_type]
         rules["edges"] = [r for r in rules["edges"] if r != rule] + [rule]
         self._db.store.files.write(self._rules, json.dumps(rules))
+        return True
 
     def sync_graph_nodes(self) -> dict[str, int]:
         """Nodes and edges as the rules want them; how many nodes were created, updated and removed."""
@@ -740,10 +771,13 @@ class Graph:
                 out = hits if out is None else out.union(hits)
         return db.spark.createDataFrame([], "id string, similarity double") if out is None else out.groupBy("id").agg(F.max("similarity").alias("similarity"))
 
-    def search_graph(self, query: str, limit: int = 10, hop_expansion: int = 3) -> list[dict]:
+    def search_graph(self, query: str, hop_expansion: int = 2, limit: int = 10) -> list[dict]:
+        """``node_id, similarity, source_table`` of the nearest nodes with the ids of their heaviest ``neighbors``."""
         self.sync_graph_nodes()
-        return _dicts(g.search_graph(self._seeds(query, limit), self.edges, hop_expansion).limit(limit))
+        found = g.search_graph(self._seeds(query, limit), self.edges, hop_expansion).limit(limit)
+        return _dicts(found.select(F.col("id").alias("node_id"), "similarity", F.substring_index("id", ":", 1).alias("source_table"), "neighbors"))
 
-    def search_graph_ppr(self, query: str, limit: int = 10, hop_expansion: int = 3, alpha: float = 0.15, min_similarity: float = 0.0) -> list[dict]:
+    def search_graph_ppr(self, query: str, hop_expansion: int = 2, limit: int = 10, alpha: float = 0.15, min_similarity: float = 0.0) -> list[dict]:
         self.sync_graph_nodes()
-        return _dicts(g.search_graph_ppr(self._seeds(query, limit), self.edges, hop_expansion, alpha, limit, min_similarity))
+        found = g.search_graph_ppr(self._seeds(query, limit), self.edges, hop_expansion, alpha, limit, min_similarity)
+        return _dicts(found.withColumnRenamed("id", "node_id"))

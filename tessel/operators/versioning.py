@@ -109,13 +109,15 @@ def numbered(events: DataFrame, order: list[str], start: int) -> DataFrame:
     return sorted_.withColumn("_seq", F.element_at(table, part) + F.col("_m").bitwiseAND((1 << 33) - 1) + 1).drop("_m")
 
 
-_LINK = "first_seq long, first_prev string, last_seq long, last_hash string, broken long"
+_LINK = "first_seq long, first_prev string, last_seq long, last_hash string, broken long, events long"
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a sorted partition: its ends and the first event that doesn't follow the one before."""
     first = last = broken = None
+    n = 0
     for b in batches:
+        n += b.num_rows
         for seq, prev, own, ok in zip(*(c.to_pylist() for c in b.columns)):
             if first is None:
                 first = (seq, prev)
@@ -125,12 +127,12 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 broken = seq
             last = (seq, own)
     if first:
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*first, *last, broken), kinds)], names=[x.split()[0] for x in _LINK.split(", ")])
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*first, *last, broken, n), kinds)], names=[x.split()[0] for x in _LINK.split(", ")])
 
 
 def verify_chain(log: DataFrame, anchors: dict[int, str] | None = None) -> dict:
-    """``{"valid", "first_broken"}``. Hashes are recomputed row by row; links are checked inside range
+    """``{"valid", "first_broken", "checked"}`` (events). Hashes are recomputed row by row; links are checked inside range
     partitions, and between them on one row a partition. ``anchors``: hash at a sequence number up to which the log was
     pruned, which the first event left may follow."""
     ok = F.col("event_hash").eqNullSafe(event_hash(F.col("prev_hash"), F.col("_op"), F.col("pk"), F.col("row_json")))
@@ -143,7 +145,7 @@ def verify_chain(log: DataFrame, anchors: dict[int, str] | None = None) -> dict:
         if r.first_prev not in allowed:
             broken.append(r.first_seq)
         last = r.last_hash
-    return {"valid": not broken, "first_broken": min(broken) if broken else None}
+    return {"valid": not broken, "first_broken": min(broken) if broken else None, "checked": sum(r.events for r in ends)}
 
 
 def prune(log: DataFrame, before_seq: int) -> tuple[DataFrame, DataFrame, str | None]:

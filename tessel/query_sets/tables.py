@@ -86,7 +86,7 @@ def table_rolled_back(db: Database, _: DataFrame) -> DataFrame:
 
 @_with_parts("table_pruned_diff", "SELECT p_partkey::VARCHAR AS pk, CASE WHEN p_partkey = 7 THEN 'removed' ELSE 'changed' END AS change, p_name AS before, CASE p_partkey WHEN 5 THEN 'renamed' WHEN 6 THEN 'again' END AS after FROM part WHERE p_partkey IN (5, 6, 7)", versioned=True)
 def table_pruned_diff(db: Database, _: DataFrame) -> DataFrame:
-    start = db.checkpoint("part", "start")
+    start = db.checkpoint("part", "start")["seq"]
     db.update("part", 5, {"p_name": "renamed"})
     db.prune("part", checkpoint="start")
     db.update("part", 6, {"p_name": "again"})
@@ -97,7 +97,7 @@ def table_pruned_diff(db: Database, _: DataFrame) -> DataFrame:
 
 @_with_parts("table_pruned_import_rollback", "SELECT p_partkey, p_name FROM part", versioned=True)
 def table_pruned_import_rollback(db: Database, _: DataFrame) -> DataFrame:
-    start = db.checkpoint("part", "start")
+    start = db.checkpoint("part", "start")["seq"]
     db.prune("part", checkpoint="start")
     db.update("part", 2, {"p_name": "x"})
     db.export(f"{db.store.root}-out")
@@ -133,14 +133,14 @@ def table_backup_restore(db: Database, _: DataFrame) -> DataFrame:
 def table_pruned(db: Database, _: DataFrame) -> DataFrame:
     db.checkpoint("part", "start")
     db.update("part", 2, {"p_name": "x"})
-    dropped = db.prune("part", checkpoint="start")
+    dropped = db.prune("part", checkpoint="start")["pruned"]
     return db._state("part", None).select("pk", F.get_json_object("row_json", "$.p_name").alias("name"), F.lit(dropped).cast("long").alias("dropped"))
 
 
 @_with_parts("table_archive", "SELECT 'current' AS part, p_partkey::VARCHAR AS pk, p_name AS name FROM part WHERE p_partkey <> 1 UNION ALL SELECT 'history', p_partkey::VARCHAR, p_name FROM part UNION ALL SELECT 'history', '1', p_name FROM part WHERE p_partkey = 1", versioned=True)
 def table_archive(db: Database, _: DataFrame) -> DataFrame:
     db.delete("part", 1)
-    out = db.archive("part", f"{db.store.root}-archive")
+    out = db.archive("part", f"{db.store.root}-archive", "parquet")
     now = db.spark.read.parquet(out["current"]).select(F.lit("current").alias("part"), F.col("p_partkey").cast("string").alias("pk"), F.col("p_name").alias("name"))
     then = db.spark.read.parquet(out["history"]).select(F.lit("history").alias("part"), "pk", F.get_json_object("row_json", "$.p_name").alias("name"))
     return now.unionByName(then)
@@ -194,9 +194,9 @@ def graph_by_rules(db: Database, _: DataFrame) -> DataFrame:
     """Nodes and edges that rules derive from two tables, synchronised again after a row went."""
     db.create_table("sizes", {"id": "INTEGER PRIMARY KEY"})
     db.append("sizes", db.spark.range(1, 41))
-    db.graph.register_entity_node("part", "part", "{p_name}")
-    db.graph.register_entity_node("sizes", "size", "{id}")
-    db.graph.register_edge_rule("part", "sizes", "p_size", "id", "has")
+    db.graph.register_entity_node("part", "part", label_template="{p_name}")
+    db.graph.register_entity_node("sizes", "size")
+    db.graph.register_edge_rule("part", "sizes", "p_size", "has")
     db.graph.sync_graph_nodes()
     db.delete("part", 9)
     said = db.graph.sync_graph_nodes()
@@ -211,9 +211,9 @@ def graph_edges_changed(db: Database, _: DataFrame) -> DataFrame:
     g = db.graph
     g.add_nodes([{"id": x, "label": x} for x in "abc"])
     g.add_edges([{"source_id": "a", "target_id": "b", "type": "x", "weight": 0.9}, {"source_id": "b", "target_id": "c", "type": "x", "weight": 0.5, "properties": {}}])
-    gone = g.add_edge("c", "a", "x")
-    again = g.add_edge("a", "b", "x", 0.7, properties={"k": 1})
-    g.update_edge(again, {"z": 2}, weight=0.25)
+    gone = g.add_edge(None, "c", "a", "x")
+    again = g.add_edge(None, "a", "b", "x", 0.7, properties={"k": 1})
+    g.update_edge(again, {"properties": {"z": 2}, "weight": 0.25})
     g.delete_edge(gone)
     return g.edges.select("source_id", "target_id", "type", "weight", "properties")
 

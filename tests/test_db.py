@@ -129,7 +129,7 @@ def test_history(db, spark):
     db.insert("docs", {"id": "a", "body": "v1"})
     db.update("docs", "a", {"body": "v2"})
     db.insert_batch("docs", [{"id": "c", "body": "y"}, {"id": "b", "body": "x"}])
-    assert db.checkpoint("docs", "here") == 4
+    assert db.checkpoint("docs", "here") == {"table": "docs", "label": "here", "seq": 4}
     db.delete("docs", "a")
     db.update("docs", "b", {"body": "x2"})
     h = db.history("docs", "a")
@@ -137,29 +137,29 @@ def test_history(db, spark):
     assert [r["_seq"] for r in db.log("docs", 3)] == [6, 5, 4]
     assert db.as_of("docs", 1) == [{"id": "a", "body": "v1"}] and db.as_of("docs", 0) == []
     assert db.diff("docs", 4) == {"added": [], "removed": [{"id": "a", "body": "v2"}], "changed": [{"before": {"id": "b", "body": "x"}, "after": {"id": "b", "body": "x2"}}]}
-    assert db.verify_chain("docs") == {"valid": True, "first_broken": None}
-    assert db.rollback("docs", "here") == 2 and db.rollback("docs", at_seq=8) == 0
+    assert db.verify_chain("docs") == {"valid": True, "checked": 6, "first_broken_seq": None}
+    assert db.rollback("docs", "here") == {"table": "docs", "seq": 4, "changes": 2} and db.rollback("docs", at_seq=8)["changes"] == 0
     assert {r["id"]: r["body"] for r in db.query("docs")} == {"a": "v2", "b": "x", "c": "y"}
     assert [(r["_op"], r["pk"]) for r in reversed(db.log("docs", 2))] == [("insert", "a"), ("update", "b")]
     assert db.verify_chain("docs")["valid"] and db.checkpoints("docs") == {"here": 4}
     with pytest.raises(ValueError):
         db.prune("docs", 6)
-    assert db.prune("docs", checkpoint="here") == 4 and db.verify_chain("docs")["valid"]
+    assert db.prune("docs", checkpoint="here") == {"pruned": 4, "anchor_seq": 4} and db.verify_chain("docs")["valid"]
     assert {r["id"]: r["body"] for r in db.as_of("docs", 4)} == {"a": "v2", "b": "x", "c": "y"}
-    assert db.rollback("docs", "here") == 0
+    assert db.rollback("docs", "here")["changes"] == 0
     assert {r["id"] for r in db.query("docs")} == {"a", "b", "c"}
     with pytest.raises(ValueError):
         db.add_column("docs", "x", "TEXT")
-    assert db.is_versioned("docs") and db.check_integrity("docs")["status"] == "ok"
+    assert db.is_versioned("docs") and db.check_integrity("docs")["status"] == "ok" == db.check_integrity()["overall"]
 
 
 def test_rollback_after_prune_keeps_untouched_rows(db):
     db.create_table("docs", {"id": "TEXT PRIMARY KEY", "body": "TEXT"}, versioned=True)
     db.insert_batch("docs", [{"id": f"d{i}", "body": "x"} for i in range(5)])
     db.update("docs", "d0", {"body": "y"})
-    assert db.prune("docs", 6) == 5
+    assert db.prune("docs", 6)["pruned"] == 5
     db.update("docs", "d1", {"body": "z"})
-    assert db.rollback("docs", at_seq=6) == 1
+    assert db.rollback("docs", at_seq=6)["changes"] == 1
     assert {r["id"]: r["body"] for r in db.query("docs")} == {"d0": "y", "d1": "x", "d2": "x", "d3": "x", "d4": "x"}
 
 
@@ -167,7 +167,7 @@ def test_pruned_history(db, spark, tmp_path):
     db.create_table("docs", {"id": "TEXT PRIMARY KEY", "body": "TEXT"}, versioned=True)
     db.insert_batch("docs", [{"id": f"d{i}", "body": "x"} for i in range(4)])
     db.insert("docs", {"id": "d4", "body": "x"})
-    assert db.prune("docs", 5) == 4
+    assert db.prune("docs", 5)["pruned"] == 4
     db.update("docs", "d1", {"body": "z"})
     assert db.diff("docs", 5, 6) == {"added": [], "removed": [], "changed": [{"before": {"id": "d1", "body": "x"}, "after": {"id": "d1", "body": "z"}}]}
     for before in (lambda: db.as_of("docs", 2), lambda: db.diff("docs", 3, 6), lambda: db.rollback("docs", at_seq=3)):
@@ -176,7 +176,7 @@ def test_pruned_history(db, spark, tmp_path):
     db.export(f"file://{tmp_path}/out")
     db.import_(f"file://{tmp_path}/out")
     assert len(db.as_of("docs", 4)) == 4 and len(db.as_of("docs", 5)) == 5 and db.verify_chain("docs")["valid"]
-    assert db.rollback("docs", at_seq=5) == 1 and {r["id"]: r["body"] for r in db.query("docs")} == {f"d{i}": "x" for i in range(5)}
+    assert db.rollback("docs", at_seq=5)["changes"] == 1 and {r["id"]: r["body"] for r in db.query("docs")} == {f"d{i}": "x" for i in range(5)}
 
 
 def test_kept_texts(spark, tmp_path):
@@ -204,7 +204,7 @@ def test_copies(db, spark, tmp_path):
     db.backup(f"file://{tmp_path}/copy")
     db.export(f"file://{tmp_path}/out")
     out = db.archive("docs", f"file://{tmp_path}/arch", "jsonl")
-    assert spark.read.json(out["history"]).count() == 2
+    assert spark.read.json(out["history"]).count() == 2 == out["rows"] == out["history_rows"]
     db.delete("docs", "a")
     db.restore(f"file://{tmp_path}/copy")
     assert db.count("docs") == 2 and db.verify_chain("docs")["valid"]
@@ -216,11 +216,11 @@ def test_copies(db, spark, tmp_path):
 def test_graph(db):
     g = db.graph
     g.add_nodes([{"id": x, "label": x.upper(), "properties": {"k": 1}} for x in "abcde"])
-    e = g.add_edge("a", "b", weight=0.9)
+    e = g.add_edge(None, "a", "b", weight=0.9)
     g.add_edges([{"source_id": "b", "target_id": "c", "weight": 0.8}, {"source_id": "c", "target_id": "d", "weight": 0.7}])
     got = g.traverse("a", 3)
     assert [(r["node_id"], r["depth"], r["path"]) for r in got] == [("b", 1, "a>b"), ("c", 2, "a>b>c"), ("d", 3, "a>b>c>d")] and [r["cum_cost"] for r in got] == pytest.approx([0.1, 0.3, 0.6])
-    assert g.neighbors("b")[0] == {"node": {"id": "a", "label": "A", "type": None, "properties": {"k": 1}}, "edge": {"id": e, "type": "related", "weight": 0.9, "source_id": "a", "target_id": "b", "properties": {}}}
+    assert g.neighbors("b")[0] == {"node": {"id": "a", "label": "A", "type": "node", "properties": {"k": 1}}, "edge": {"id": e, "type": "relates_to", "weight": 0.9, "source_id": "a", "target_id": "b", "properties": {}}}
     assert [r["node"]["id"] for r in g.neighbors("b", "out")] == ["c"]
     assert sorted(map(sorted, g.connected_components())) == [["a", "b", "c", "d"], ["e"]]
     assert g.shortest_path("a", "d") == ["a", "b", "c", "d"] and g.shortest_path("d", "a") is None and g.shortest_path("a", "a") == ["a"]
@@ -230,10 +230,10 @@ def test_graph(db):
     assert g.betweenness_centrality() == pytest.approx({"a": 0, "b": 1 / 3, "c": 1 / 3, "d": 0, "e": 0})
     assert set().union(*g.community_detect()) == set("abcde") and {"e"} in g.community_detect()
     with pytest.raises(IntegrityError):
-        g.add_edge("a", "nowhere")
-    assert g.update_edge(e, {"why": "x"}, weight=0.1, valid_until="2020-01-01") and g.get_edge(e)["weight"] == 0.1
+        g.add_edge(None, "a", "nowhere")
+    assert g.update_edge(e, {"properties": {"why": "x"}, "weight": 0.1, "valid_until": "2020-01-01"}) and g.get_edge(e)["weight"] == 0.1
     assert g.decay_edges("2026-01-01") == 1 and g.get_edge(e) is None
-    assert g.update_node("a", {"z": 2}, label="new") and g.get_node("a")["label"] == "new" and '"z"' in g.get_node("a")["properties"] and '"k"' in g.get_node("a")["properties"]
+    assert g.update_node("a", {"properties": {"z": 2}, "label": "new"}) and g.get_node("a")["label"] == "new" and '"z"' in g.get_node("a")["properties"] and '"k"' in g.get_node("a")["properties"]
     assert g.delete_node("c") and len(g.get_edges()) == 0 and len(g.list_nodes()) == 4 and not g.delete_node("c")
 
 
@@ -241,8 +241,8 @@ def test_rules_and_graph_search(db):
     db.create_table("docs", {"id": "TEXT PRIMARY KEY", "body": "LONGTEXT", "ref": "TEXT"})
     db.insert_batch("docs", [{"id": "d1", "body": "graph database", "ref": None}, {"id": "d2", "body": "river walk", "ref": "d1"}, {"id": "d3", "body": "soup", "ref": None}])
     g = db.graph
-    g.register_entity_node("docs", "doc", "{id}: {body}")
-    g.register_edge_rule("docs", "docs", "ref", "id", "refers")
+    assert g.register_entity_node("docs", "doc", "id", "{id}: {body}")
+    assert g.register_edge_rule("docs", "docs", edge_type="refers", source_column="ref", target_column="id")
     assert g.sync_graph_nodes() == {"created": 3, "updated": 0, "removed": 0, "edges": 1}
     assert [(r["source_id"], r["target_id"]) for r in g.get_edges()] == [("docs:d2", "docs:d1")] and g.get_node("docs:d1")["label"] == "d1: graph database"
     db.update("docs", "d1", {"body": "graph  database"})
@@ -250,5 +250,6 @@ def test_rules_and_graph_search(db):
     assert g.sync_graph_nodes() == {"created": 0, "updated": 1, "removed": 1, "edges": 1}
     db.insert("docs", {"id": "d3", "body": "soup"})
     hits = g.search_graph_ppr("graph database", min_similarity=0.1)
-    assert [h["id"] for h in hits] == ["docs:d1", "docs:d2"] and [h["depth"] for h in hits] == [0, 1]
-    assert g.search_graph("graph database")[0]["neighbors"] == ["docs:d2"]
+    assert [h["node_id"] for h in hits] == ["docs:d1", "docs:d2"] and [h["depth"] for h in hits] == [0, 1]
+    best = g.search_graph("graph database")[0]
+    assert (best["node_id"], best["source_table"], best["neighbors"]) == ("docs:d1", "docs", ["docs:d2"])
