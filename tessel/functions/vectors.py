@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIM = 384
+#: The white space that parts words, in the notation of both Java's and RE2's patterns.
+SPACE = r"[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
 def hash_slot(word: Column, dim: int = DIM) -> Column:
@@ -23,7 +25,7 @@ def hash_slot(word: Column, dim: int = DIM) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE), lambda w: w != "")
 
 
 def hash_embedding_rows(df: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:

@@ -260,7 +260,7 @@ def fn_fixed_pieces(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter("text <> ''").select("doc_id", F.array_join(F.transform(p, lambda x: F.length(x).cast("string")), ",").alias("sizes"))
 
 
-_WORDS = r"SELECT doc_id, unnest([w FOR w IN regexp_split_to_array(lower(text), '[ \t\n\x0b\f\r]+') IF w <> '']) AS w FROM documents WHERE text IS NOT NULL"
+_WORDS = f"SELECT doc_id, unnest([w FOR w IN regexp_split_to_array(lower(text), '{vectors.SPACE}') IF w <> '']) AS w FROM documents WHERE text IS NOT NULL"
 
 
 @register("fn_hash_embedding", f"SELECT doc_id, slot, round(c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)), 6) AS value FROM (SELECT doc_id, (('0x' || md5(w))::UHUGEINT % 384)::INT AS slot, count(*)::DOUBLE AS c FROM ({_WORDS}) GROUP BY ALL)")

@@ -36,7 +36,7 @@ def bm25_sql(name: str, source: str, pk: str, column: str, queries: str) -> str:
 
 def embedded_sql(name: str, source: str, pk: str, column: str) -> str:
     """CTE ``{name}`` (pk, slot, v) of unit-length hash embeddings."""
-    words = f"unnest([w FOR w IN regexp_split_to_array(lower({column}), '[ \\t\\n\\x0b\\f\\r]+') IF w <> '']) AS w"
+    words = f"unnest([w FOR w IN regexp_split_to_array(lower({column}), '{vectors.SPACE}') IF w <> '']) AS w"
     return f"""{name} AS (SELECT pk, slot, c / sqrt(sum(c * c) OVER (PARTITION BY pk)) AS v FROM
   (SELECT pk, (('0x' || md5(w))::UHUGEINT % 384)::INT AS slot, count(*)::DOUBLE AS c FROM (SELECT {pk} AS pk, {words} FROM {source} WHERE {column} IS NOT NULL) GROUP BY ALL))"""
 
@@ -223,16 +223,12 @@ def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_rows(table(spark, d, "documents"), "doc_id", "text")
 
 
-#: What parts words of the hash embedding, in both notations.
-_SPACE = r"[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-
-
-@register("chunk_rows_rejoined", f"SELECT doc_id, md5(regexp_replace(text, '{_SPACE}', '', 'g')) AS text FROM documents WHERE regexp_replace(text, '{_SPACE}', '', 'g') <> ''")
+@register("chunk_rows_rejoined", f"SELECT doc_id, md5(regexp_replace(text, '{vectors.SPACE}', '', 'g')) AS text FROM documents WHERE regexp_replace(text, '{vectors.SPACE}', '', 'g') <> ''")
 def chunk_rows_rejoined(spark: SparkSession, d: str) -> DataFrame:
     """Each text put together again from its chunks: but for white space nothing may be lost or come twice."""
     c = chunking.chunk_rows(table(spark, d, "documents"), "doc_id", "text", overlap=False)
     whole = c.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_seq", "content"))).alias("c"))
-    return whole.select("doc_id", F.md5(F.regexp_replace(F.array_join(F.transform("c", lambda x: x["content"]), ""), _SPACE, "")).alias("text"))
+    return whole.select("doc_id", F.md5(F.regexp_replace(F.array_join(F.transform("c", lambda x: x["content"]), ""), vectors.SPACE, "")).alias("text"))
 
 
 @register("search_chunks_of_documents", f"SELECT count(DISTINCT doc_id) AS documents, true AS best FROM documents WHERE list_has_any({tokens_sql('text')}, ['zymurgy', 'scheduler'])")
@@ -245,7 +241,7 @@ def search_chunks(spark: SparkSession, d: str) -> DataFrame:
     return best.agg(F.count("*").alias("documents"), F.bool_and(F.contains(F.lower("chunk.content"), F.lit("scheduler")) | F.contains(F.lower("chunk.content"), F.lit("zymurgy"))).alias("best"))
 
 
-_DENSE = f"""SELECT doc_id, unnest([w FOR w IN regexp_split_to_array(lower(coalesce(text, '')), '{_SPACE}') IF w <> '']) AS w FROM documents"""
+_DENSE = f"""SELECT doc_id, unnest([w FOR w IN regexp_split_to_array(lower(coalesce(text, '')), '{vectors.SPACE}') IF w <> '']) AS w FROM documents"""
 
 
 @register(
