@@ -45,6 +45,16 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mix_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+@register("p7_limits", "SELECT source, count(doc_id) AS documents, true AS within, true AS whole FROM (SELECT DISTINCT source FROM mix_targets WHERE source IS NOT NULL) LEFT JOIN documents USING (source) GROUP BY source")
+def p7_limits(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any mix: no document above its cap, and the total that of one pass unless all sources are capped."""
+    r = p7_report(spark, d)
+    capped = F.min((F.col("rate") >= F.col("max_repeats") - 1e-6) | (F.col("tokens") == 0)).over(Window.partitionBy())
+    used, pool = F.sum("used_tokens").over(Window.partitionBy()), F.sum("tokens").over(Window.partitionBy())
+    whole = capped | (F.abs(used - pool) <= 0.02 * pool + 20_000)  # a draw of whole documents
+    return r.select("source", "documents", (F.col("repeats") <= F.coalesce("max_repeats", F.lit(0))).alias("within"), whole.alias("whole"))
+
+
 _PASSAGES = """w AS (SELECT doc_id, i, substr(text, i, 200) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
 g AS (SELECT s FROM w GROUP BY s HAVING count(DISTINCT doc_id) > 1),
 h AS (SELECT w.doc_id, w.i, w.s FROM w SEMI JOIN g USING (s))"""
