@@ -7,7 +7,6 @@ file it came from (``src``), so an index over a table of immutable files grows b
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tessel.functions import text, vectors
-from tessel.plans.shared import shared_root, spread
+from tessel.plans.shared import published, spread
 from tessel.sources.files import Files
 
 _TEXTS = "src string, pk {pk}, dl int, terms array<struct<term:string,tf:int>>, slots map<int,double>, vec array<double>"
@@ -79,12 +78,8 @@ class TextIndex:
     @classmethod
     def of(cls, df: DataFrame, key: str, column: str) -> TextIndex:
         """The index of a plain scan, built when first asked for and kept in the shared folder under what the files are."""
-        spark, files = df.sparkSession, Files(df.sparkSession)
-        state = sorted((f, *files.state(f)) for f in df.inputFiles())
-        path = f"{shared_root(spark)}/tessel/text-{hashlib.sha256(json.dumps([state, key, column]).encode()).hexdigest()[:32]}"
-        if not files.has(f"{path}/segment.json"):
-            cls.build(df, key, column, path)
-        return cls(spark, df.schema[key].dataType.simpleString(), [(path, None)])
+        path = published(df.sparkSession, f"text-{key}-{column}", [df], lambda folder: cls.build(df, key, column, folder))
+        return cls(df.sparkSession, df.schema[key].dataType.simpleString(), [(path, None)])
 
     def _read(self, what: str, schema: str) -> DataFrame:
         parts = []

@@ -11,6 +11,7 @@ import atexit
 import hashlib
 import json
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -31,7 +32,9 @@ def shared_root(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = getattr(spark, "_tessel_root", None)
         if root is None:
-            root = "file://" + tempfile.mkdtemp(prefix="tessel-")
+            own = tempfile.mkdtemp(prefix="tessel-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            root = f"file://{own}"
             spark._tessel_root = root
     return root.rstrip("/")
 
@@ -47,18 +50,38 @@ def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stored(spark: SparkSession, tag: str, sources: list[DataFrame], make: Callable[[], DataFrame], order: Sequence[str] = ()) -> DataFrame:
-    """What ``make`` gives, written to the shared folder once for the present files of ``sources`` and then read from
-    there: for data derived from tables that many queries use. With ``order`` the rows lie sorted by these columns."""
+#: Part of the name of what is kept for other sessions; to be raised when the same name would stand for something else.
+_FORMAT = 1
+
+
+def published(spark: SparkSession, tag: str, sources: Sequence[DataFrame], build: Callable[[str], object]) -> str:
+    """The folder that ``build`` filled for the present files of ``sources`` (each by name, length and time). It is built aside
+    and then published by a text that names it, so nobody reads a half or someone else's: of two builders the first counts."""
     files = Files(spark)
     state = sorted((f, *files.state(f)) for s in sources for f in s.inputFiles())
-    path = f"{shared_root(spark)}/tessel/{tag}-{hashlib.sha256(json.dumps([state, tag]).encode()).hexdigest()[:32]}"
-    if not files.has(f"{path}/schema.json"):
+    at = f"{shared_root(spark)}/tessel/{tag}-{hashlib.sha256(json.dumps([_FORMAT, state, tag]).encode()).hexdigest()[:32]}"
+    if not files.has(f"{at}.at"):
+        folder = f"{at}-{uuid.uuid4().hex}"
+        build(folder)
+        try:
+            files.write(f"{at}.at", folder)
+        except RuntimeError:
+            files.delete(folder)
+    return files.read(f"{at}.at")
+
+
+def stored(spark: SparkSession, tag: str, sources: Sequence[DataFrame], make: Callable[[], DataFrame], order: Sequence[str] = ()) -> DataFrame:
+    """What ``make`` gives, written to the shared folder once for the present files of ``sources`` and then read from
+    there: for data derived from tables that many queries use. With ``order`` the rows lie sorted by these columns."""
+
+    def build(folder: str) -> None:
         df = make()
         df = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
-        df.write.mode("overwrite").parquet(f"{path}/rows")
-        files.write(f"{path}/schema.json", df.schema.json())
-    return spark.read.schema(T.StructType.fromJson(json.loads(files.read(f"{path}/schema.json")))).parquet(f"{path}/rows")
+        df.write.parquet(f"{folder}/rows")
+        Files(spark).write(f"{folder}/schema.json", df.schema.json())
+
+    folder = published(spark, tag, sources, build)
+    return spark.read.schema(T.StructType.fromJson(json.loads(Files(spark).read(f"{folder}/schema.json")))).parquet(f"{folder}/rows")
 
 
 def spread(df: DataFrame) -> DataFrame:
