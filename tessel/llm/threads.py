@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tessel.plans.shared import materialize
@@ -43,11 +43,12 @@ def resolve_threads(
     if not unique:
         n = n.groupBy("_k").agg(F.min(F.struct(F.col("_ptr").isNull().alias("_n"), "_ptr", *rest)).alias("_r")).select("_k", "_r._ptr", *[f"_r.{c}" for c in rest])
     start = n.withColumns({"_d": F.when(F.col("_ptr").isNotNull(), 1).otherwise(0).cast("long"), "_root": F.col("_k"), "_orphan": F.lit(False)})
-    state, arrived = materialize(start, "threads"), []
-    total, rounds = state.count(), 0
-    going = F.col("_ptr").isNotNull()
+    seen, arrived, rounds = Observation(), [], 0
+    counts = F.count("*").alias("rows"), F.count("_ptr").alias("going")  # taken while the rows are written
+    state = materialize(start.observe(seen, *counts), "threads")
+    total, going = seen.get.get("rows") or 0, F.col("_ptr").isNotNull()
     # as long as no chain without a cycle can be, some pointers of a cycle still go round
-    while rounds <= total.bit_length() and state.filter(going).take(1):
+    while rounds <= total.bit_length() and seen.get.get("going"):
         every = reduce(DataFrame.unionByName, arrived, state)
         to = every.select(F.col("_k").alias("_tk"), F.col("_ptr").alias("_tptr"), F.col("_d").alias("_td"), F.col("_root").alias("_troot"), F.col("_orphan").alias("_torphan"), *([F.col("_v").alias("_tv")] if fold else []))
         lost = F.col("_tk").isNull()  # the last row passed is the first of an orphaned chain
@@ -61,7 +62,8 @@ def resolve_threads(
             F.coalesce("_torphan", F.lit(True)).alias("_orphan"),
         )
         arrived.append(state.filter(~going))
-        state, rounds = materialize(moved, "threads"), rounds + 1
+        seen, rounds = Observation(), rounds + 1
+        state = materialize(moved.observe(seen, *counts), "threads")
     return reduce(DataFrame.unionByName, arrived, state).select(
         F.col("_k").alias(key),
         F.when(~going, F.col("_root")).alias("root"),
