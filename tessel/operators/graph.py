@@ -147,10 +147,11 @@ def traverse(edges: DataFrame, start: str | DataFrame, max_depth: int = 3, direc
 
     Of the walks to a node in so many steps those go on that no other one beats in both cost and path: one that does leads
     on wherever the other would, cheaper and under the lesser path. A hop joins the walks, whose size is known, to the edges.
+    Defined cases: a null weight is 1; edges without one of their ends are left out; a start without edges reaches nothing.
     """
     if not 1 <= max_depth <= 10:
         raise ValueError("max_depth must be between 1 and 10")
-    step, spark = _directed(edges, direction, kind).select("src", "dst", (1 - F.coalesce("w", F.lit(1.0))).alias("c")), edges.sparkSession
+    step, spark = _directed(edges, direction, kind).filter("src is not null and dst is not null").select("src", "dst", (1 - F.coalesce("w", F.lit(1.0))).alias("c")), edges.sparkSession
     begin = start.select(F.col("id").cast("string").alias("start")).distinct() if isinstance(start, DataFrame) else spark.createDataFrame(pa.table({"start": [start]}))
     front = begin.select("start", F.col("start").alias("node"), F.lit(0.0).alias("cost"), F.col("start").alias("path"))
     seen = []
@@ -296,8 +297,9 @@ _MERGED = 8
 def distances(edges: DataFrame, start: str, cost: Column | None = None, end: str | None = None) -> DataFrame:
     """``node, cost, previous`` of all nodes reached from ``start``. Each round relaxes only what improved in the one before
     and writes only what improves; rounds go on until nothing does. With ``end`` there is ``path`` as well, and nodes
-    farther than the best way there found so far aren't followed."""
-    e = edges.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), (F.coalesce("weight", F.lit(1.0)) if cost is None else cost).alias("c"))
+    farther than the best way there found so far aren't followed. Edges without one of their ends are left out, a null weight
+    is 1."""
+    e = edges.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), (F.coalesce("weight", F.lit(1.0)) if cost is None else cost).alias("c")).filter("src is not null and dst is not null")
     if e.filter("c < 0").take(1):
         raise ValueError("negative costs")
     e = materialize(e.groupBy("src", "dst").agg(F.min("c").alias("c")), "costs")

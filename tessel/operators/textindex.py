@@ -54,7 +54,10 @@ def _count(kind: pa.DataType, embed: Callable[[str], Sequence[float]] | None, ha
 
 
 class TextIndex:
-    """Segments of one text column: ``path`` of each with the files (``src``) that still count, None for all. ``dense``: the
+    """Defined cases: null and empty texts count as rows without terms and have no vector; a text of any length is one row;
+    rows repeated under a key are each indexed; columns of the table other than key and text are ignored, whatever their names.
+
+    Segments of one text column: ``path`` of each with the files (``src``) that still count, None for all. ``dense``: the
     texts have vectors of a model, not those of the hash embedding."""
 
     def __init__(self, spark: SparkSession, kind: str, segments: Iterable[tuple[str, Sequence[str] | None]], dense: bool = False) -> None:

@@ -27,7 +27,8 @@ class Mirror:
 
     Of changes of one key the one with the highest ``order`` counts (of equals the greatest), in whichever batch it comes;
     so late batches, repeated ones and restarts leave the same mirror. A batch rewrites only the buckets it touches: their
-    new files are written beside the old ones, then a versioned manifest points to them.
+    new files are written beside the old ones, then a versioned manifest points to them. Defined cases: null keys are keys
+    like others, a null ``order`` is before all others, an empty batch changes nothing.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], order: str, op: str = "op", buckets: int = 64) -> None:

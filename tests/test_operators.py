@@ -111,6 +111,18 @@ def test_index_and_batches(spark, tmp_path, monkeypatch):
     assert {tuple(r) for r in search.batch_nearest(v, "id", "v", q, 3).select("query", "pk", "rank").collect()} == whole and len(whole) == 27
 
 
+def test_index_of_odd_texts(spark, tmp_path):
+    rows_ = [(1, None, "x"), (2, "", "x"), (3, "\u00a0 \n", "x"), (4, "word " * 60_000, "x"), (5, "Word word", "x"), (5, "Word word", "x")]
+    df = spark.createDataFrame(rows_, "src int, dl string, pk string")  # names the index uses itself
+    TextIndex.build(df, "src", "dl", f"file://{tmp_path}/odd")
+    index = TextIndex(spark, "int", [(f"file://{tmp_path}/odd", None)])
+    assert sorted((r.pk, r.tf, r.dl) for r in index.postings().collect()) == [(4, 60_000, 60_000), (5, 2, 2), (5, 2, 2)]
+    assert sorted((r.pk, r.distance) for r in index.distances("word").collect()) == [(1, 1.0), (2, 1.0), (3, 1.0), (4, 0.0), (5, 0.0), (5, 0.0)]
+    TextIndex.build(df.limit(0), "src", "dl", f"file://{tmp_path}/none")
+    none = TextIndex(spark, "int", [(f"file://{tmp_path}/none", None)])
+    assert search.bm25(df, "src", "dl", "word", index=none).count() == 0 == none.distances("word").count() and TextIndex(spark, "int", []).postings().count() == 0
+
+
 def test_cells_find_the_nearest(spark):
     rnd = random.Random(4)
     centers = [[rnd.gauss(0, 4) for _ in range(8)] for _ in range(12)]
@@ -266,6 +278,9 @@ def test_distances_along_a_chain_and_nodes_without_edges(spark):
     alone = spark.createDataFrame([("00",), ("zz",)], "id string")
     c = {r.id: r.community for r in g.communities(chain, alone).collect()}
     assert c["zz"] == "zz" and len(c) == 22
+    loose = chain.unionByName(spark.createDataFrame([("05", None, "t", 0.1), (None, "07", "t", 0.1), ("05", "06", "t", None)], chain.schema)).withColumns({"src": F.lit("x"), "edge": F.lit(1), "path": F.lit(2)})
+    assert g.distances(loose, "00").count() == 21 and g.traverse(loose, "04", 3, "both").filter("node is null").count() == 0
+    assert g.shortest_path(loose, "04", "08") == ["04", "05", "06", "07", "08"]
     near = g.neighbors(chain, "05").orderBy("neighbor").collect()
     assert [(r.neighbor, r.edge.source_id, r.edge.target_id) for r in near] == [("04", "04", "05"), ("06", "05", "06")]
 
