@@ -3,6 +3,7 @@ import json
 import os
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -271,6 +272,33 @@ def test_betweenness_of_the_whole_registered_graph(spark, more):
     assert got == pytest.approx(dict(zip(ids, want)), abs=1e-9) and any(v.startswith("c:") for v in got)
 
 
+def test_a_level_of_over_a_million_edges_needs_no_rounds_of_joins(spark, monkeypatch):
+    monkeypatch.setattr(g, "_moved", lambda *a: pytest.fail("moved by joins"))
+    name = lambda c: F.format_string("%05d", c)
+    n = spark.range(100 * 150 * 150).select((F.col("id") % 22500).alias("p"), F.floor(F.col("id") / 22500).alias("b"))
+    e = n.select((F.col("b") * 150 + F.floor(F.col("p") / 150)).alias("x"), (F.col("b") * 150 + F.col("p") % 150).alias("y")).filter("x < y")
+    e = e.union(spark.range(99).selectExpr("id * 150", "id * 150 + 150")).select(name("x").alias("source_id"), name("y").alias("target_id"), F.lit("t").alias("type"), F.lit(0.5).alias("weight"))
+    assert e.count() == 1_117_599
+    c = {r.id: r.community for r in g.communities(e).collect()}
+    assert c == {f"{v:05}": f"{v // 150 * 150:05}" for v in range(15_000)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_no_move_of_a_single_node_improves_settled_labels(seed):
+    rnd = np.random.default_rng(seed)
+    n, pairs = 400, np.unique(np.sort(rnd.integers(0, 400, (3000, 2)), 1), axis=0)
+    a, b = pairs[pairs[:, 0] < pairs[:, 1]].T
+    w = rnd.choice([0.25, 0.5, 1.0], len(a))
+    k, links = np.bincount(a, w, n) + np.bincount(b, w, n), np.zeros((n, n))
+    links[a, b] = links[b, a] = w
+    at = np.r_[0, np.cumsum((links > 0).sum(1))]
+    near = np.nonzero(links)[1]
+    label = g._settled(at, near, links[links > 0], k, k.sum())
+    to = links @ (label[:, None] == np.arange(n))
+    s = to - k[:, None] * (np.bincount(label, k, n)[None] - k[:, None] * (label[:, None] == np.arange(n))) / k.sum()
+    assert len(set(label.tolist())) < n / 2 and (s.max(1) <= s[np.arange(n), label] + 1e-6).all()
+
+
 def test_distances_along_a_chain_and_nodes_without_edges(spark):
     chain = as_edges(spark, {(i, i + 1): 1.0 for i in range(20)})  # more rounds than are kept apart
     assert {int(r.node): r.cost for r in g.distances(chain, "00").collect()} == {i: float(i) for i in range(21)}
