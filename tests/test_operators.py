@@ -299,6 +299,21 @@ def test_no_move_of_a_single_node_improves_settled_labels(seed):
     assert len(set(label.tolist())) < n / 2 and (s.max(1) <= s[np.arange(n), label] + 1e-6).all()
 
 
+def test_modularity_reads_the_edges_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    e = {(a, b): 1.0 for a in range(4) for b in range(4) if a < b} | {(a, b): 1.0 for a in range(4, 8) for b in range(4, 8) if a < b} | {(0, 4): 1.0}
+    df = as_edges(spark, e)
+    c = spark.createDataFrame([(f"{v:02}", str(v // 4)) for v in range(8)], "id string, community string")
+    assert g.modularity(df.mapInArrow(counted, df.schema), c) == pytest.approx(12 / 13 - 0.5)
+    assert read.value == len(e)
+
+
 def test_distances_along_a_chain_and_nodes_without_edges(spark):
     chain = as_edges(spark, {(i, i + 1): 1.0 for i in range(20)})  # more rounds than are kept apart
     assert {int(r.node): r.cost for r in g.distances(chain, "00").collect()} == {i: float(i) for i in range(21)}
