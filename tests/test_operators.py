@@ -149,6 +149,27 @@ def test_cells_lose_no_neighbour_of_the_test_tables(spark, folder):
     assert got == want
 
 
+@pytest.mark.parametrize("indexed", [False, True])
+def test_first_rows_of_many_queries_are_those_of_all_pairs(spark, monkeypatch, tmp_path, indexed):
+    rnd = random.Random(7)
+    words = [f"w{i}" for i in range(40)]
+    some = lambda n: " ".join(words[min(39, int(rnd.expovariate(0.15)))] for _ in range(n))
+    texts = [some(rnd.randrange(12)) for _ in range(150)]
+    held = [(f"k{i:03}", texts[i % 150]) for i in range(450)] + [("k001", "w30 w30 w1"), ("k002", None), (None, "w30 w2")]
+    spark.createDataFrame(held, "id string, t string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    asked = [(i, some(rnd.randrange(5))) for i in range(120)] + [(3, "w30"), (200, "w30 w30 w39"), (201, "nowhere"), (202, None)]
+    q = spark.createDataFrame(asked, "query int, text string")
+    index = TextIndex.of(df, "id", "t") if indexed else None
+    every = search.batch_bm25(df, "id", "t", q, index=index).withColumn("_s", F.round("score", 9))
+    want = {(r.query, r["rank"]): (r.pk, round(r.score, 9)) for r in search.top_per_group(every, "query", ["_s", "pk"], 5).collect()}
+    monkeypatch.setattr(search, "QUERY_TERMS", 100)  # several blocks of queries
+    got = {(r.query, r["rank"]): (r.pk, round(r.score, 9)) for r in search.batch_bm25(df, "id", "t", q, index=index, limit=5).collect()}
+    assert len(got) > 400 and {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(got[k][1] == pytest.approx(want[k][1], abs=2e-9) for k in want)
+    assert search.batch_bm25(df, "id", "t", q.limit(0), index=index, limit=5).count() == 0 == search.batch_bm25(df.limit(0), "id", "t", q, limit=5).count()
+
+
 # graphs
 
 
