@@ -320,6 +320,25 @@ def test_no_move_of_a_single_node_improves_settled_labels(seed):
     assert len(set(label.tolist())) < n / 2 and (s.max(1) <= s[np.arange(n), label] + 1e-6).all()
 
 
+def test_betweenness_looks_at_the_fewer_edges_between_two_sets(monkeypatch):
+    rnd = np.random.default_rng(5)
+    a, b = np.nonzero(rnd.random((1500, 120)) < 0.2)
+    w, n = rnd.choice([250_000, 500_000], len(a), p=[0.97, 0.03]), 1620
+    src, dst, w = np.r_[a, b + 1500], np.r_[b + 1500, a], np.r_[w, w]
+    order = np.argsort(src, kind="stable")
+    src, dst, w, looked = src[order], dst[order], w[order], []
+    graph = [(k, np.searchsorted(src[w == k], np.arange(n + 1)), dst[w == k]) for k in (250_000, 500_000)]
+    near = [[] for _ in range(n)]
+    for x, y, z in zip(src.tolist(), dst.tolist(), w.tolist()):
+        near[x].append((y, z / 1e6))
+    many, places = rnd.integers(1, 5, n).astype(float), g._places
+    monkeypatch.setattr(g, "_places", lambda at, v: looked.append(int((at[v + 1] - at[v]).sum())) or places(at, v))
+    for s in (0, 700, 1500):
+        looked.clear()
+        assert g._dependencies_by_level(graph, s, many) == pytest.approx(g._dependencies(near, s, many))
+        assert 0 < sum(looked) < 1.5 * len(dst)  # of twice as many, there and back
+
+
 def test_modularity_reads_the_edges_once(spark):
     read = spark.sparkContext.accumulator(0)
 
